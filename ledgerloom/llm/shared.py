@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +65,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package, wherever the driver found it."""
+    context = rows.sparkSession.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    reachable = str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if not reachable and context.applicationId not in _shipped:
+        folder = tempfile.mkdtemp(prefix="ledgerloom-")  # executors fetch the file from the driver while it runs
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}-{context.applicationId}", "zip", package.parent, package.name))
+        _shipped.add(context.applicationId)
+    return rows.mapInArrow(run, schema)
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids``; broadcasts ``ids`` only when its counted size is bounded."""
     n = ids.count()
@@ -85,7 +105,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(now.where("false")).where("u <> v").distinct()
+        large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
