@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -75,29 +76,52 @@ class Codec:
         # no pre-token reaches over a single space between two others, so texts can be looked up in such parts
         self.cut = re.compile(r"(?<=\S) (?=\S)")
         self.table = dict(enumerate(byte_alphabet()))
-        self.known: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        words = [w.encode().decode("latin-1").translate(self.table) for w in self.pretoken.findall(part)]
-        ids = [i for word in self.piece.encode(words, num_threads=1) for i in word] if words else []
-        return np.array(ids, np.int32).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        parts = self.cut.split(text)
-        parts[1:] = [" " + x for x in parts[1:]]
-        out = []
-        for part in parts:
-            ids = known.get(part)
-            if ids is None:
-                ids = self._part(part)
-                if len(part) < 64:
-                    known[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        # parts and pre-tokens seen lately, each in two generations: what is still in use outlives a full one
+        self.parts: list[dict[str, bytes]] = [{}, {}]
+        self.words: list[dict[str, bytes]] = [{}, {}]
+
+    def _learn_words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of each pre-token; those not seen lately are encoded by one call."""
+        new, old = self.words
+        found = {w: new.get(w) or old.get(w) for w in words}
+        fresh = [w for w, ids in found.items() if ids is None]
+        mapped = [w.encode().decode("latin-1").translate(self.table) for w in fresh]
+        for word, ids in zip(fresh, self.piece.encode(mapped, num_threads=1) if fresh else [], strict=True):
+            found[word] = array("i", ids).tobytes()
+        if len(new) > CACHE:
+            self.words = [{}, new]
+        self.words[0].update((w, ids) for w, ids in found.items() if len(w) < 64)
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 32-bit integers."""
+        if len(self.parts[0]) > CACHE:
+            self.parts = [{}, self.parts[0]]
+        new, old = self.parts
+        cut, holes, missing = [], [], {}
+        for text in texts:
+            # a part after the first is looked up without the space that it begins with
+            head, *rest = self.cut.split(text) if text else ("",)
+            found = list(map(new.get, rest))
+            cut.append((head, found))
+            missing["\0" + head] = self.pretoken.findall(head)
+            if None in found:
+                for k, ids in enumerate(found):
+                    if ids is None:
+                        part = rest[k]
+                        ids = new.get(part) or old.get(part)
+                        if ids is not None:
+                            found[k] = new[part] = ids
+                        else:
+                            holes.append((found, k, part))
+                            if part not in missing:
+                                missing[part] = self.pretoken.findall(" " + part)
+        words = self._learn_words({w for ws in missing.values() for w in ws})
+        made = {part: b"".join([words[w] for w in ws]) for part, ws in missing.items()}
+        new.update((part, ids) for part, ids in made.items() if len(part) < 64 and part[0] != "\0")
+        for found, k, part in holes:
+            found[k] = made[part]
+        return [made["\0" + head] + b"".join(found) for head, found in cut]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -129,8 +153,7 @@ def encode(df: DataFrame, codec: Callable[[], Codec], id_col: str = "doc_id", te
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                texts = part.column(1).to_pylist()
-                ids = [one.encode(t) if t else b"" for t in texts]
+                ids = one.encode(part.column(1).to_pylist())
                 ends = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))

@@ -15,7 +15,9 @@ parts in a local file system are memory-mapped.
 
 from __future__ import annotations
 
+import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.bpe import byte_alphabet
 from ledgerloom.llm.shared import fresh_path, map_arrow
 
 CACHE = 250_000
 SLICE = 512
 NULL_ID = -(2**63)
 MANIFEST = "part int, n_docs bigint, n_tokens bigint, width int, folder string"
+#: Composed Latin letters whose lower case is one letter (U+0130 has two), and punctuation after them.
+_PLAIN = re.compile(r"((?:(?![\u0130×÷])[a-zA-Z\u00c0-\u024f])+)([,.!?;:]*)")
 _state: dict = {}
 
 
@@ -43,22 +48,50 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = dtype
-        self.known: dict[str, bytes] = {"": b""}
+        self.code = "H" if dtype == "<u2" else "I"  # arrays of machine integers; executors are little-endian
+        self.table = dict(enumerate(byte_alphabet()))
+        # words seen lately in two generations: what is still in use outlives a full one
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _library(self, words: list[str]) -> list[bytes]:
+        return [array(self.code, made.ids).tobytes() for made in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words: Latin letters are one pre-token in lower case and go to the library's model at once."""
+        known, before, tokenize = self.known, self.before, self.tokenizer.model.tokenize
+        others = []
+        for word in words:
+            ids = before.get(word)
+            if ids is None:
+                plain = _PLAIN.fullmatch(word)
+                if plain is None:
+                    others.append(word)
+                    continue
+                core, tail = plain.groups()
+                core = core.lower()
+                ids = known.get(core)
+                if ids is None:
+                    mapped = core if core.isascii() else core.encode().decode("latin-1").translate(self.table)
+                    ids = known[core] = array(self.code, [t.id for t in tokenize(mapped)]).tobytes()
+                if tail:
+                    if tail not in known:
+                        known[tail] = self._library([tail])[0]
+                    ids += known[tail]
+            known[word] = ids
+        known.update(zip(others, self._library(others), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self.known, self.before = {}, self.known
         known = self.known
-        if len(known) > CACHE:
-            known.clear()
-            known[""] = b""
         words = [t.split(" ") if t else [] for t in texts]
-        fresh = list({w for ws in words for w in ws if w not in known})
-        for word, made in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[word] = np.array(made.ids, self.dtype).tobytes()
+        fresh = {w for ws in words for w in ws if w not in known}
+        self._learn(fresh)
         out = [b"".join([known[w] for w in ws]) for ws in words]
         for word in fresh:
             if len(word) > 64:
-                del known[word]
+                known.pop(word, None)
         return out
 
 
