@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, chat, langid, secrets, token_files, toxicity
+from ledgerloom.llm import bpe, chat, decontam, jaccard, langid, lattice, secrets, token_files, toxicity, warc
 from ledgerloom.session import table
 
 END_ID = 2
@@ -18,6 +18,10 @@ def _held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True)).alias("held_out")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -26,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~_held_out()))
@@ -33,6 +41,18 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(), "lang_pred", "score", "rejected")
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a replica in which one byte of every page with an id divisible by 97 has changed."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    flipped = F.concat(F.substring("html", F.lit(1), F.length("html") - 1), F.lit("~"))
+    replica = pages.withColumn("html", F.when(F.col("page_id") % 97 == 0, flipped).otherwise(F.col("html")))
+    return warc.audit(warc.tree(pages), warc.tree(replica)).select("file", "slot", "page_id", "at", "length", "status")
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.codec_for(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), codec), codec)
@@ -76,12 +96,83 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
+    "op5_warc_fixity": op5_warc_fixity,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE: dict[str, str] = {}
+#: Shingle sets as lists of strings; links are verified pairs that share a shingle or are equal.
+_OP1 = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN words IS NULL OR len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))) END AS s FROM w
+), classes AS (
+    SELECT min(doc_id) AS rep, len(s) AS n, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), len(s)
+), tokens AS (
+    SELECT rep, n, hash(unnest(s)) AS g FROM classes
+), overlap AS (
+    SELECT a.rep AS x, b.rep AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common FROM tokens a JOIN tokens b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2
+), links AS (
+    SELECT x, y FROM overlap WHERE 100 * common >= 75 * (nx + ny - common)
+), edges AS (
+    SELECT x, y FROM links UNION SELECT y, x FROM links
+), walk AS (
+    SELECT rep AS node, rep AS root FROM classes
+    UNION
+    SELECT e.y, walk.root FROM walk JOIN edges e ON e.x = walk.node
+), roots AS (
+    SELECT node, min(root) AS root FROM walk GROUP BY node
+)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(roots.root, sets.doc_id) AS component_id
+FROM sets LEFT JOIN classes ON len(sets.s) > 0 AND list_sort(sets.s) = classes.s LEFT JOIN roots ON roots.node = classes.rep
+"""
+
+_OP5 = """
+WITH r AS (
+    SELECT page_id, floor(page_id / 4096)::BIGINT AS file,
+        strlen('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+            || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)) + 8 + strlen(html) AS length
+    FROM pages
+), p AS (
+    SELECT *, row_number() OVER w - 1 AS slot, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_byte FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id)
+)
+SELECT file, slot::BIGINT AS slot, page_id, at_byte::BIGINT AS "at", length::BIGINT AS length, 'changed' AS status FROM p WHERE page_id % 97 = 0
+"""
+
+_OP6 = """
+WITH RECURSIVE e AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), walk AS (
+    SELECT vec_id AS node, vec_id AS root FROM embeddings
+    UNION
+    SELECT links.y, walk.root FROM walk JOIN links ON links.x = walk.node
+), roots AS (SELECT node, min(root) AS root FROM walk GROUP BY node), n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT node AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, root AS component_id, node = root AS kept FROM roots LEFT JOIN n ON n.x = node
+"""
+
+_OP9 = r"""
+WITH c AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+    SELECT *, length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) AS escaped FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(escaped + length(role) + 17)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {"op1_ngram_jaccard": _OP1.replace("\\\\", "\\"), "op5_warc_fixity": _OP5, "op6_embedding_near_dedup": _OP6, "op9_chat_format": _OP9}

@@ -87,6 +87,12 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if n <= BROADCAST_KEYS else ids, key, "left_semi")
 
 
+def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in ``ids``, null keys included; broadcasts as ``keep_ids`` does."""
+    n = ids.count()
+    return df.join(F.broadcast(ids) if n <= BROADCAST_KEYS else ids, key, "left_anti")
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """(node, root) for every node of an undirected edge list, root the smallest node of its component.
 
