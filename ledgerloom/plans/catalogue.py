@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from ledgerloom.plans import networks, scoring
+
+QUERIES: dict = scoring.QUERIES | networks.QUERIES
+ORACLE: dict = scoring.ORACLE | networks.ORACLE
