@@ -3,8 +3,8 @@
 A document's set is its distinct word shingles. Its tokens (shingle hashes) are hashed into ``GROUPS`` groups
 and the counts by group are a point. Of two sets, the sum over groups of the smaller count bounds the
 overlap, so an R-tree over points prunes whole boxes: a pair of boxes whose summed coordinate minima stay
-under the overlap that the threshold asks of their smallest sizes has no link. Pairs that survive are
-verified on the whole texts.
+under the overlap that the threshold asks of their smallest sizes has no link. Pairs that survive meet the same
+bound once more on points of ``FINE`` groups and are then verified on the whole texts.
 
 One tree over everything would be one task, so there is a tree for each shard, and shards follow from a rule
 that loses no pair: under any fixed order of tokens, two sets with J >= t share a token among the first
@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import components, keep_ids, map_arrow, stored
+from ledgerloom.llm.shared import BROADCAST_KEYS, components, keep_ids, map_arrow, stored
 from ledgerloom.llm.wordhash import mix, shingle_sets
 
 GROUPS = 64
+FINE = 512
 LEAF = 32
 BLOCK = 4096
 SLICE = 512
@@ -47,8 +48,15 @@ def _prefix(n: np.ndarray, threshold: int) -> np.ndarray:
     return n - (threshold * n + 99) // 100 + 1
 
 
+def _set_ids(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each set: the mixed sum of its mixed tokens and its size."""
+    with np.errstate(over="ignore"):
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens + np.uint64(1)), dtype=np.uint64)])
+        return mix(running[first[1:]] - running[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
+
+
 def profiles(df: DataFrame, size: int, threshold: int, frequent) -> DataFrame:
-    """(doc_id, n, sid, tokens, point) of every row; tokens is null where the task has emitted the set before."""
+    """(doc_id, n, sid, tokens, point, fine) of every row; only n and sid where the task has emitted the set before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequent.value if frequent is not None else np.empty(0, np.uint64)
@@ -59,12 +67,10 @@ def profiles(df: DataFrame, size: int, threshold: int, frequent) -> DataFrame:
                 tokens, first = shingle_sets(part.column(1), size)
                 n = np.diff(first)
                 owner = np.repeat(np.arange(len(n)), n)
-                with np.errstate(over="ignore"):
-                    total = np.zeros(len(n) + 1, np.uint64)
-                    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens + np.uint64(1)), dtype=np.uint64)])
-                    total = running[first[1:]] - running[first[:-1]]
-                sid = mix(total + n.astype(np.uint64)).view(np.int64)
-                points = np.bincount(owner * GROUPS + (tokens % np.uint64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS).reshape(len(n), GROUPS)
+                sid = _set_ids(tokens, first)
+                fine = np.bincount(owner * FINE + (tokens % np.uint64(FINE)).astype(np.int64), minlength=len(n) * FINE).reshape(len(n), FINE)
+                points = fine.reshape(len(n), FINE // GROUPS, GROUPS).sum(1)
+                details: list = []
                 late = np.zeros(len(tokens), bool)
                 if len(common):
                     spot = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
@@ -81,22 +87,24 @@ def profiles(df: DataFrame, size: int, threshold: int, frequent) -> DataFrame:
                         mine = late[a:b]
                         own = short[a:b] if not mine.any() else np.concatenate([short[a:b][~mine], short[a:b][mine]])
                         lists.append(own[: take[i]])
-                        counts.append(points[i].astype("<u2" if points[i].max() < 2**16 else "<u4").tobytes())
+                        counts.append(_pack(points[i]))
+                        details.append(_pack(fine[i]))
                     else:
                         lists.append(None)
                         counts.append(None)
+                        details.append(None)
                 if len(seen) > 200_000:
                     seen.clear()
                 lengths = [0 if x is None else len(x) for x in lists]
                 ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
                 flat = np.concatenate([np.empty(0, np.int32), *(x for x in lists if x is not None)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n.astype(np.int64)), pa.array(sid), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())), pa.array(counts, pa.binary())],
-                    names=["doc_id", "n", "sid", "tokens", "point"],
+                    [part.column(0), pa.array(n.astype(np.int64)), pa.array(sid), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())), pa.array(counts, pa.binary()), pa.array(details, pa.binary())],
+                    names=["doc_id", "n", "sid", "tokens", "point", "fine"],
                 )
 
     kind = df.schema[0].dataType.simpleString()
-    return map_arrow(df, run, f"doc_id {kind}, n bigint, sid bigint, tokens array<int>, point binary")
+    return map_arrow(df, run, f"doc_id {kind}, n bigint, sid bigint, tokens array<int>, point binary, fine binary")
 
 
 def frequent_tokens(df: DataFrame, size: int) -> np.ndarray:
@@ -109,18 +117,37 @@ def frequent_tokens(df: DataFrame, size: int) -> np.ndarray:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 tokens, first = shingle_sets(batch.column(1).slice(at, SLICE), size)
-                with np.errstate(over="ignore"):
-                    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens + np.uint64(1)), dtype=np.uint64)])
-                    total = running[first[1:]] - running[first[:-1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(total.view(np.int64), np.diff(first))), pa.array(tokens.view(np.int64))], names=["sid", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(_set_ids(tokens, first), np.diff(first))), pa.array(tokens.view(np.int64))], names=["sid", "token"])
 
     rows = map_arrow(sample, run, "sid bigint, token bigint")
     found = rows.groupBy("token").agg(F.approx_count_distinct("sid", 0.03).alias("sets")).where(F.col("sets") >= FREQUENT).select("token")
     return np.sort(np.array([r.token for r in found.collect()], np.int64).view(np.uint64))  # bounded by the sample
 
 
-def _points(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4").astype(np.int32) for x in column.to_pylist()]) if len(column) else np.empty((0, GROUPS), np.int32)
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts in half a byte each where all are small, else in one, two or four bytes."""
+    top = counts.max()
+    if top < 16:
+        return (counts[0::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+    return counts.astype("<u1" if top < 2**8 else "<u2" if top < 2**16 else "<u4").tobytes()
+
+
+def _points(column: pa.ChunkedArray | pa.Array, groups: int = GROUPS) -> np.ndarray:
+    """The packed points of a column as a matrix."""
+    cells = column.to_pylist()
+    out = np.empty((len(cells), groups), np.int32)
+    length = np.array([len(x) for x in cells])
+    for size in np.unique(length):
+        own = np.flatnonzero(length == size)
+        raw = b"".join([cells[i] for i in own]) if len(own) < len(cells) else b"".join(cells)
+        if 2 * size == groups:
+            packed = np.frombuffer(raw, np.uint8).reshape(len(own), size)
+            both = np.empty((len(own), groups), np.int32)
+            both[:, 0::2], both[:, 1::2] = packed & 15, packed >> 4
+            out[own] = both
+        else:
+            out[own] = np.frombuffer(raw, f"<u{size // groups}").reshape(len(own), groups)
+    return out
 
 
 def _possible(bound: np.ndarray, least: np.ndarray, threshold: int) -> np.ndarray:
@@ -165,53 +192,88 @@ class Tree:
         return self.order[a], self.order[b]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of rows with equal first ``keys`` columns from sorted batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(keys)], axis=1)
-        starts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, [len(k)]])
-        for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            now = tuple(k[x])
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(x, y - x))
-            last = now
-    if held:
-        yield pa.Table.from_batches(held)
+def _leaf_pairs(start: np.ndarray, size: np.ndarray, differ) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows inside each short run of rows, a leaf each, for which ``differ`` holds."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    last = np.repeat(start + size, size)
+    rows = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    for step in range(1, int(size.max()) if len(size) else 0):
+        keep = rows + step < last
+        rows, last = rows[keep], last[keep]
+        apart = differ(rows, rows + step)
+        out.append((rows[apart], rows[apart] + step))
+    a, b = zip(*out, strict=True)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _bounded_pairs(points: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    keep = 100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
+    i, j = i[keep], j[keep]
+    kept = [np.empty(0, bool)]
+    for at in range(0, len(i), 65_536):
+        x, y = i[at : at + 65_536], j[at : at + 65_536]
+        kept.append(_possible(np.minimum(points[x], points[y]).sum(1), n[x] + n[y], threshold))
+    keep = np.concatenate(kept)
+    return i[keep], j[keep]
 
 
 def tree_pairs(shards: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) pairs of sets of different components that share a shard and pass its R-tree; distinct."""
+    """(a, b) pairs of sets of different components that share a shard and pass its R-tree; distinct.
+
+    Rows arrive sorted by shard. Shards of at most one leaf are compared many at a time.
+    """
+
+    def pairs_of(rows: pa.Table) -> pa.RecordBatch:
+        key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("token", "lo", "hi")], axis=1)
+        sid, n, comp, block = (rows.column(c).to_numpy() for c in ("sid", "n", "comp", "block"))
+        split = key[:, 1] != key[:, 2]
+
+        def differ(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return (comp[i] != comp[j]) & (~split[i] | (block[i] != block[j]))
+
+        points = _points(rows.column("point"))
+        start = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1])
+        size = np.diff(np.append(start, len(key)))
+        small = size <= LEAF
+        found = [_bounded_pairs(points, n, *_leaf_pairs(start[small], size[small], differ), threshold)]
+        for a, m in zip(start[~small].tolist(), size[~small].tolist(), strict=True):
+            i, j = Tree(points[a : a + m], n[a : a + m]).pairs(threshold)
+            apart = differ(i + a, j + a)
+            found.append((i[apart] + a, j[apart] + a))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        both = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
-            sid, n, comp, block = (group.column(c).to_numpy() for c in ("sid", "n", "comp", "block"))
-            i, j = Tree(_points(group.column("point")), n).pairs(threshold)
-            keep = comp[i] != comp[j]
-            lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-            if lo != hi:
-                keep &= block[i] != block[j]
-            i, j = i[keep], j[keep]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[i], sid[j])), pa.array(np.maximum(sid[i], sid[j]))], names=["a", "b"])
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in range(3))
+            same = np.logical_and.reduce([batch.column(c).to_numpy() == last[c] for c in range(3)])
+            cut = batch.num_rows if same.all() and (not held or tuple(held[0].column(c)[0].as_py() for c in range(3)) == last) else int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut < batch.num_rows or (held and cut == 0):
+                ready = held + ([batch.slice(0, cut)] if cut else [])
+                if ready:
+                    yield pairs_of(pa.Table.from_batches(ready))
+                held = [batch.slice(cut)]
+            else:
+                held.append(batch)
+        if held:
+            yield pairs_of(pa.Table.from_batches(held))
 
     return map_arrow(shards, run, "a bigint, b bigint").distinct()
 
 
 def bounded(pairs: DataFrame, points: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) that the count-vector bound does not rule out."""
-    side = lambda s: points.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("point").alias(f"p{s}"))
+    side = lambda s: points.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("fine").alias(f"p{s}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)").select("a", "b", "na", "nb", "pa", "pb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                bound = np.minimum(_points(batch.column(4)), _points(batch.column(5))).sum(1)
+                bound = np.minimum(_points(batch.column(4), FINE), _points(batch.column(5), FINE)).sum(1)
                 keep = _possible(bound, batch.column(2).to_numpy() + batch.column(3).to_numpy(), threshold)
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
@@ -219,7 +281,10 @@ def bounded(pairs: DataFrame, points: DataFrame, threshold: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets, computed from the whole texts, reach the threshold."""
+    """The pairs (a, b) whose sets, computed from the whole texts, reach the threshold.
+
+    A text found by an id that other texts bear too is told by its set's own sum and passed over.
+    """
     rows = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
     rows = rows.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
@@ -229,12 +294,13 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> D
                 part = batch.slice(at, SLICE)
                 left, lf = shingle_sets(part.column(2), size)
                 right, rf = shingle_sets(part.column(3), size)
+                mine = (_set_ids(left, lf) == part.column(0).to_numpy()) & (_set_ids(right, rf) == part.column(1).to_numpy())
                 keep = []
                 for k in range(part.num_rows):
                     x, y = left[lf[k] : lf[k + 1]], right[rf[k] : rf[k + 1]]
                     spot = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
                     common = int((y[spot] == x).sum()) if len(y) else 0
-                    keep.append(100 * common >= threshold * (len(x) + len(y) - common))
+                    keep.append(bool(mine[k]) and 100 * common >= threshold * (len(x) + len(y) - common))
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(rows, run, "a bigint, b bigint")
@@ -248,7 +314,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     every = stored(profiles(docs, size, threshold, held), "profiles")
     # one row for each set: tasks emit a set's tokens once, different tasks may repeat it
     some = every.where("n > 0")
-    points = stored(some.where("point is not null").groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("point").alias("point")), "points")
+    points = stored(some.where("point is not null").groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("point").alias("point"), F.any_value("fine").alias("fine")), "points")
     tokens = some.select(F.explode("tokens").alias("token"), "sid")
     by_token = Window.partitionBy("token")
     tokens = tokens.repartition("token").dropDuplicates(["token", "sid"]).withColumn("sets", F.count("*").over(by_token)).where("sets > 1")
@@ -258,7 +324,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     def with_texts(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(readers, "sid")
         needed = stored(needed, "needed")
-        return keep_ids(docs, needed.select("doc_id"), "doc_id").join(needed, "doc_id").groupBy("sid").agg(F.any_value("text").alias("text"))
+        small = needed.count() <= BROADCAST_KEYS
+        return docs.join(F.broadcast(needed) if small else needed, "doc_id").select("sid", "text")
 
     # first round: the leaders that share most tokens with a set
     likely = shards.where("sid <> leader").groupBy("sid", "leader").agg(F.count("*").alias("k"))
@@ -274,8 +341,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
     kept = kept.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
     kept = kept.select("token", "sid", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    kept = kept.join(points, "sid").select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "comp", "n", "point")
-    pairs = stored(tree_pairs(kept.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi"), threshold), "pairs")
+    kept = kept.join(points.select("sid", "n", "point"), "sid").select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "comp", "n", "point")
+    pairs = stored(bounded(tree_pairs(kept.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi"), threshold), points, threshold), "pairs")
     second = verified(pairs, with_texts(pairs), size, threshold)
     roots = components(first.union(second))
 
