@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.shared import BROADCAST_KEYS, components, keep_ids, map_arrow, stored
 from ledgerloom.llm.wordhash import mix, shingle_sets
 
-GROUPS = 64
+GROUPS = 128
 FINE = 512
 LEAF = 32
 BLOCK = 4096
@@ -306,7 +306,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> D
     return map_arrow(rows, run, "a bigint, b bigint")
 
 
-def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 75, leaders: int = 2) -> DataFrame:
+def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 75, leaders: int = 3) -> DataFrame:
     """(id, n_shingles, component_id) of every row; component_id is the smallest id reachable by links."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -314,10 +314,12 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     every = stored(profiles(docs, size, threshold, held), "profiles")
     # one row for each set: tasks emit a set's tokens once, different tasks may repeat it
     some = every.where("n > 0")
-    points = stored(some.where("point is not null").groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("point").alias("point"), F.any_value("fine").alias("fine")), "points")
-    tokens = some.select(F.explode("tokens").alias("token"), "sid")
+    one = F.any_value(F.struct("n", "point", "fine", "tokens")).alias("one")
+    points = stored(some.where("point is not null").groupBy("sid").agg(one).select("sid", "one.*"), "points")
+    # from here on a set is one row, so its tokens need no further look for repeats
+    tokens = points.select(F.explode("tokens").alias("token"), "sid")
     by_token = Window.partitionBy("token")
-    tokens = tokens.repartition("token").dropDuplicates(["token", "sid"]).withColumn("sets", F.count("*").over(by_token)).where("sets > 1")
+    tokens = tokens.repartition("token").withColumn("sets", F.count("*").over(by_token)).where("sets > 1")
     shards = stored(tokens.withColumn("leader", F.min("sid").over(by_token)), "shards")
     readers = some.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
 
