@@ -117,10 +117,11 @@ def frequent_tokens(df: DataFrame, size: int) -> np.ndarray:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 tokens, first = shingle_sets(batch.column(1).slice(at, SLICE), size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(_set_ids(tokens, first), np.diff(first))), pa.array(tokens.view(np.int64))], names=["sid", "token"])
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(_set_ids(tokens, first)), lists], names=["sid", "tokens"])
 
-    rows = map_arrow(sample, run, "sid bigint, token bigint")
-    found = rows.groupBy("token").agg(F.approx_count_distinct("sid", 0.03).alias("sets")).where(F.col("sets") >= FREQUENT).select("token")
+    sets = map_arrow(sample, run, "sid bigint, tokens array<bigint>").groupBy("sid").agg(F.any_value("tokens").alias("tokens"))
+    found = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") >= FREQUENT).select("token")
     return np.sort(np.array([r.token for r in found.collect()], np.int64).view(np.uint64))  # bounded by the sample
 
 

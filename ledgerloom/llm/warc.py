@@ -1,4 +1,4 @@
-"""WARC records and a Merkle fixity audit of replicas, in DataFrame functions.
+"""WARC records and a Merkle fixity audit of replicas; hashing and descent are DataFrame functions.
 
 A record is a WARC/1.0 response block written by rule from a page; records are laid out in files of
 ``RECORDS_PER_FILE`` consecutive ids, a record's offset is the sum of the lengths before it in its file. The
@@ -14,10 +14,13 @@ records of file -1, repeated rows are repeated records (ordered by url and body)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import stored
+from ledgerloom.llm.shared import map_arrow, stored
 
 RECORDS_PER_FILE = 4096
 FAN_OUT = 16
@@ -121,11 +124,28 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     rows.write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
 
 
+def _records(data: bytes) -> Iterator[tuple[int | None, str, str]]:
+    """(page id, url, body) of the records of one file, each as long as its own length field says."""
+    at = 0
+    while at < len(data):
+        cut = data.index(b"\r\n\r\n", at)
+        head = dict(line.split(b": ", 1) for line in data[at:cut].split(b"\r\n")[1:])
+        body = cut + 4
+        at = body + int(head[b"Content-Length"])
+        page = head[b"WARC-Record-ID"][len(b"<urn:page:") : -1]
+        yield int(page) if page else None, head[b"WARC-Target-URI"].decode(), data[body:at].decode()
+        at += len(END)
+
+
 def read_warc(spark, folder: str) -> DataFrame:
-    """(page_id, url, html) of the records under ``folder``; files are of bounded size and split by record."""
-    raw = spark.read.option("wholetext", True).text(folder)
-    one = F.explode(F.filter(F.split("value", r"(?=WARC/1\.0\r\nWARC-Type: )", -1), lambda x: x != ""))
-    head = F.substring_index("rec", "\r\n\r\n", 1)
-    body = F.substring("rec", F.length(head) + 5, F.length("rec") - F.length(head) - 8)
-    page = F.regexp_extract(head, r"WARC-Record-ID: <urn:page:(-?\d*)>", 1)
-    return raw.select(one.alias("rec")).select(F.expr("try_cast(nullif('', '') as bigint)").alias("_n"), page.try_cast("bigint").alias("page_id"), F.regexp_extract(head, r"WARC-Target-URI: ([^\r]*)\r", 1).alias("url"), body.alias("html")).drop("_n")
+    """(page_id, url, html) of the records under ``folder``; a file is of bounded size, bodies may hold any text."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                rows = list(zip(*_records(content.as_py()), strict=True)) or [[], [], []]
+                kinds = (pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["page_id", "url", "html"])
+
+    return map_arrow(raw, run, "page_id bigint, url string, html string")
