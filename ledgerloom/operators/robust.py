@@ -20,60 +20,64 @@ def fedavg(updates: DataFrame, weight: str | None = None, by: list[str] | None =
     return rows.groupBy(*(by or []), "dim").agg(mean.alias("value"))
 
 
-def coordinate_median(updates: DataFrame) -> DataFrame:
-    return exploded(updates).groupBy("dim").agg(F.median("value").alias("value"))
+def coordinate_median(updates: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return exploded(updates).groupBy(*(by or []), "dim").agg(F.median("value").alias("value"))
 
 
-def trimmed(updates: DataFrame, k: int) -> DataFrame:
-    """(member, dim, value, kept): which components stay when the k lowest and highest of each go."""
-    w = Window.partitionBy("dim")
+def trimmed(updates: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+    """(by..., member, dim, value, kept): which components stay when the k lowest and highest of each go."""
+    w = Window.partitionBy(*(by or []), "dim")
     rows = exploded(updates).withColumn("rank", F.row_number().over(w.orderBy("value", "member"))).withColumn("n", F.count("*").over(w))
     return rows.withColumn("kept", (F.col("rank") > k) & (F.col("rank") <= F.col("n") - k))
 
 
-def trimmed_mean(updates: DataFrame, k: int) -> DataFrame:
-    """(dim, value): mean without the k lowest and highest; the median where nothing would be left."""
-    rows = trimmed(updates, k)
-    return rows.groupBy("dim").agg(F.coalesce(F.avg(F.when(F.col("kept"), F.col("value"))), F.median("value")).alias("value"))
+def trimmed_mean(updates: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+    """(by..., dim, value): mean without the k lowest and highest; the median where nothing would be left."""
+    rows = trimmed(updates, k, by)
+    return rows.groupBy(*(by or []), "dim").agg(F.coalesce(F.avg(F.when(F.col("kept"), F.col("value"))), F.median("value")).alias("value"))
 
 
-def trim_membership(updates: DataFrame, k: int) -> DataFrame:
-    """(member, trimmed, suspicious): members trimmed on more than half of the components."""
-    rows = trimmed(updates, k)
+def trim_membership(updates: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+    """(by..., member, trimmed, suspicious): members trimmed on more than half of the components."""
+    rows = trimmed(updates, k, by)
     count = F.count_if(~F.col("kept"))
-    return rows.groupBy("member").agg(count.alias("trimmed"), (count > F.count("*") / 2).alias("suspicious"))
+    return rows.groupBy(*(by or []), "member").agg(count.alias("trimmed"), (count > F.count("*") / 2).alias("suspicious"))
 
 
-def pairwise_distance(updates: DataFrame) -> DataFrame:
-    """(a, b, d2) for every ordered pair of members: squared distances. Cohorts are small: at most MAX_PAIRWISE."""
-    n = updates.count()
+def pairwise_distance(updates: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., a, b, d2) for every ordered pair of members of a cohort; a cohort has at most MAX_PAIRWISE members."""
+    by = by or []
+    n = updates.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if n > MAX_PAIRWISE:
-        raise ValueError(f"{n} members; pairwise aggregation takes at most {MAX_PAIRWISE}")
-    a = updates.select(F.col("member").alias("a"), F.col("v").alias("va"))
-    b = updates.select(F.col("member").alias("b"), F.col("v").alias("vb"))
-    pairs = a.join(F.broadcast(b), F.col("a") != F.col("b"))
-    return pairs.select("a", "b", F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d2"))
-
-
-def krum_scores(updates: DataFrame, f: int) -> DataFrame:
-    """(member, krum): the sum of the n - f - 2 smallest squared distances to others, at least one."""
-    d = pairwise_distance(updates)
-    w = Window.partitionBy("a")
-    rows = d.withColumn("rank", F.row_number().over(w.orderBy("d2", "b"))).withColumn("n", F.count("*").over(w) + 1)
+        raise ValueError(f"{n} members; pairwise aggregation takes at most {MAX_PAIRWISE} in a cohort")
+    a = updates.select(*by, F.col("member").alias("a"), F.col("v").alias("va"))
+    b = updates.select(*by, F.col("member").alias("b"), F.col("v").alias("vb"))
+    pairs = (a.join(b, by) if by else a.join(F.broadcast(b))).where("a <> b")
+    return pairs.select(*by, "a", "b", F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d2"))
+
+
+def krum_scores(updates: DataFrame, f: int, by: list[str] | None = None) -> DataFrame:
+    """(by..., member, krum): the sum of the n - f - 2 smallest squared distances to others, at least one."""
+    by = by or []
+    w = Window.partitionBy(*by, "a")
+    rows = pairwise_distance(updates, by).withColumn("rank", F.row_number().over(w.orderBy("d2", "b"))).withColumn("n", F.count("*").over(w) + 1)
     near = F.greatest(F.lit(1), F.col("n") - f - 2)
-    return rows.where(F.col("rank") <= near).groupBy(F.col("a").alias("member")).agg(F.sum("d2").alias("krum"))
+    return rows.where(F.col("rank") <= near).groupBy(*by, F.col("a").alias("member")).agg(F.sum("d2").alias("krum"))
 
 
-def multi_krum(updates: DataFrame, f: int) -> DataFrame:
-    """(member, krum, selected): the n - f members of lowest score, ties to the lower member."""
-    ranked = krum_scores(updates, f).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("krum", "member")))
-    size = updates.agg(F.count("*").alias("_n"))
-    return ranked.crossJoin(F.broadcast(size)).select("member", "krum", (F.col("rank") <= F.greatest(F.lit(1), F.col("_n") - f)).alias("selected"))
+def multi_krum(updates: DataFrame, f: int, by: list[str] | None = None) -> DataFrame:
+    """(by..., member, krum, selected): the n - f members of lowest score of each cohort, ties to the lower member."""
+    by = by or []
+    cohort = Window.partitionBy(*(by or [F.lit(0)]))
+    ranked = krum_scores(updates, f, by).withColumn("rank", F.row_number().over(cohort.orderBy("krum", "member"))).withColumn("n", F.count("*").over(cohort))
+    return ranked.select(*by, "member", "krum", (F.col("rank") <= F.greatest(F.lit(1), F.col("n") - f)).alias("selected"))
 
 
-def outlier_gate(updates: DataFrame, f: int, factor: float = 10.0) -> DataFrame:
-    """(member, krum, rejected): a member that Krum would drop is rejected if it is far above the rest's median."""
-    chosen = multi_krum(updates, f)
-    rest = chosen.alias("c").join(F.broadcast(chosen.alias("r")), F.col("c.member") != F.col("r.member"))
-    base = rest.groupBy(F.col("c.member").alias("member")).agg(F.median("r.krum").alias("base"))
-    return chosen.join(base, "member").select("member", "krum", (~F.col("selected") & (F.col("krum") > factor * F.col("base"))).alias("rejected"))
+def outlier_gate(updates: DataFrame, f: int, factor: float = 10.0, by: list[str] | None = None) -> DataFrame:
+    """(by..., member, krum, rejected): a member that Krum would drop is rejected if it is far above the rest's median."""
+    by = by or []
+    chosen = multi_krum(updates, f, by)
+    others = chosen.select(*by, F.col("member").alias("_other"), F.col("krum").alias("_krum"))
+    rest = (chosen.join(others, by) if by else chosen.join(F.broadcast(others))).where("member <> _other")
+    base = rest.groupBy(*by, "member").agg(F.median("_krum").alias("base"))
+    return chosen.join(base, [*by, "member"]).select(*by, "member", "krum", (~F.col("selected") & (F.col("krum") > factor * F.col("base"))).alias("rejected"))

@@ -84,25 +84,30 @@ def masked_labels(spark, sf_dir):
     return nodes.select("id", "bank", F.when(F.col("bank") < 13, (F.col("x") > 5000).cast("int")).otherwise(0).alias("y"))
 
 
-#: 25 members; every eighth is poisoned by minus eight times its vector.
-U = """WITH u AS (SELECT vec_id AS member, label + 1 AS w, list_transform(embedding, lambda x: x::DOUBLE * CASE WHEN vec_id % 8 = 0 THEN -8 ELSE 1 END) AS v FROM embeddings WHERE vec_id < 25),
-e AS (SELECT member, w, unnest(v) AS value, generate_subscripts(v, 1) - 1 AS dim FROM u),
-d AS (SELECT a.member AS a, b.member AS b, list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM u a JOIN u b ON a.member <> b.member),
-k AS (SELECT a AS member, sum(d2) AS krum FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS r FROM d) WHERE r <= 25 - 4 - 2 GROUP BY 1),
-m AS (SELECT *, row_number() OVER (ORDER BY krum, member) <= 21 AS selected FROM k),
-t AS (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY value, member) BETWEEN 5 AND 21 AS kept FROM e)
+#: Every 25 vectors are the members of a round; every eighth is poisoned by minus eight times its vector.
+U = """WITH u AS (SELECT vec_id // 25 AS round, vec_id AS member, label + 1 AS w, list_transform(embedding, lambda x: x::DOUBLE * CASE WHEN vec_id % 8 = 0 THEN -8 ELSE 1 END) AS v FROM embeddings),
+e AS (SELECT round, member, w, unnest(v) AS value, generate_subscripts(v, 1) - 1 AS dim FROM u),
+d AS (SELECT a.round, a.member AS a, b.member AS b, list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM u a JOIN u b ON a.round = b.round AND a.member <> b.member),
+k AS (SELECT round, a AS member, sum(d2) AS krum FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS r, count(*) OVER (PARTITION BY a) + 1 AS n FROM d) WHERE r <= n - 4 - 2 GROUP BY 1, 2),
+m AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY krum, member) <= count(*) OVER (PARTITION BY round) - 4 AS selected FROM k),
+t AS (SELECT *, row_number() OVER w > 4 AND row_number() OVER w <= count(*) OVER (PARTITION BY round, dim) - 4 AS kept FROM e WINDOW w AS (PARTITION BY round, dim ORDER BY value, member))
 """
+ROUND = ["round"]
 
 
 def updates(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 25")
     sign = F.when(F.col("vec_id") % 8 == 0, -8.0).otherwise(1.0)
-    return rows.select(F.col("vec_id").alias("member"), (F.col("label") + 1).alias("w"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x * sign).alias("v"))
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * sign)
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 25).cast("bigint").alias("round"), F.col("vec_id").alias("member"), (F.col("label") + 1).alias("w"), v.alias("v"))
 
 
-@query(U + "SELECT dim, round(sum(value * w) / sum(w), 6) + 0.0 AS value FROM e GROUP BY dim")
+def _by_dim(rows):
+    return rows.select("round", F.col("dim").cast("bigint").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query(U + "SELECT round, dim, round(sum(value * w) / sum(w), 6) + 0.0 AS value FROM e GROUP BY round, dim")
 def fedavg_weighted(spark, sf_dir):
-    return robust.fedavg(updates(spark, sf_dir), "w").select(F.col("dim").cast("bigint").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
+    return _by_dim(robust.fedavg(updates(spark, sf_dir), "w", ROUND))
 
 
 @query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))) * least(1, 0.5 / sqrt(list_sum(list_transform(v, lambda x: x * x)))), 6) AS norm, round(v[1] * least(1, 0.5 / sqrt(list_sum(list_transform(v, lambda x: x * x)))), 6) + 0.0 AS first FROM v")
@@ -122,45 +127,45 @@ def block_clip(spark, sf_dir):
     return rows.select("vec_id", "block", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 
 
-@query(U + "SELECT dim, round(median(value), 6) + 0.0 AS value FROM e GROUP BY dim")
+@query(U + "SELECT round, dim, round(median(value), 6) + 0.0 AS value FROM e GROUP BY round, dim")
 def coordinate_median(spark, sf_dir):
-    return robust.coordinate_median(updates(spark, sf_dir)).select(F.col("dim").cast("bigint").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
+    return _by_dim(robust.coordinate_median(updates(spark, sf_dir), ROUND))
 
 
-@query(U + "SELECT dim, round(avg(value) FILTER (kept), 6) + 0.0 AS value FROM t GROUP BY dim")
+@query(U + "SELECT round, dim, round(avg(value) FILTER (kept), 6) + 0.0 AS value FROM t GROUP BY round, dim")
 def trimmed_mean(spark, sf_dir):
-    return robust.trimmed_mean(updates(spark, sf_dir), 4).select(F.col("dim").cast("bigint").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
+    return _by_dim(robust.trimmed_mean(updates(spark, sf_dir), 4, ROUND))
 
 
-@query(U + "SELECT member, count_if(NOT kept) AS trimmed, count_if(NOT kept) > count(*) / 2 AS suspicious FROM t GROUP BY member")
+@query(U + "SELECT round, member, count_if(NOT kept) AS trimmed, count_if(NOT kept) > count(*) / 2 AS suspicious FROM t GROUP BY round, member")
 def trim_membership(spark, sf_dir):
-    return robust.trim_membership(updates(spark, sf_dir), 4)
+    return robust.trim_membership(updates(spark, sf_dir), 4, ROUND)
 
 
-@query(U + "SELECT a, b, round(d2, 6) AS d2 FROM d")
+@query(U + "SELECT round, a, b, round(d2, 6) AS d2 FROM d")
 def pairwise_distance(spark, sf_dir):
-    return robust.pairwise_distance(updates(spark, sf_dir)).select("a", "b", F.round("d2", 6).alias("d2"))
+    return robust.pairwise_distance(updates(spark, sf_dir), ROUND).select("round", "a", "b", F.round("d2", 6).alias("d2"))
 
 
-@query(U + "SELECT member, round(krum, 5) AS krum FROM k")
+@query(U + "SELECT round, member, round(krum, 5) AS krum FROM k")
 def krum_scores(spark, sf_dir):
-    return robust.krum_scores(updates(spark, sf_dir), 4).select("member", F.round("krum", 5).alias("krum"))
+    return robust.krum_scores(updates(spark, sf_dir), 4, ROUND).select("round", "member", F.round("krum", 5).alias("krum"))
 
 
-@query(U + "SELECT member, selected FROM m")
+@query(U + "SELECT round, member, selected FROM m")
 def multi_krum(spark, sf_dir):
-    return robust.multi_krum(updates(spark, sf_dir), 4).select("member", "selected")
+    return robust.multi_krum(updates(spark, sf_dir), 4, ROUND).select("round", "member", "selected")
 
 
-@query(U + "SELECT m.member, NOT selected AND krum > 10 * (SELECT median(krum) FROM m r WHERE r.member <> m.member) AS rejected FROM m")
+@query(U + "SELECT m.round, m.member, NOT selected AND krum > 10 * (SELECT median(krum) FROM m r WHERE r.round = m.round AND r.member <> m.member) AS rejected FROM m")
 def krum_outlier_gate(spark, sf_dir):
-    return robust.outlier_gate(updates(spark, sf_dir), 4).select("member", "rejected")
+    return robust.outlier_gate(updates(spark, sf_dir), 4, by=ROUND).select("round", "member", "rejected")
 
 
-@query(U + "SELECT member FROM u EXCEPT ALL SELECT member FROM m WHERE selected")
+@query(U + "SELECT round, member FROM u EXCEPT ALL SELECT round, member FROM m WHERE selected")
 def rejected_members(spark, sf_dir):
     rows = updates(spark, sf_dir)
-    return rows.select("member").exceptAll(robust.multi_krum(rows, 4).where("selected").select("member"))
+    return rows.select("round", "member").exceptAll(robust.multi_krum(rows, 4, ROUND).where("selected").select("round", "member"))
 
 
 @query("""WITH c AS (SELECT label, avg(x) AS m, dim FROM (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY label, dim)
@@ -304,12 +309,12 @@ def partition_skewed(spark, sf_dir):
     return rows.groupBy(F.when(F.col("pos"), skew).otherwise(F.floor(F.col("u") * 5)).cast("int").alias("shard"), "pos").agg(F.count("*").alias("n"))
 
 
-@query("""WITH l AS (SELECT event_id AS seq, sha256('0:' || event_id || '|' || event_type || '|' || user_id) AS h FROM events WHERE event_id < 256),
+@query("""WITH l AS (SELECT event_id AS seq, sha256('0:' || event_id || '|' || event_type || '|' || user_id) AS h FROM events),
 n AS (SELECT seq // 2 AS seq, sha256('1:' || string_agg(h, '' ORDER BY seq)) AS h FROM l GROUP BY 1), m AS (SELECT seq // 2 AS seq, sha256('1:' || string_agg(h, '' ORDER BY seq)) AS h FROM n GROUP BY 1)
 SELECT 0 AS level, seq, h FROM l UNION ALL SELECT 1, seq, h FROM n UNION ALL SELECT 2, seq, h FROM m""")
 def merkle_levels(spark, sf_dir):
     """Leaf and two upper levels of the audit ledger's tree."""
-    rows = table(spark, sf_dir, "events").where("event_id < 256")
+    rows = table(spark, sf_dir, "events")
     leaf = ledger.leaves(rows, "event_id", F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.col("user_id").cast("string")))
     one = ledger.level(leaf)
     two = ledger.level(one)

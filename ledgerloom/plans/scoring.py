@@ -75,11 +75,11 @@ def logistic_scores(spark, sf_dir):
 _CONTRIBUTION = ", ".join(f"('{c}', round({c} * ({w}), 6))" for c, w in zip(FEATURES, WEIGHTS, strict=True))
 
 
-@query(TX + f""", c AS (SELECT {KEY}, u.name, u.value, row_number() OVER (PARTITION BY {KEY}, amount ORDER BY u.value DESC, u.name) AS r FROM z, LATERAL (VALUES {_CONTRIBUTION}) AS u(name, value) WHERE u.value > 1e-9 AND l_orderkey % 10 = 3)
+@query(TX + f""", c AS (SELECT {KEY}, u.name, u.value, row_number() OVER (PARTITION BY {KEY}, amount ORDER BY u.value DESC, u.name) AS r FROM z, LATERAL (VALUES {_CONTRIBUTION}) AS u(name, value) WHERE u.value > 1e-9)
 SELECT name, r AS place, count(*) AS n FROM c WHERE r <= 3 GROUP BY 1, 2""")
 def feature_contributions_top3(spark, sf_dir):
-    """How often each feature is among the three largest positive contributions, on every tenth order."""
-    rows = features.standardise(features.transactions(spark, sf_dir)).where("l_orderkey % 10 = 3")
+    """How often each feature is among the three largest positive contributions of a transaction."""
+    rows = features.standardise(features.transactions(spark, sf_dir))
     parts = F.array(*(F.struct((-F.round(F.col(c) * w, 6)).alias("minus"), F.lit(c).alias("name")) for c, w in zip(FEATURES, WEIGHTS, strict=True)))
     top = F.slice(F.array_sort(F.filter(parts, lambda x: x["minus"] < -1e-9)), 1, 3)
     return rows.select(F.posexplode(top).alias("place", "one")).groupBy(F.col("one.name").alias("name"), (F.col("place") + 1).cast("bigint").alias("place")).agg(F.count("*").alias("n"))
@@ -279,11 +279,11 @@ def tree_score(spark, sf_dir):
     return rows.groupBy("bank", leaf.alias("leaf")).agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
 
 
-@query("""WITH r AS (SELECT range AS round FROM range(12)), b AS (SELECT n_nationkey AS bank FROM nation WHERE n_nationkey < 8),
+@query("""WITH r AS (SELECT range AS round FROM range(12)), b AS (SELECT n_nationkey AS bank FROM nation),
 d AS (SELECT round, bank, greatest(0.4, least(0.95 + bank * 0.003, 0.5 + 0.17 * round + 0.004 * bank)) AS fed, greatest(0.12, least(0.5 + bank * 0.02, 0.16 + 0.055 * greatest(0, round - 1.1 * bank))) AS silo FROM r, b)
 SELECT round::BIGINT AS round, round(avg(fed), 4) AS federated, round(avg(silo), 4) AS siloed, floor(9000 * (1 - avg(fed)) + 0.5)::BIGINT AS victims_federated, floor(9000 * (1 - avg(silo)) + 0.5)::BIGINT AS victims_siloed FROM d GROUP BY round""")
 def scripted_detection(spark, sf_dir):
-    banks = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("bank")).where("bank < 8")
+    banks = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("bank"))
     rows = spark.range(12).withColumnRenamed("id", "round").crossJoin(F.broadcast(banks))
     fed = F.greatest(F.lit(0.4), F.least(0.95 + F.col("bank") * 0.003, 0.5 + 0.17 * F.col("round") + 0.004 * F.col("bank")))
     silo = F.greatest(F.lit(0.12), F.least(0.5 + F.col("bank") * 0.02, 0.16 + 0.055 * F.greatest(F.lit(0.0), F.col("round") - 1.1 * F.col("bank"))))
