@@ -218,6 +218,28 @@ def scam_flags(spark, sf_dir):
     return _augmented(spark, sf_dir).where("lang = 'en'").select("doc_id", *text.flags(F.col("text")))
 
 
+# The three queries above are the English subset that DuckDB checks. Those below take every row of documents, null
+# languages and ids included; Java and DuckDB differ on case, characters and \b outside ASCII, so they have no SQL.
+
+
+@query()
+def token_ngrams_all(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token"))
+    return rows.groupBy("doc_id", F.substring("token", 1, 1).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("token").alias("n_distinct"))
+
+
+@query()
+def hash_buckets_all(spark, sf_dir):
+    rows = text.hashed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select("doc_id", "bucket", (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query()
+def scam_flags_all(spark, sf_dir):
+    """Flags of every text as it is, nothing appended."""
+    return table(spark, sf_dir, "documents").select("doc_id", *text.flags(F.col("text")))
+
+
 _CORE = ["account", "bank", "fraud", "money"]
 _THEMES = {"fraud_detection": (2.0, ["fraud detection", "fraud", "police"]), "data_sharing": (1.5, ["data sharing", "between banks"]), "mule_accounts": (2.5, ["mule account", "safe account", "move your money"])}
 
