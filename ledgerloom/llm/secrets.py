@@ -1,7 +1,7 @@
 """Secret scanning: pattern candidates kept or dropped by a random forest, in DataFrame functions only.
 
 Candidates are quoted or bare values after a key word and ``=`` or ``:``, tokens with a well-known prefix and
-long runs of token characters. A forest judges each from its length, its character transitions (class
+long runs of token characters; none has an upper length, so a token is found and masked whole. A forest judges each from its length, its character transitions (class
 changes, digits, repeated characters, bigrams common in words), its dictionary coverage (how much of it is
 frequent words), path-like shape and neighbouring words, so that example values, hashes named as such, paths
 and long words are dropped.
@@ -30,10 +30,10 @@ COMMON_PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti"
 DICTIONARY = ("example", "changeme", "password", "secret", "token", "your", "here", "test", "sample", "user", "admin", "home", "src", "main", "lib", "config", "data", "file", "name", "value", "default", "null", "none", "true", "false", "key", "the", "and", "for", "with")
 #: The candidate pattern: (key word and separator)(value), a well-known prefix, or a long run.
 CANDIDATE = (
-    r"(?i:(?:" + "|".join(KEYWORDS) + r")[\w.-]{0,20}[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?)[A-Za-z0-9_+/=.~-]{8,200}"
-    r"|(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,60}|xox[abprs]-[A-Za-z0-9-]{10,80}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,64}"
-    r"|eyJ[A-Za-z0-9_-]{10,400}\.[A-Za-z0-9_-]{10,400}\.[A-Za-z0-9_-]{10,400}"
-    r"|(?<![A-Za-z0-9_+/=.~-])(?=[A-Za-z_+/=-]{0,100}[0-9])[A-Za-z0-9_+/=-]{32,200}(?![A-Za-z0-9_+/=.~-])"
+    r"(?i:(?:" + "|".join(KEYWORDS) + r")[\w.-]{0,20}[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?)[A-Za-z0-9_+/=.~-]{8,}+"
+    r"|(?:AKIA|ASIA)[A-Z0-9]{16,}+|gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35,}+|sk_live_[A-Za-z0-9]{16,}+"
+    r"|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
+    r"|(?<![A-Za-z0-9_+/=.~-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{32,}+(?![A-Za-z0-9_+/=.~-])"
 )
 AROUND = 40
 FEATURES = ("length", "transitions", "digits", "uppers", "hexes", "repeats", "common", "coverage", "pathlike", "keyword", "harmless", "assigned", "prefix")
@@ -49,7 +49,7 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     at = F.aggregate(F.slice(F.col("_gap"), F.lit(1), F.col("_i") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(F.col("_m"), F.lit(1), F.col("_i")), F.lit(0), lambda a, x: a + F.length(x))
     match = F.col("_one.match")
     # the value is what follows the last separator or quote of the match; greedy key words end there
-    value = F.when(match.rlike(r"(?i)^(?:" + "|".join(KEYWORDS) + ")"), F.regexp_extract(match, r"^[\w.-]*?[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/=.~-]{8,200})$", 1)).otherwise(match)
+    value = F.when(match.rlike(r"(?i)^(?:" + "|".join(KEYWORDS) + ")"), F.regexp_extract(match, r"^[\w.-]*?[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/=.~-]{8,}+)$", 1)).otherwise(match)
     value = F.when(value == "", match).otherwise(value)
     rows = rows.select(id_col, at.alias("_at"), match.alias("_match"), value.alias("value"), F.right(F.col("_one.gap"), F.lit(AROUND)).alias("_gap"), F.left(F.col("_one.next"), F.lit(AROUND)).alias("after"))
     lead = F.length("_match") - F.length("value")
