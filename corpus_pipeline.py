@@ -1,7 +1,8 @@
 """A corpus pipeline: toxic documents go, near copies go, benchmark passages go, secrets are masked, text is encoded.
 
 Every stage works on all that the one before kept, which is written to the shared folder and read again.
-Ids are unique in ``documents``. Rows with a null id or text pass the filters and are encoded as empty text.
+Rows are told apart by a key that the first stage gives and all but the last pass on, so ids may be null or repeated:
+every row is judged by its own text. Null texts pass the filters and are encoded as empty text.
 """
 
 from __future__ import annotations
@@ -11,34 +12,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, decontam, jaccard, secrets, toxicity
-from ledgerloom.llm.shared import drop_ids, stored
+from ledgerloom.llm.shared import BROADCAST_KEYS, ROW_KEY, drop_ids, keyed, stored
 from ledgerloom.session import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under one half."""
+    docs = keyed(docs)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     rows = docs.select("doc_id", "text")
     model = toxicity.fit(rows.join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
-    toxic = stored(toxicity.score(rows, model).where("score >= 0.5").select("doc_id"), "toxic")
-    return drop_ids(docs, toxic, "doc_id")
+    toxic = stored(toxicity.score(docs, model, ROW_KEY).where("score >= 0.5").select(ROW_KEY), "toxic")
+    return drop_ids(docs, toxic, ROW_KEY)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of linked documents."""
-    copies = stored(jaccard.link(docs).where("doc_id <> component_id").select("doc_id"), "copies")
-    return drop_ids(docs, copies, "doc_id")
+    """One row of each group of linked rows: that of the smallest id, null ids last, then of the smallest key."""
+    docs = keyed(docs)
+    links = stored(jaccard.link(docs, ROW_KEY).where(F.col(ROW_KEY) != F.col("component_id")).select(ROW_KEY, "component_id"), "links")
+    heads = links.select(F.col("component_id").alias(ROW_KEY), "component_id").distinct()
+    members = stored(links.union(heads), "members")  # groups of several rows only
+    side = F.broadcast(members) if members.count() <= BROADCAST_KEYS else members
+    order = F.struct(F.col("doc_id").isNull().alias("_no_id"), "doc_id", ROW_KEY)
+    best = docs.select("doc_id", ROW_KEY).join(side, ROW_KEY).groupBy("component_id").agg(F.min(order).alias("_best"))
+    best = stored(best.select(F.col(f"_best.{ROW_KEY}").alias(ROW_KEY)), "best")
+    copies = stored(drop_ids(members.select(ROW_KEY), best, ROW_KEY), "copies")
+    return drop_ids(docs, copies, ROW_KEY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    found = stored(decontam.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return drop_ids(docs, found, "doc_id")
+    docs = keyed(docs)
+    found = stored(decontam.find(docs, table(spark, sf_dir, "benchmark"), ROW_KEY).select(ROW_KEY).distinct(), "leaks")
+    return drop_ids(docs, found, ROW_KEY)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark; ``n_chars`` follows the text."""
-    clean = secrets.redact(docs, secrets.fit(spark))
+    clean = secrets.redact(keyed(docs), secrets.fit(spark))
     return clean.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else clean
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import stored
+from ledgerloom.llm.shared import ROW_KEY, keyed, stored
 
 #: Words before a value that name a credential, in lower case.
 KEYWORDS = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "auth", "credential", "private_key", "client_secret", "bearer")
@@ -146,18 +146,19 @@ def scan(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", t
     return judged.select(id_col, "at", "value", "before", "after", F.round("probability", 6).alias("probability"), (F.col("probability") >= threshold).alias("is_secret"))
 
 
-def redact(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", broadcast_rows: int = 200_000) -> DataFrame:
+def redact(df: DataFrame, model, text_col: str = "text", mark: str = "[SECRET]", broadcast_rows: int = 200_000) -> DataFrame:
     """``df`` with every secret in its text replaced by ``mark``; all rows and columns stay.
 
-    The places of the secrets are joined back by id; they are broadcast only when their counted rows are few.
-    Ids are taken as unique; rows with a null id keep their text.
+    The places of the secrets are joined back by a row key, so ids may be null or repeated; they are broadcast
+    only when their counted rows are few.
     """
-    own = scan(df.where(F.col(id_col).isNotNull()), model, id_col, text_col).where("is_secret")
-    places = own.select(id_col, F.struct("at", F.length("value").alias("n")).alias("_place")).groupBy(id_col)
+    rows = keyed(df)
+    own = scan(rows, model, ROW_KEY, text_col).where("is_secret")
+    places = own.select(ROW_KEY, F.struct("at", F.length("value").alias("n")).alias("_place")).groupBy(ROW_KEY)
     found = stored(places.agg(F.sort_array(F.collect_set("_place"), asc=False).alias("_places")), "secrets")
     side = F.broadcast(found) if found.count() <= broadcast_rows else found
     text = F.col(text_col)
     cut = lambda t, p: F.concat(F.left(t, p["at"]), F.lit(mark), F.substring(t, p["at"] + p["n"] + 1, F.length(t)))
     clean = F.when(F.col("_places").isNull(), text).otherwise(F.aggregate(F.col("_places"), text, cut))
-    out = df.join(side, id_col, "left").withColumn(text_col, clean)
+    out = rows.join(side, ROW_KEY, "left").withColumn(text_col, clean)
     return out.select(*df.columns)

@@ -65,6 +65,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A column that tells rows apart whatever their ids: unique and never null.
+ROW_KEY = "_row_key"
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """``df`` with ``ROW_KEY``, stored so that every read sees the same keys; a frame that has the column is kept."""
+    return df if ROW_KEY in df.columns else stored(df.withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed")
+
+
 _shipped: set[str] = set()
 
 
