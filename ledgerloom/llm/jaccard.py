@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import BROADCAST_KEYS, components, keep_ids, map_arrow, stored
+from ledgerloom.llm.shared import BROADCAST_KEYS, ROW_KEY, components, keep_ids, keyed, map_arrow, stored
 from ledgerloom.llm.wordhash import mix, shingle_sets
 
 GROUPS = 128
@@ -56,7 +56,7 @@ def _set_ids(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def profiles(df: DataFrame, size: int, threshold: int, frequent) -> DataFrame:
-    """(doc_id, n, sid, tokens, point, fine) of every row; only n and sid where the task has emitted the set before."""
+    """(doc_id, row key, n, sid, tokens, point, fine) of every row (doc_id, text, row key); only n and sid where the task has emitted the set before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequent.value if frequent is not None else np.empty(0, np.uint64)
@@ -99,19 +99,19 @@ def profiles(df: DataFrame, size: int, threshold: int, frequent) -> DataFrame:
                 ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
                 flat = np.concatenate([np.empty(0, np.int32), *(x for x in lists if x is not None)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n.astype(np.int64)), pa.array(sid), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())), pa.array(counts, pa.binary()), pa.array(details, pa.binary())],
-                    names=["doc_id", "n", "sid", "tokens", "point", "fine"],
+                    [part.column(0), part.column(2), pa.array(n.astype(np.int64)), pa.array(sid), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())), pa.array(counts, pa.binary()), pa.array(details, pa.binary())],
+                    names=["doc_id", ROW_KEY, "n", "sid", "tokens", "point", "fine"],
                 )
 
     kind = df.schema[0].dataType.simpleString()
-    return map_arrow(df, run, f"doc_id {kind}, n bigint, sid bigint, tokens array<int>, point binary, fine binary")
+    return map_arrow(df, run, f"doc_id {kind}, {ROW_KEY} bigint, n bigint, sid bigint, tokens array<int>, point binary, fine binary")
 
 
 def frequent_tokens(df: DataFrame, size: int) -> np.ndarray:
-    """Sorted tokens of at least ``FREQUENT`` distinct sets among ``SAMPLE_DOCS`` documents of lowest hash."""
-    order = F.xxhash64("doc_id")
-    ids = df.select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS)
-    sample = keep_ids(df, ids.select("doc_id"), "doc_id").select("doc_id", "text")
+    """Sorted tokens of at least ``FREQUENT`` distinct sets among ``SAMPLE_DOCS`` rows of lowest hash."""
+    order = F.xxhash64(ROW_KEY)
+    ids = df.select(ROW_KEY, order.alias("h")).orderBy("h", ROW_KEY).limit(SAMPLE_DOCS)
+    sample = keep_ids(df, ids.select(ROW_KEY), ROW_KEY).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,7 +284,7 @@ def bounded(pairs: DataFrame, points: DataFrame, threshold: int) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sets, computed from the whole texts, reach the threshold.
 
-    A text found by an id that other texts bear too is told by its set's own sum and passed over.
+    A text whose own sum is not its set's is passed over.
     """
     rows = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
     rows = rows.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
@@ -310,9 +310,10 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> D
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 75, leaders: int = 3) -> DataFrame:
     """(id, n_shingles, component_id) of every row; component_id is the smallest id reachable by links."""
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    key = F.col(ROW_KEY).alias(ROW_KEY)
+    docs = keyed(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([key] if ROW_KEY in df.columns else [])))
     held = spark.sparkContext.broadcast(frequent_tokens(docs, size))  # bounded by SAMPLE_DOCS
-    every = stored(profiles(docs, size, threshold, held), "profiles")
+    every = stored(profiles(docs.select("doc_id", "text", ROW_KEY), size, threshold, held), "profiles")
     # one row for each set: tasks emit a set's tokens once, different tasks may repeat it
     some = every.where("n > 0")
     one = F.any_value(F.struct("n", "point", "fine", "tokens")).alias("one")
@@ -322,13 +323,13 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     by_token = Window.partitionBy("token")
     tokens = tokens.repartition("token").withColumn("sets", F.count("*").over(by_token)).where("sets > 1")
     shards = stored(tokens.withColumn("leader", F.min("sid").over(by_token)), "shards")
-    readers = some.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    readers = some.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min(ROW_KEY).alias(ROW_KEY))  # ids may be null
 
     def with_texts(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(readers, "sid")
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(readers.select("sid", ROW_KEY), "sid")
         needed = stored(needed, "needed")
         small = needed.count() <= BROADCAST_KEYS
-        return docs.join(F.broadcast(needed) if small else needed, "doc_id").select("sid", "text")
+        return docs.join(F.broadcast(needed) if small else needed, ROW_KEY).select("sid", "text")
 
     # first round: the leaders that share most tokens with a set
     likely = shards.where("sid <> leader").groupBy("sid", "leader").agg(F.count("*").alias("k"))
