@@ -69,7 +69,7 @@ class Codec:
         import regex
         import sentencepiece
 
-        self.tokens = tokens
+        self.tokens = pa.array(tokens, pa.binary())
         self.piece = sentencepiece.SentencePieceProcessor(model_proto=model)
         # white space as the pattern's own engine has it: the Unicode property, without U+001C to U+001F
         self.pretoken = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
@@ -123,8 +123,13 @@ class Codec:
             found[k] = made[part]
         return [made["\0" + head] + b"".join(found) for head, found in cut]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """Bytes of each list of ids, taken from the vocabulary's one buffer; null lists have none."""
+        lists = lists.fill_null([]) if lists.null_count else lists
+        ends = lists.offsets.to_numpy()
+        pieces = self.tokens.take(lists.flatten())
+        bounds = np.frombuffer(pieces.buffers()[1], np.int32)[: len(pieces) + 1] if len(pieces) else np.zeros(1, np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(bounds[ends - ends[0]])), pieces.buffers()[2] if len(pieces) else pa.py_buffer(b"")])
 
 
 def _codec(key: str, tokens: list[bytes], model: bytes, pattern: str) -> Codec:
@@ -133,10 +138,6 @@ def _codec(key: str, tokens: list[bytes], model: bytes, pattern: str) -> Codec:
     return _state["codec"]
 
 
-def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != name), column], names=[*(n for n in batch.schema.names if n != name), name])
-
-
 def codec_for(spark, path: str, pattern: str) -> Callable[[], Codec]:
     """Broadcasts the vocabulary (fixed size, it does not grow with the data) and makes the codec per worker."""
     tokens = read_ranks(path)
@@ -144,8 +145,14 @@ def codec_for(spark, path: str, pattern: str) -> Callable[[], Codec]:
     return lambda: _codec(f"{path}|{pattern}", *held.value)
 
 
-def encode(df: DataFrame, codec: Callable[[], Codec], id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """(id, ids array<int>[, text]) of every row."""
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    ends = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
+def encode(df: DataFrame, codec: Callable[[], Codec], id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids array<int>[, decoded binary]) of every row; ``decoded`` is decoded from the ids in the same stage."""
     rows = df.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +160,12 @@ def encode(df: DataFrame, codec: Callable[[], Codec], id_col: str = "doc_id", te
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                ids = one.encode(part.column(1).to_pylist())
-                ends = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                columns = [part.column(0), lists] + ([part.column(1)] if keep_text else [])
-                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids"] + (["text"] if keep_text else []))
+                ids = _lists(one.encode(part.column(1).to_pylist()))
+                columns = [part.column(0), ids] + ([one.decode(ids)] if decoded else [])
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids"] + ["decoded"] * decoded)
 
     kind = rows.schema[0].dataType.simpleString()
-    return map_arrow(rows, run, f"`{id_col}` {kind}, ids array<int>" + (", text string" if keep_text else ""))
+    return map_arrow(rows, run, f"`{id_col}` {kind}, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(df: DataFrame, codec: Callable[[], Codec], id_col: str = "doc_id") -> DataFrame:
@@ -173,8 +177,7 @@ def decode(df: DataFrame, codec: Callable[[], Codec], id_col: str = "doc_id") ->
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                decoded = [one.decode(x) if x else b"" for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(decoded, pa.binary())], names=[id_col, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), one.decode(part.column(1))], names=[id_col, "ids", "decoded"])
 
     kind = rows.schema[0].dataType.simpleString()
     return map_arrow(rows, run, f"`{id_col}` {kind}, ids array<int>, decoded binary")

@@ -55,7 +55,7 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.codec_for(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), codec), codec)
+    found = bpe.encode(table(spark, sf_dir, "documents"), codec, decoded=True)
     return found.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
