@@ -32,22 +32,21 @@ CACHE = 250_000
 SLICE = 512
 NULL_ID = -(2**63)
 MANIFEST = "part int, n_docs bigint, n_tokens bigint, width int, folder string"
-#: Composed Latin letters whose lower case is one letter (U+0130 has two), and punctuation after them.
-_PLAIN = re.compile(r"((?:(?![\u0130×÷])[a-zA-Z\u00c0-\u024f])+)([,.!?;:]*)")
+#: Composed Latin letters whose lower case is one letter (U+0130 has two), and ASCII punctuation after them.
+_PLAIN = re.compile(r"((?:(?![\u0130×÷])[a-zA-Z\u00c0-\u024f])+)([!-&(-/:;=-@\[-`{-~]*)")
 _state: dict = {}
 
 
 class WordEncoder:
-    """Encodes texts with a ``tokenizers`` file whose pre-tokeniser never joins text over a plain space.
+    """Encodes texts with a ``tokenizers`` file whose pre-tokeniser never joins text over white space.
 
-    Texts are cut at plain spaces and each word is encoded by the library once; words are then looked up.
+    Texts are cut at plain spaces and line ends and each word is encoded by the library once; words are then looked up.
     """
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.code = "H" if dtype == "<u2" else "I"  # arrays of machine integers; executors are little-endian
         self.table = dict(enumerate(byte_alphabet()))
         # words seen lately in two generations: what is still in use outlives a full one
@@ -85,14 +84,18 @@ class WordEncoder:
         if len(self.known) > CACHE:
             self.known, self.before = {}, self.known
         known = self.known
-        words = [t.split(" ") if t else [] for t in texts]
-        fresh = {w for ws in words for w in ws if w not in known}
+        # a line end is white space to the library as a blank is, and no special token holds either
+        words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        found = [list(map(known.get, ws)) for ws in words]
+        holes = [k for k, ids in enumerate(found) if None in ids]
+        fresh = {w for k in holes for w, ids in zip(words[k], found[k], strict=True) if ids is None}
         self._learn(fresh)
-        out = [b"".join([known[w] for w in ws]) for ws in words]
+        for k in holes:
+            found[k] = list(map(known.get, words[k]))
         for word in fresh:
             if len(word) > 64:
                 known.pop(word, None)
-        return out
+        return list(map(b"".join, found))
 
 
 def _encoder(path: str, dtype: str) -> WordEncoder:
