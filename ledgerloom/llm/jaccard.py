@@ -1,25 +1,28 @@
 """N-gram Jaccard self-join by count-vector R-trees.
 
-A document's set is its distinct word shingles. Its tokens (shingle hashes) are hashed into ``GROUPS`` groups
-and the counts by group are a point. Of two sets, the sum over groups of the smaller count bounds the
-overlap, so an R-tree over points prunes whole boxes: a pair of boxes whose summed coordinate minima stay
-under the overlap that the threshold asks of their smallest sizes has no link. Pairs that survive meet the same
-bound once more on points of ``FINE`` groups and are then verified on the whole texts.
+A document's set is its distinct word shingles. Its tokens (shingle hashes) are hashed into ``FINE`` groups and the
+counts by group are a point. Of two sets, the sum over groups of the smaller count bounds the overlap, so an
+R-tree over points (folded to ``GROUPS`` coordinates for its boxes) prunes whole boxes: a pair of boxes whose summed
+coordinate minima stay under the overlap that the threshold asks of their smallest sizes has no link. Pairs of
+points that survive meet the same bound on all ``FINE`` groups and are then verified on the whole texts.
 
 One tree over everything would be one task, so there is a tree for each shard, and shards follow from a rule
 that loses no pair: under any fixed order of tokens, two sets with J >= t share a token among the first
-``n - ceil(t n) + 1`` of each. Each such token is a shard. The order puts tokens that are frequent in a bounded
-sample of documents last and is by hash otherwise; the sample steers cost only, never the result.
-
-Equal sets are one row from the start (a 64-bit sum of their token hashes). Then two rounds: first every set
-is verified against the shard-mates most likely to be linked with it, which joins families of copies without
-comparing all their pairs; then trees are built for the shards that still hold several components, and only
-pairs across components are verified. Links inside a component cannot change it. Shards of more than
+``n - ceil(t n) + 1`` of each. Each such token is a shard; tokens that the same sets share are one shard. The order
+puts frequent tokens last and is by hash otherwise. Frequencies are estimated over all documents, by a count
+sketch of fixed size that tasks fill and that is added up; they steer cost only, never the result.
+
+Equal sets are one row from the start (128 bits of sums of their token hashes). Then leader rounds: every set is
+verified against the shard-mate of another component that leads most of its shards, which joins families of copies
+without comparing all their pairs; rounds go on while a good part of what they verify is linked. Then trees are
+built for the shards that still hold several components, boxes of one component are not descended into, and only
+pairs across components are verified; links inside a component cannot change it. A pair that meets in several
+shards is taken in the first only, as far as the ``EARLIER`` first shards of both sets tell. Shards of more than
 ``BLOCK`` sets are dealt to tasks by pairs of blocks.
 
 Defined results: null and empty texts have an empty set (n_shingles 0) and are their own component; fewer
 than five words are one shingle; rows with a null id take part and get the smallest non-null id of their
-component; repeated rows are linked.
+component, null where it has none; repeated rows are linked.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import BROADCAST_KEYS, ROW_KEY, components, keep_ids, keyed, map_arrow, stored
+from ledgerloom.llm.shared import BROADCAST_KEYS, ROW_KEY, components, keyed, map_arrow, stored
 from ledgerloom.llm.wordhash import mix, shingle_sets
 
 GROUPS = 128
@@ -39,8 +42,15 @@ FINE = 512
 LEAF = 32
 BLOCK = 4096
 SLICE = 512
-SAMPLE_DOCS = 16_000
-FREQUENT = 6
+EARLIER = 16
+#: Box pairs, and pairs of points, looked at in one step: some 8 MB of coordinates.
+BOXES = 16
+STEP = 4096
+#: The count sketch: rows of 2**16 signed counters. A token is frequent in this share of distinct sets.
+SKETCH = 3
+FREQUENT_SHARE = 6 / 16_000
+FREQUENT_LEAST = 6
+ROUNDS = 6
 
 
 def _prefix(n: np.ndarray, threshold: int) -> np.ndarray:
@@ -48,81 +58,111 @@ def _prefix(n: np.ndarray, threshold: int) -> np.ndarray:
     return n - (threshold * n + 99) // 100 + 1
 
 
-def _set_ids(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each set: the mixed sum of its mixed tokens and its size."""
-    with np.errstate(over="ignore"):
-        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens + np.uint64(1)), dtype=np.uint64)])
-        return mix(running[first[1:]] - running[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
+def _set_ids(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each set: mixed sums of its tokens, mixed in two ways, and of its size."""
+    out = []
+    for salt in (1, 0x5851F42D4C957F2D):
+        with np.errstate(over="ignore"):
+            running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens + np.uint64(salt)), dtype=np.uint64)])
+            out.append(mix(running[first[1:]] - running[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
+def _slots(tokens: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counter and sign of each token in one row of the sketch."""
+    return ((tokens >> np.uint64(16 * row)) & np.uint64(0xFFFF)).astype(np.int64), ((tokens >> np.uint64(63 - row)) & np.uint64(1)).astype(np.float64) * 2 - 1
 
 
-def profiles(df: DataFrame, size: int, threshold: int, frequent) -> DataFrame:
-    """(doc_id, row key, n, sid, tokens, point, fine) of every row (doc_id, text, row key); only n and sid where the task has emitted the set before."""
+def token_sketch(df: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """The count sketch of the tokens of all distinct sets (as each task sees them), and their number."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen, sets = np.zeros((SKETCH, 1 << 16)), set(), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                tokens, first = shingle_sets(batch.column(0).slice(at, SLICE), size)
+                n = np.diff(first)
+                fresh = np.zeros(len(n), bool)
+                for i, key in enumerate(_set_ids(tokens, first)[0].tolist()):
+                    if n[i] and key not in seen:
+                        seen.add(key)
+                        fresh[i] = True
+                if len(seen) > 200_000:
+                    seen.clear()
+                sets += int(fresh.sum())
+                tokens = tokens[np.repeat(fresh, n)]
+                for row in range(SKETCH):
+                    slot, sign = _slots(tokens, row)
+                    counts[row] += np.bincount(slot, sign, minlength=1 << 16)
+        if sets:
+            parts = counts.reshape(-1, 1 << 12)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "sets": pa.array([sets] * len(parts), pa.int64()), "counts": [p.tobytes() for p in parts]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            for part, sets, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = total.setdefault(part, [0, 0.0])
+                held[0], held[1] = held[0] + sets, held[1] + np.frombuffer(counts)
+        if total:
+            yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "sets": pa.array([v[0] for v in total.values()], pa.int64()), "counts": [v[1].tobytes() for v in total.values()]})
+
+    schema = "part int, sets bigint, counts binary"
+    filled = map_arrow(df.select("text"), fill, schema)
+    rows = sorted(map_arrow(filled.repartition("part"), add, schema).collect())  # 48 rows of 32 KB
+    whole = np.concatenate([np.frombuffer(r.counts) for r in rows]) if rows else np.zeros(SKETCH << 16)
+    return whole.reshape(SKETCH, 1 << 16), rows[0].sets if rows else 0
+
+
+def profiles(df: DataFrame, size: int, threshold: int, held) -> DataFrame:
+    """(doc_id, row key, n, h1, h2, tokens, common, fine) of every row (doc_id, text, row key).
+
+    ``tokens`` and ``common`` are the rare and the frequent tokens to be looked at; they and ``fine`` are null where the
+    task has emitted the set before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = frequent.value if frequent is not None else np.empty(0, np.uint64)
-        seen: set[int] = set()
+        sketch, sets = held.value
+        least = max(FREQUENT_LEAST, FREQUENT_SHARE * sets)
+        seen: set = set()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 tokens, first = shingle_sets(part.column(1), size)
                 n = np.diff(first)
-                owner = np.repeat(np.arange(len(n)), n)
-                sid = _set_ids(tokens, first)
-                fine = np.bincount(owner * FINE + (tokens % np.uint64(FINE)).astype(np.int64), minlength=len(n) * FINE).reshape(len(n), FINE)
-                points = fine.reshape(len(n), FINE // GROUPS, GROUPS).sum(1)
-                details: list = []
-                late = np.zeros(len(tokens), bool)
-                if len(common):
-                    spot = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-                    late = common[spot] == tokens
+                h1, h2 = _set_ids(tokens, first)
+                late = np.ones(len(tokens), bool)
+                for row in range(SKETCH):
+                    slot, sign = _slots(tokens, row)
+                    late &= sketch[row][slot] * sign >= least
                 short = (tokens >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                lists: list = []
-                counts: list = []
                 take = _prefix(n, threshold)
-                for i, key in enumerate(sid.tolist()):
-                    fresh = n[i] > 0 and key not in seen
-                    if fresh:
+                rare: list = [None] * len(n)
+                common: list = [None] * len(n)
+                fine: list = [None] * len(n)
+                for i, key in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
+                    if n[i] and key not in seen:
                         seen.add(key)
                         a, b = first[i], first[i + 1]
-                        mine = late[a:b]
-                        own = short[a:b] if not mine.any() else np.concatenate([short[a:b][~mine], short[a:b][mine]])
-                        lists.append(own[: take[i]])
-                        counts.append(_pack(points[i]))
-                        details.append(_pack(fine[i]))
-                    else:
-                        lists.append(None)
-                        counts.append(None)
-                        details.append(None)
+                        rare[i] = short[a:b][~late[a:b]][: take[i]]
+                        common[i] = short[a:b][late[a:b]][: take[i] - len(rare[i])]
+                        fine[i] = _pack(np.bincount((tokens[a:b] % np.uint64(FINE)).astype(np.int64), minlength=FINE))
                 if len(seen) > 200_000:
                     seen.clear()
-                lengths = [0 if x is None else len(x) for x in lists]
-                ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                flat = np.concatenate([np.empty(0, np.int32), *(x for x in lists if x is not None)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(n.astype(np.int64)), pa.array(sid), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())), pa.array(counts, pa.binary()), pa.array(details, pa.binary())],
-                    names=["doc_id", ROW_KEY, "n", "sid", "tokens", "point", "fine"],
+                    [part.column(0), part.column(2), pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), _lists(rare), _lists(common), pa.array(fine, pa.binary())],
+                    names=["doc_id", ROW_KEY, "n", "h1", "h2", "tokens", "common", "fine"],
                 )
 
     kind = df.schema[0].dataType.simpleString()
-    return map_arrow(df, run, f"doc_id {kind}, {ROW_KEY} bigint, n bigint, sid bigint, tokens array<int>, point binary, fine binary")
+    return map_arrow(df, run, f"doc_id {kind}, {ROW_KEY} bigint, n bigint, h1 bigint, h2 bigint, tokens array<int>, common array<int>, fine binary")
 
 
-def frequent_tokens(df: DataFrame, size: int) -> np.ndarray:
-    """Sorted tokens of at least ``FREQUENT`` distinct sets among ``SAMPLE_DOCS`` rows of lowest hash."""
-    order = F.xxhash64(ROW_KEY)
-    ids = df.select(ROW_KEY, order.alias("h")).orderBy("h", ROW_KEY).limit(SAMPLE_DOCS)
-    sample = keep_ids(df, ids.select(ROW_KEY), ROW_KEY).select("doc_id", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                tokens, first = shingle_sets(batch.column(1).slice(at, SLICE), size)
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(_set_ids(tokens, first)), lists], names=["sid", "tokens"])
-
-    sets = map_arrow(sample, run, "sid bigint, tokens array<bigint>").groupBy("sid").agg(F.any_value("tokens").alias("tokens"))
-    found = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") >= FREQUENT).select("token")
-    return np.sort(np.array([r.token for r in found.collect()], np.int64).view(np.uint64))  # bounded by the sample
+def _lists(arrays: list) -> pa.ListArray:
+    ends = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([0 if x is None else len(x) for x in arrays], out=ends[1:])
+    flat = np.concatenate([np.empty(0, np.int32), *(x for x in arrays if x is not None)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -133,7 +173,7 @@ def _pack(counts: np.ndarray) -> bytes:
     return counts.astype("<u1" if top < 2**8 else "<u2" if top < 2**16 else "<u4").tobytes()
 
 
-def _points(column: pa.ChunkedArray | pa.Array, groups: int = GROUPS) -> np.ndarray:
+def _points(column: pa.ChunkedArray | pa.Array, groups: int = FINE) -> np.ndarray:
     """The packed points of a column as a matrix."""
     cells = column.to_pylist()
     out = np.empty((len(cells), groups), np.int32)
@@ -151,6 +191,11 @@ def _points(column: pa.ChunkedArray | pa.Array, groups: int = GROUPS) -> np.ndar
     return out
 
 
+def fold(points: np.ndarray) -> np.ndarray:
+    """Points of ``FINE`` groups as points of ``GROUPS`` groups."""
+    return points.reshape(len(points), FINE // GROUPS, GROUPS).sum(1)
+
+
 def _possible(bound: np.ndarray, least: np.ndarray, threshold: int) -> np.ndarray:
     """Whether an overlap of at most ``bound`` can reach the threshold when sizes sum to at least ``least``."""
     return (100 + threshold) * bound >= threshold * least
@@ -159,135 +204,151 @@ def _possible(bound: np.ndarray, least: np.ndarray, threshold: int) -> np.ndarra
 class Tree:
     """An R-tree over points packed bottom-up; ``levels[0]`` are leaves of ``LEAF`` points."""
 
-    def __init__(self, points: np.ndarray, n: np.ndarray):
+    def __init__(self, points: np.ndarray, n: np.ndarray, comp: np.ndarray):
         # sort by size, then tile by the coordinates that vary most
         spread = np.argsort(points.var(0))[::-1][:2]
         tile = np.argsort(np.argsort(n, kind="stable"), kind="stable") // max(1, LEAF * 4)
         self.order = np.lexsort((points[:, spread[1]], points[:, spread[0]], tile))
-        self.points, self.n = points[self.order], n[self.order]
-        self.levels = []
-        high, low_n, high_n = self.points, self.n, self.n
-        while not self.levels or len(high) > 1:
+        points, n, comp = points[self.order], n[self.order], comp[self.order]
+        self.levels = [(points, n, n, comp, comp)]
+        while len(self.levels) < 2 or len(self.levels[-1][0]) > 1:
+            high, low_n, high_n, low_c, high_c = self.levels[-1]
             cut = np.arange(0, len(high), LEAF)
-            high, low_n, high_n = np.maximum.reduceat(high, cut), np.minimum.reduceat(low_n, cut), np.maximum.reduceat(high_n, cut)
-            self.levels.append((high, low_n, high_n))
-
-    def pairs(self, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of points (as places in the input) that no bound rules out."""
-        a = b = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
-            size = len(self.levels[level - 1][0]) if level else len(self.n)
-            high, low_n, high_n = self.levels[level - 1] if level else (self.points, self.n, self.n)
-            out = []
-            for at in range(0, len(a), 256):
-                i = (a[at : at + 256, None] * LEAF + np.arange(LEAF))[:, :, None]
-                j = (b[at : at + 256, None] * LEAF + np.arange(LEAF))[:, None, :]
-                i, j = (x.ravel() for x in np.broadcast_arrays(i, j))
-                keep = (i < size) & (j < size) & ((i <= j) if level else (i < j))
-                i, j = i[keep], j[keep]
-                keep = (100 * high_n[i] >= threshold * low_n[j]) & (100 * high_n[j] >= threshold * low_n[i])
-                i, j = i[keep], j[keep]
-                keep = _possible(np.minimum(high[i], high[j]).sum(1), low_n[i] + low_n[j], threshold)
-                out.append((i[keep], j[keep]))
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        return self.order[a], self.order[b]
-
-
-def _leaf_pairs(start: np.ndarray, size: np.ndarray, differ) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows inside each short run of rows, a leaf each, for which ``differ`` holds."""
-    out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+            self.levels.append((np.maximum.reduceat(high, cut), np.minimum.reduceat(low_n, cut), np.maximum.reduceat(high_n, cut), np.minimum.reduceat(low_c, cut), np.maximum.reduceat(high_c, cut)))
+
+    def pairs(self, threshold: int, level: int | None = None, a: np.ndarray | None = None, b: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of points (as places in the input) that no bound rules out and that are not of one component, a few at a time."""
+        if level is None:
+            level, a, b = len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64)
+        high, low_n, high_n, low_c, high_c = self.levels[level - 1]
+        for at in range(0, len(a), BOXES):
+            i = (a[at : at + BOXES, None] * LEAF + np.arange(LEAF))[:, :, None]
+            j = (b[at : at + BOXES, None] * LEAF + np.arange(LEAF))[:, None, :]
+            i, j = (x.ravel() for x in np.broadcast_arrays(i, j))
+            keep = (i < len(high)) & (j < len(high)) & ((i <= j) if level > 1 else (i < j))
+            i, j = i[keep], j[keep]
+            keep = (100 * high_n[i] >= threshold * low_n[j]) & (100 * high_n[j] >= threshold * low_n[i])
+            keep &= (np.minimum(low_c[i], low_c[j]) < np.maximum(high_c[i], high_c[j]))
+            i, j = i[keep], j[keep]
+            keep = _possible(np.minimum(high[i], high[j]).sum(1), low_n[i] + low_n[j], threshold)
+            i, j = i[keep], j[keep]
+            if level > 1:
+                yield from self.pairs(threshold, level - 1, i, j)
+            elif len(i):
+                yield self.order[i], self.order[j]
+
+
+def _leaf_pairs(start: np.ndarray, size: np.ndarray, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows inside each short run of rows, a leaf each, for which ``wanted`` holds."""
     last = np.repeat(start + size, size)
     rows = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
     for step in range(1, int(size.max()) if len(size) else 0):
         keep = rows + step < last
         rows, last = rows[keep], last[keep]
-        apart = differ(rows, rows + step)
-        out.append((rows[apart], rows[apart] + step))
-    a, b = zip(*out, strict=True)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _bounded_pairs(points: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    keep = 100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
-    i, j = i[keep], j[keep]
-    kept = [np.empty(0, bool)]
-    for at in range(0, len(i), 65_536):
-        x, y = i[at : at + 65_536], j[at : at + 65_536]
-        kept.append(_possible(np.minimum(points[x], points[y]).sum(1), n[x] + n[y], threshold))
-    keep = np.concatenate(kept)
-    return i[keep], j[keep]
+        apart = wanted(rows, rows + step)
+        yield rows[apart], rows[apart] + step
 
 
 def tree_pairs(shards: DataFrame, threshold: int) -> DataFrame:
     """(a, b) pairs of sets of different components that share a shard and pass its R-tree; distinct.
 
-    Rows arrive sorted by shard. Shards of at most one leaf are compared many at a time.
+    Rows (x1, x2, lo, hi, block, key, comp, n, fine, earlier) arrive sorted by shard. Shards of at most one leaf are
+    compared many at a time.
     """
 
-    def pairs_of(rows: pa.Table) -> pa.RecordBatch:
-        key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("token", "lo", "hi")], axis=1)
-        sid, n, comp, block = (rows.column(c).to_numpy() for c in ("sid", "n", "comp", "block"))
-        split = key[:, 1] != key[:, 2]
-
-        def differ(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return (comp[i] != comp[j]) & (~split[i] | (block[i] != block[j]))
-
-        points = _points(rows.column("point"))
-        start = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1])
-        size = np.diff(np.append(start, len(key)))
-        small = size <= LEAF
-        found = [_bounded_pairs(points, n, *_leaf_pairs(start[small], size[small], differ), threshold)]
-        for a, m in zip(start[~small].tolist(), size[~small].tolist(), strict=True):
-            i, j = Tree(points[a : a + m], n[a : a + m]).pairs(threshold)
-            apart = differ(i + a, j + a)
-            found.append((i[apart] + a, j[apart] + a))
-        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        both = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+    def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        shard = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("x1", "x2", "lo", "hi")], axis=1)
+        key, n, comp, block = (rows.column(c).to_numpy() for c in ("key", "n", "comp", "block"))
+        split = shard[:, 2] != shard[:, 3]
+        fine = _points(rows.column("fine"))
+        # the first shards of each set; what is at or after the row's own does not count, and no two sets share the filler
+        lists = rows.column("earlier").combine_chunks()
+        ends = lists.offsets.to_numpy()
+        earlier = np.full((len(key), EARLIER), -1, np.int64)
+        owner = np.repeat(np.arange(len(key)), np.diff(ends))
+        earlier[owner, np.arange(len(owner)) - np.repeat(ends[:-1] - ends[0], np.diff(ends))] = lists.flatten().to_numpy()
+        valid = np.arange(EARLIER)[None, :] < np.diff(ends)[:, None]
+        valid &= earlier < shard[:, :1]
+
+        def wanted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return (comp[i] != comp[j]) & (~split[i] | (block[i] != block[j])) & (100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
+
+        def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            out = [(i[:0], j[:0])]
+            for at in range(0, len(i), STEP):
+                x, y = i[at : at + STEP], j[at : at + STEP]
+                keep = _possible(np.minimum(fine[x], fine[y]).sum(1), n[x] + n[y], threshold)
+                x, y = x[keep], y[keep]
+                met = ((earlier[x][:, :, None] == earlier[y][:, None, :]) & valid[x][:, :, None] & valid[y][:, None, :]).any((1, 2))
+                out.append((x[~met], y[~met]))
+            return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            start = np.concatenate([[0], np.flatnonzero((shard[1:] != shard[:-1]).any(1)) + 1])
+            size = np.diff(np.append(start, len(shard)))
+            small = size <= LEAF
+            for i, j in _leaf_pairs(start[small], size[small], wanted):
+                yield kept(i, j)
+            for a, m in zip(start[~small].tolist(), size[~small].tolist(), strict=True):
+                for i, j in Tree(fold(fine[a : a + m]), n[a : a + m], comp[a : a + m]).pairs(threshold):
+                    apart = wanted(i + a, j + a)
+                    yield kept(i[apart] + a, j[apart] + a)
+
+        ready, waiting = [], 0
+        for i, j in found():
+            if len(i):
+                ready.append((np.minimum(key[i], key[j]), np.maximum(key[i], key[j])))
+                waiting += len(i)
+            if waiting > 65_536:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*ready, strict=True)], names=["a", "b"])
+                ready, waiting = [], 0
+        if ready:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*ready, strict=True)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # whole shards at a time: a batch is cut where its last shard begins
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in range(3))
-            same = np.logical_and.reduce([batch.column(c).to_numpy() == last[c] for c in range(3)])
-            cut = batch.num_rows if same.all() and (not held or tuple(held[0].column(c)[0].as_py() for c in range(3)) == last) else int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if cut < batch.num_rows or (held and cut == 0):
+            ids = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], axis=1)
+            begins = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1
+            if held and tuple(ids[0]) != tuple(held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in range(4)):
+                begins = np.concatenate([[0], begins])
+            if len(begins):
+                cut = int(begins[-1])
                 ready = held + ([batch.slice(0, cut)] if cut else [])
                 if ready:
-                    yield pairs_of(pa.Table.from_batches(ready))
+                    yield from pairs_of(pa.Table.from_batches(ready))
                 held = [batch.slice(cut)]
             else:
                 held.append(batch)
         if held:
-            yield pairs_of(pa.Table.from_batches(held))
+            yield from pairs_of(pa.Table.from_batches(held))
 
     return map_arrow(shards, run, "a bigint, b bigint").distinct()
 
 
-def bounded(pairs: DataFrame, points: DataFrame, threshold: int) -> DataFrame:
+def bounded(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) that the count-vector bound does not rule out."""
-    side = lambda s: points.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("fine").alias(f"p{s}"))
+    side = lambda s: sets.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("fine").alias(f"p{s}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)").select("a", "b", "na", "nb", "pa", "pb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                bound = np.minimum(_points(batch.column(4), FINE), _points(batch.column(5), FINE)).sum(1)
-                keep = _possible(bound, batch.column(2).to_numpy() + batch.column(3).to_numpy(), threshold)
-                yield batch.select([0, 1]).filter(pa.array(keep))
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                bound = np.minimum(_points(part.column(4)), _points(part.column(5))).sum(1)
+                keep = _possible(bound, part.column(2).to_numpy() + part.column(3).to_numpy(), threshold)
+                yield part.select([0, 1]).filter(pa.array(keep))
 
     return map_arrow(rows, run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets, computed from the whole texts, reach the threshold.
-
-    A text whose own sum is not its set's is passed over.
-    """
-    rows = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
-    rows = rows.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    """The pairs (a, b) whose sets, computed from the whole texts, reach the threshold."""
+    rows = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    rows = rows.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,64 +356,97 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> D
                 part = batch.slice(at, SLICE)
                 left, lf = shingle_sets(part.column(2), size)
                 right, rf = shingle_sets(part.column(3), size)
-                mine = (_set_ids(left, lf) == part.column(0).to_numpy()) & (_set_ids(right, rf) == part.column(1).to_numpy())
                 keep = []
                 for k in range(part.num_rows):
                     x, y = left[lf[k] : lf[k + 1]], right[rf[k] : rf[k + 1]]
                     spot = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
                     common = int((y[spot] == x).sum()) if len(y) else 0
-                    keep.append(bool(mine[k]) and 100 * common >= threshold * (len(x) + len(y) - common))
+                    keep.append(100 * common >= threshold * (len(x) + len(y) - common))
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(rows, run, "a bigint, b bigint")
 
 
+def shards_of(sets: DataFrame) -> DataFrame:
+    """(x1, x2, key, weight) of every set in every shard of several sets; ``weight`` is how many tokens are that shard.
+
+    A shard is named by two 64-bit sums over its members, so tokens that the same sets share are one. Rare tokens meet
+    in one task each; frequent ones are counted before they are shuffled, and their join is split where it is skewed.
+    """
+    names = {"sets": F.count("*"), "x1": F.bit_xor(F.xxhash64("key")), "x2": F.bit_xor(F.xxhash64("key", F.lit(1)))}
+    by_token = Window.partitionBy("token")
+    rare = sets.select(F.explode("tokens").alias("token"), "key").repartition("token").withColumn("sets", names["sets"].over(by_token)).where("sets > 1")
+    rare = rare.withColumns({c: names[c].over(by_token) for c in ("x1", "x2")})
+    often = sets.select(F.explode("common").alias("token"), "key")
+    often = often.join(often.groupBy("token").agg(*(x.alias(c) for c, x in names.items())).where("sets > 1"), "token")
+    both = rare.select("x1", "x2", "key").union(often.select("x1", "x2", "key"))
+    return both.groupBy("x1", "x2", "key").agg(F.count("*").alias("weight"))
+
+
+def _components(shards: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``shards`` with the component of each set."""
+    if roots is None:
+        return shards.withColumn("comp", F.col("key"))
+    return shards.join(roots, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
+
+
+def _leading(shards: DataFrame, order: Column, leaders: int) -> DataFrame:
+    """(a, b): sets b and the ``leaders`` sets of other components that lead most of their shards."""
+    ranges = shards.groupBy("x1", "x2").agg(F.min(F.struct(order.alias("o"), "key", "comp")).alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    rows = shards.join(ranges.select("x1", "x2", F.col("lead.key").alias("leader"), F.col("lead.comp").alias("other")), ["x1", "x2"]).where("comp <> other")
+    votes = rows.groupBy("key", "leader").agg(F.sum("weight").alias("k"))
+    best = Window.partitionBy("key").orderBy(F.desc("k"), "leader")
+    votes = votes.withColumn("r", F.row_number().over(best)).where(F.col("r") <= leaders)
+    return votes.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
+
+
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 75, leaders: int = 3) -> DataFrame:
     """(id, n_shingles, component_id) of every row; component_id is the smallest id reachable by links."""
     spark = df.sparkSession
     key = F.col(ROW_KEY).alias(ROW_KEY)
     docs = keyed(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([key] if ROW_KEY in df.columns else [])))
-    held = spark.sparkContext.broadcast(frequent_tokens(docs, size))  # bounded by SAMPLE_DOCS
+    held = spark.sparkContext.broadcast(token_sketch(docs, size))  # of fixed size
     every = stored(profiles(docs.select("doc_id", "text", ROW_KEY), size, threshold, held), "profiles")
     # one row for each set: tasks emit a set's tokens once, different tasks may repeat it
-    some = every.where("n > 0")
-    one = F.any_value(F.struct("n", "point", "fine", "tokens")).alias("one")
-    points = stored(some.where("point is not null").groupBy("sid").agg(one).select("sid", "one.*"), "points")
-    # from here on a set is one row, so its tokens need no further look for repeats
-    tokens = points.select(F.explode("tokens").alias("token"), "sid")
-    by_token = Window.partitionBy("token")
-    tokens = tokens.repartition("token").withColumn("sets", F.count("*").over(by_token)).where("sets > 1")
-    shards = stored(tokens.withColumn("leader", F.min("sid").over(by_token)), "shards")
-    readers = some.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min(ROW_KEY).alias(ROW_KEY))  # ids may be null
+    one = F.any_value(F.when(F.col("fine").isNotNull(), F.struct("n", "fine", "tokens", "common")), F.lit(True)).alias("one")
+    sets = every.where("n > 0").groupBy("h1", "h2").agg(one, F.min("doc_id").alias("doc_id"), F.min(ROW_KEY).alias("row"))  # ids may be null
+    sets = stored(sets.select("h1", "h2", "one.*", "doc_id", "row").withColumn("key", F.monotonically_increasing_id()), "sets")
+    shards = stored(shards_of(sets), "shards")
 
-    def with_texts(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(readers.select("sid", ROW_KEY), "sid")
+    def verify(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key", F.col("row").alias(ROW_KEY)), "key")
         needed = stored(needed, "needed")
-        small = needed.count() <= BROADCAST_KEYS
-        return docs.join(F.broadcast(needed) if small else needed, ROW_KEY).select("sid", "text")
-
-    # first round: the leaders that share most tokens with a set
-    likely = shards.where("sid <> leader").groupBy("sid", "leader").agg(F.count("*").alias("k"))
-    best = Window.partitionBy("sid").orderBy(F.desc("k"), "leader")
-    likely = likely.withColumn("r", F.row_number().over(best)).where(F.col("r") <= leaders).select(F.col("leader").alias("a"), F.col("sid").alias("b"))
-    likely = stored(bounded(likely, points, threshold), "pairs")
-    first = stored(verified(likely, with_texts(likely), size, threshold), "links")
-    roots = components(first)
-
-    # second round: trees for the shards with several components
-    kept = shards.select("token", "sid", "sets").join(roots, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sid"))
-    kept = kept.withColumn("several", F.min("comp").over(by_token) < F.max("comp").over(by_token)).where("several")
+        texts = docs.join(F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed, ROW_KEY).select("key", "text")
+        return stored(verified(pairs, texts, size, threshold), "links")
+
+    links, roots = None, None
+    for turn in range(ROUNDS):
+        order = F.col("key") if turn == 0 else F.xxhash64("key", F.lit(turn))
+        likely = stored(bounded(_leading(_components(shards, roots), order, leaders), sets, threshold), "pairs")
+        tried = likely.count()
+        new = verify(likely)
+        links = new if links is None else links.union(new)
+        roots = components(links)
+        if new.count() * 8 <= tried:
+            break
+
+    # trees for the shards with several components
+    kept = _components(shards, roots)
+    several = kept.groupBy("x1", "x2").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("sets")).where("low < high")
+    kept = stored(kept.join(several.select("x1", "x2", "sets"), ["x1", "x2"]).drop("weight"), "several")
     blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
-    kept = kept.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
-    kept = kept.select("token", "sid", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    kept = kept.join(points.select("sid", "n", "point"), "sid").select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "comp", "n", "point")
-    pairs = stored(bounded(tree_pairs(kept.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi"), threshold), points, threshold), "pairs")
-    second = verified(pairs, with_texts(pairs), size, threshold)
-    roots = components(first.union(second))
-
-    named = readers.join(roots, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("root"), "doc_id")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("sid", "component_id")
-    out = every.select("doc_id", "n", "sid").where("n > 0").join(named, "sid").select("doc_id", "n", "component_id")
+    first = kept.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("x1")), 1, EARLIER).alias("earlier"))  # a set has no more shards than tokens
+    kept = kept.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    kept = kept.select("x1", "x2", "key", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    kept = kept.join(sets.select("key", "n", "fine").join(first, "key"), "key")
+    kept = kept.select("x1", "x2", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "comp", "n", "fine", "earlier")
+    shard = ["x1", "x2", "lo", "hi"]
+    pairs = stored(tree_pairs(kept.repartition(*shard).sortWithinPartitions(*shard), threshold), "pairs")
+    roots = components(links.union(verify(pairs)))
+
+    named = sets.select("key", "h1", "h2", "doc_id").join(roots, F.col("key") == F.col("node"), "left").select("h1", "h2", "doc_id", "root")
+    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("lowest"))
+    named = named.join(least, "root", "left").select("h1", "h2", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"))
+    out = every.select("doc_id", "n", "h1", "h2").where("n > 0").join(named, ["h1", "h2"]).select("doc_id", "n", "component_id")
     out = out.union(every.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
