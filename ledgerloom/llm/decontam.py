@@ -20,6 +20,7 @@ each. Texts are scanned whole, a batch of documents at a time.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,6 +157,9 @@ def overlaps(index: Index, words: np.ndarray, first: np.ndarray, coverage: float
     inside = index.places[entries] - index.first[item]
     diagonal = (places - first[text]) - inside
     order = np.lexsort((inside, diagonal, item, text))
+    # of hits that follow each other on a diagonal the first grows over the others, all their words being equal
+    where = np.stack([text, item, diagonal, inside])[:, order]
+    order = order[np.concatenate([[True], (where[:3, 1:] != where[:3, :-1]).any(0) | (where[3, 1:] > where[3, :-1] + 1)])[: len(order)]]
     found: dict[tuple[int, int], list] = {}
     covered: tuple = ()
     for k in order.tolist():
@@ -199,9 +203,16 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     return out.withColumnRenamed("doc_id", id_col)
 
 
+_state: dict = {}
+
+
 def _scan(held, coverage: float, run: int):
+    name = uuid.uuid4().hex
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*held.value)
+        if _state.get("of") != name:  # built once a worker and block
+            _state.update(of=name, index=Index(*held.value))
+        index = _state["index"]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
