@@ -12,7 +12,7 @@ spanning forest of the links, never the pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those without
 a label, have no links and are their own component; vectors of different lengths do not link. Rows with a
-null id take part with the component of their smallest id.
+null id take part and get the smallest id of their component, null where it has none; rows of one id are told apart.
 """
 
 from __future__ import annotations
@@ -87,10 +87,6 @@ def cell_keys(unit: np.ndarray, labels: np.ndarray, tables: int, probes: int, sc
     return out.reshape(n, -1)
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
-
-
 def _links(ids: np.ndarray, sizes: np.ndarray, unit: np.ndarray, keys: np.ndarray, block: np.ndarray, key: int, pair: tuple[int, int], threshold: float):
     """Link counts by row and forest edges of one cell, or one pair of its blocks."""
     left, right = np.flatnonzero(block == pair[0]), np.flatnonzero(block == pair[1])
@@ -137,7 +133,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     good = rows.where(usable).withColumn("print", F.xxhash64("v"))
     # a class is equal vectors of a label; a 128-bit print stands for the vector in joins
     good = good.withColumn("print2", F.xxhash64("label", F.lit(7), "v"))
-    classes = stored(good.groupBy("label", "print", "print2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.any_value("v").alias("v")).withColumn("rep", F.coalesce("rep", "print")), "vectors")
+    classes = good.groupBy("label", "print", "print2").agg(F.min("id").alias("least"), F.count("*").alias("size"), F.any_value("v").alias("v"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")  # ids may be null or repeated
 
     def file_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,8 +213,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     found = stored(map_arrow(full, compare, "a bigint, b bigint, n bigint"), "links")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b is not null").select("a", "b"))
-    named = classes.select("label", "print", "print2", "rep", "size").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    named = named.select("label", "print", "print2", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    roots = roots.join(classes.select(F.col("rep").alias("node"), "least"), "node")
+    least = roots.groupBy("root").agg(F.min("least").alias("lowest"))
+    roots = stored(roots.join(least, "root").select("node", "lowest"), "roots")
+    named = classes.select("label", "print", "print2", "rep", "size", "least").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    own = F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("component_id")
+    named = named.select("label", "print", "print2", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), own)
     linked = good.select("id", "label", "print", "print2").join(named, ["label", "print", "print2"]).select("id", "n_links", "component_id")
     alone = rows.where(~usable).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
