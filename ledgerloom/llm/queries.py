@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, chat, decontam, jaccard, langid, lattice, secrets, token_files, toxicity, warc
+from ledgerloom.llm.shared import fresh_path
 from ledgerloom.session import table
 
 END_ID = 2
@@ -42,11 +43,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit of a replica in which one byte of every page with an id divisible by 97 has changed."""
+    """The audit of WARC files in which one byte of every page with an id divisible by 97 has changed."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     flipped = F.concat(F.substring("html", F.lit(1), F.length("html") - 1), F.lit("~"))
     replica = pages.withColumn("html", F.when(F.col("page_id") % 97 == 0, flipped).otherwise(F.col("html")))
-    return warc.audit(warc.tree(pages), warc.tree(replica)).select("file", "slot", "page_id", "at", "length", "status")
+    folder = fresh_path(spark, "warc")
+    warc.write_warc(replica, folder)
+    found = warc.audit(warc.tree(warc.records(pages)), warc.tree(warc.stored_records(spark, folder)))
+    return found.select("file", "page_id", "at", "length", "status")
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,9 +147,9 @@ WITH r AS (
             || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)) + 8 + strlen(html) AS length
     FROM pages
 ), p AS (
-    SELECT *, row_number() OVER w - 1 AS slot, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_byte FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id)
+    SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_byte FROM r
 )
-SELECT file, slot::BIGINT AS slot, page_id, at_byte::BIGINT AS "at", length::BIGINT AS length, 'changed' AS status FROM p WHERE page_id % 97 = 0
+SELECT file, page_id, at_byte::BIGINT AS "at", length::BIGINT AS length, 'changed' AS status FROM p WHERE page_id % 97 = 0
 """
 
 _OP6 = """

@@ -1,30 +1,41 @@
-"""WARC records and a Merkle fixity audit of replicas; hashing and descent are DataFrame functions.
-
-A record is a WARC/1.0 response block written by rule from a page; records are laid out in files of
-``RECORDS_PER_FILE`` consecutive ids, a record's offset is the sum of the lengths before it in its file. The
-leaf hash covers offset, length and record bytes; the node of a range of offsets hashes the hashes of its
-``FAN_OUT`` children in order, up to a root for each file and one over files. The audit compares two replicas'
-roots and descends, level by level, only into ranges whose hashes differ; leaves that differ, or that one
-replica lacks, are the corrupt records.
-
-All levels are keyed by (file, range), so no task holds more than one range's children; sums of lengths are
-kept within a file of bounded size. Defined results: a null url or body is empty, rows with a null id form
-records of file -1, repeated rows are repeated records (ordered by url and body), empty tables have no roots.
+"""WARC files and a Merkle fixity audit of replicas; hashing and descent are DataFrame functions.
+
+A record is a WARC/1.0 response block written by rule from a page. Records lie in files by id, ``RECORDS_PER_FILE``
+consecutive ids to a file, ordered by id inside it, so every range of ids is a range of offsets; files are gzip
+streams and an offset counts bytes of the stream. ``stored_records`` reads files back and hashes the bytes of every
+record where it lies; ``records`` gives the same rows for pages that are not stored.
+
+The tree of a replica has a leaf for every id, a node for every range of ``FAN_OUT`` ids, of ``FAN_OUT`` such ranges and so
+on up to a file, and a root over files. A node hashes its children's positions and hashes in order; a leaf hashes
+the number of the id's records and two sums of 60 bits of their hashes, so an id with any number of records is added
+up before it is shuffled. Ranges are bounds of ids and not of counts: a record that is lost or slipped in changes its
+own leaf and the nodes above it, nothing beside it. The audit compares roots and descends, level by level, only
+into ranges whose hashes differ, down to the records that only one replica has.
+
+Files above ``RECORDS_PER_FILE`` records or ``FILE_BYTES`` bytes (repeated ids, the null id, long bodies) are dealt
+into pieces at random. Defined results: a null url or body is empty; rows with a null id are records of file
+``NULL_FILE``; repeated rows are repeated records; empty tables have no root; a stretch of a file that does not parse is
+one record without an id, up to the next one that does.
 """
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import map_arrow, stored
+from ledgerloom.llm.shared import BROADCAST_KEYS, map_arrow, stored
 
 RECORDS_PER_FILE = 4096
 FAN_OUT = 16
+FILE_BYTES = 64_000_000
+NULL_FILE = -(2**52)
 END = "\r\n\r\n"
+MARK = b"WARC/1.0\r\n"
 
 
 def record(page_id: Column, url: Column, body: Column) -> Column:
@@ -41,111 +52,149 @@ def record(page_id: Column, url: Column, body: Column) -> Column:
     return F.concat(head, F.coalesce(body, F.lit("")), F.lit(END))
 
 
-def leaves(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """(file, slot, page_id, at, length, hash): the bottom level of a replica's trees; bodies stay behind."""
+def _file(page_id: Column) -> Column:
+    return F.coalesce(F.floor(page_id / RECORDS_PER_FILE), F.lit(NULL_FILE)).cast("bigint")
+
+
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
+    """(file, page_id, piece, at, length, digest) of the records of pages; without a place, as nothing is stored."""
     text = record(F.col(id_col), F.col(url_col), F.col(body_col))
-    rows = pages.select(
-        F.col(id_col).cast("bigint").alias("page_id"),
-        F.coalesce(F.floor(F.col(id_col) / RECORDS_PER_FILE), F.lit(-1)).cast("bigint").alias("file"),
-        F.octet_length(text).cast("bigint").alias("length"),
-        F.sha2(text, 256).alias("digest"),
-    )
-    order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest")
-    rows = rows.withColumn("slot", (F.row_number().over(order) - 1).cast("bigint"))
-    rows = rows.withColumn("at", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
-    body = F.concat_ws(" ", F.col("at").cast("string"), F.col("length").cast("string"), "digest")
-    return rows.select("file", "slot", "page_id", "at", "length", F.sha2(body, 256).alias("hash"))
+    page_id = F.col(id_col).cast("bigint")
+    nowhere = F.lit(None)
+    return pages.select(_file(page_id).alias("file"), page_id.alias("page_id"), nowhere.cast("int").alias("piece"), nowhere.cast("bigint").alias("at"), F.octet_length(text).cast("bigint").alias("length"), F.sha2(text, 256).alias("digest"))
 
 
-def next_level(nodes: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> None:
+    """WARC files under ``folder``; the text sink's line end is each record's last byte."""
+    page_id = F.col(id_col).cast("bigint")
+    rows = pages.select(_file(page_id).alias("file"), page_id.alias("_id"), record(F.col(id_col), F.col(url_col), F.col(body_col)).alias("value"))
+    heavy = rows.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.octet_length("value").cast("bigint")).alias("bytes"))
+    heavy = heavy.where((F.col("n") > RECORDS_PER_FILE) | (F.col("bytes") > FILE_BYTES))
+    heavy = stored(heavy.select("file", F.ceil(F.greatest(F.col("n") / RECORDS_PER_FILE, F.col("bytes") / FILE_BYTES)).cast("int").alias("pieces")), "heavy")
+    rows = rows.join(F.broadcast(heavy) if heavy.count() <= BROADCAST_KEYS else heavy, "file", "left")
+    piece = F.when(F.col("pieces").isNull(), 0).otherwise(F.floor(F.rand(7) * F.col("pieces"))).cast("int")
+    rows = rows.select("file", piece.alias("piece"), "_id", F.substring("value", F.lit(1), F.length("value") - 1).alias("value"))
+    rows = rows.repartition("file", "piece").sortWithinPartitions("file", "piece", "_id", "value").drop("_id")
+    rows.write.partitionBy("file", "piece").option("lineSep", "\n").option("compression", "gzip").text(folder)
+
+
+def _parsed(data: bytes) -> Iterator[tuple[int, int, int | None, str, str]]:
+    """(offset, length, page id, url, body) of the records of a stream, each as long as its own length field says."""
+    at = 0
+    while at < len(data):
+        try:
+            if not data.startswith(MARK, at):
+                raise ValueError("no record begins here")
+            cut = data.index(b"\r\n\r\n", at)
+            head = dict(line.split(b": ", 1) for line in data[at:cut].split(b"\r\n")[1:])
+            body = cut + 4
+            end = body + int(head[b"Content-Length"])
+            if data[end : end + 4] != END.encode():
+                raise ValueError("the record does not end where it says")
+            page = head[b"WARC-Record-ID"][len(b"<urn:page:") : -1]
+            found = int(page) if page else None, head[b"WARC-Target-URI"].decode(), data[body:end].decode()
+            end += 4
+        except (ValueError, KeyError, IndexError):
+            end = data.find(END.encode() + MARK, at + 1) + 4
+            end = len(data) if end < 4 else end
+            found = None, "", data[at:end].decode(errors="replace")
+        yield at, end - at, *found
+        at = end
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    place = F.regexp_extract("path", r"file=(-?\d+)/piece=(\d+)/", 1).cast("bigint"), F.regexp_extract("path", r"file=(-?\d+)/piece=(\d+)/", 2).cast("int")
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder)
+    return raw.select(place[0].alias("file"), place[1].alias("piece"), "content")
+
+
+def stored_records(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, page_id, piece, at, length, digest) of every record under ``folder``, hashed as its bytes lie there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, piece, content in zip(*batch.columns, strict=True):
+                data = gzip.decompress(content.as_buffer())
+                rows = [(file.as_py(), page, piece.as_py(), at, size, hashlib.sha256(data[at : at + size]).hexdigest()) for at, size, page, _, _ in _parsed(data)]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=["file", "page_id", "piece", "at", "length", "digest"])
+
+    return map_arrow(_files(spark, folder), run, "file bigint, page_id bigint, piece int, at bigint, length bigint, digest string")
+
+
+def read_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, url, html) of the records under ``folder``; bodies may hold any text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(2):
+                rows = [r[2:] for r in _parsed(gzip.decompress(content.as_buffer()))]
+                kinds = (pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], names=["page_id", "url", "html"])
+
+    return map_arrow(_files(spark, folder), run, "page_id bigint, url string, html string")
+
+
+def _above(nodes: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
     """(file, slot, hash) of the ranges above ``nodes``."""
     order = F.sort_array(F.collect_list(F.struct("slot", "hash")))  # at most fan_out children
-    return nodes.groupBy("file", F.floor(F.col("slot") / fan_out).cast("bigint").alias("slot")).agg(F.sha2(F.concat_ws("", order["hash"]), 256).alias("hash"))
-
-
-def tree(pages: DataFrame, height: int | None = None, **columns: str) -> list[DataFrame]:
-    """Levels from the leaves to a root for each file, each written to the shared folder."""
-    levels = [stored(leaves(pages, **columns), "leaves")]
-    tallest = levels[0].agg(F.max("slot")).first()[0] or 0
-    steps = 0
-    while FAN_OUT**steps <= tallest:
-        steps += 1
-    for _ in range(max(steps, height or 0)):
-        levels.append(stored(next_level(levels[-1]), "level"))
+    text = F.concat_ws(" ", F.transform(order, lambda x: F.concat_ws(":", x["slot"].cast("string"), x["hash"])))
+    return nodes.groupBy("file", F.floor(F.col("slot") / fan_out).cast("bigint").alias("slot")).agg(F.sha2(text, 256).alias("hash"))
+
+
+def tree(rows: DataFrame) -> list[DataFrame]:
+    """The records, the leaves and the levels above them up to a node for each file, each written to the shared folder."""
+    levels = [stored(rows, "records")]
+    part = lambda at: F.sum(F.conv(F.substring("digest", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    leaf = F.sha2(F.concat_ws(" ", F.count("*").cast("string"), part(1), part(16)), 256)
+    slot = F.coalesce("page_id", F.lit(0)).alias("slot")
+    levels.append(stored(levels[0].groupBy("file", slot).agg(leaf.alias("hash")), "leaves"))
+    size = 1
+    while size < RECORDS_PER_FILE:
+        levels.append(stored(_above(levels[-1]), "level"))
+        size *= FAN_OUT
     return levels
 
 
 def root(levels: list[DataFrame]) -> str | None:
-    """The root over the files' roots, from ranges of files; one short row at the top."""
+    """The root over the files' nodes, from ranges of files; one short row at the top."""
     top = levels[-1].select(F.lit(0).alias("file"), F.col("file").alias("slot"), "hash")
-    low = top.agg(F.min("slot"), F.max("slot")).first()
-    if low[0] is None:
-        return None
-    top = top.withColumn("slot", F.col("slot") - low[0])
-    width = low[1] - low[0]
     while True:
-        top = next_level(top)
-        width //= FAN_OUT
-        if width == 0:
-            return top.first()["hash"]
+        n, only = top.agg(F.count("*"), F.first("hash")).first()
+        if n <= 1:
+            return only
+        if n <= FAN_OUT:  # negative and positive ranges never meet by division
+            top = top.withColumn("slot", F.row_number().over(Window.orderBy("slot")) - 1)
+        top = _above(top)
 
 
 def audit(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
-    """(file, slot, page_id, at, length, status) of every leaf at which two replicas differ.
+    """(file, page_id, piece, at, length, digest, status) of every record at which two replicas differ.
 
-    status is ``changed``, or ``missing`` or ``added`` where only the left or only the right has the leaf.
+    ``changed`` is a record of the left replica that the right one has otherwise, with the place that the right
+    one has it at; ``missing`` and ``added`` are records of ids whose others agree. Where an id has several differing
+    records, each of the left is changed or missing, and the right's are added if they are more.
     """
-    while len(left) < len(right):
-        left = [*left, stored(next_level(left[-1]), "level")]
-    while len(right) < len(left):
-        right = [*right, stored(next_level(right[-1]), "level")]
     within = None
-    for depth in range(len(left) - 1, -1, -1):
+    for depth in range(len(left) - 1, 0, -1):
         a, b = left[depth], right[depth]
         if within is not None:
-            parent = F.floor(F.col("slot") / FAN_OUT).cast("bigint")
             near = within.select("file", F.col("slot").alias("_up"))
-            a = a.withColumn("_up", parent).join(near, ["file", "_up"], "left_semi").drop("_up")
-            b = b.withColumn("_up", parent).join(near, ["file", "_up"], "left_semi").drop("_up")
+            a, b = (x.withColumn("_up", F.floor(F.col("slot") / FAN_OUT).cast("bigint")).join(near, ["file", "_up"], "left_semi").drop("_up") for x in (a, b))
         both = a.alias("a").join(b.alias("b"), ["file", "slot"], "full_outer").where(~F.col("a.hash").eqNullSafe(F.col("b.hash")))
-        if depth:
-            within = both.select("file", "slot")
-        else:
-            status = F.when(F.col("b.hash").isNull(), "missing").when(F.col("a.hash").isNull(), "added").otherwise("changed")
-            kept = [F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in ("page_id", "at", "length")]
-            return both.select("file", "slot", *kept, status.alias("status"))
-    raise AssertionError("a tree has at least its leaves")
-
-
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> None:
-    """WARC files of at most ``RECORDS_PER_FILE`` records; the text sink's line end is each record's last byte."""
-    text = F.substring(record(F.col(id_col), F.col(url_col), F.col(body_col)), F.lit(1), F.length(record(F.col(id_col), F.col(url_col), F.col(body_col))) - 1)
-    rows = pages.select(text.alias("value"))
-    rows.write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
-
-
-def _records(data: bytes) -> Iterator[tuple[int | None, str, str]]:
-    """(page id, url, body) of the records of one file, each as long as its own length field says."""
-    at = 0
-    while at < len(data):
-        cut = data.index(b"\r\n\r\n", at)
-        head = dict(line.split(b": ", 1) for line in data[at:cut].split(b"\r\n")[1:])
-        body = cut + 4
-        at = body + int(head[b"Content-Length"])
-        page = head[b"WARC-Record-ID"][len(b"<urn:page:") : -1]
-        yield int(page) if page else None, head[b"WARC-Target-URI"].decode(), data[body:at].decode()
-        at += len(END)
-
-
-def read_warc(spark, folder: str) -> DataFrame:
-    """(page_id, url, html) of the records under ``folder``; a file is of bounded size, bodies may hold any text."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                rows = list(zip(*_records(content.as_py()), strict=True)) or [[], [], []]
-                kinds = (pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["page_id", "url", "html"])
-
-    return map_arrow(raw, run, "page_id bigint, url string, html string")
+        within = both.select("file", "slot")
+    key = F.coalesce("page_id", F.lit(0)).alias("slot")
+    sides = [levels[0].withColumn("slot", key).join(within, ["file", "slot"], "left_semi") for levels in (left, right)]
+    counts = [side.groupBy("file", "slot", "digest").agg(F.count("*").alias("n")) for side in sides]
+    both = counts[0].alias("a").join(counts[1].alias("b"), ["file", "slot", "digest"], "full_outer")
+    differ = stored(both.select("file", "slot", "digest", (F.coalesce("a.n", F.lit(0)) - F.coalesce("b.n", F.lit(0))).alias("more")).where("more <> 0"), "differ")
+    total = differ.groupBy("file", "slot").agg(F.sum(F.greatest("more", F.lit(0))).alias("lost"), F.sum(F.greatest(-F.col("more"), F.lit(0))).alias("new"))
+    one = F.min(F.struct(F.col("piece").isNull().alias("_nowhere"), "piece", "at", "length", "page_id")).alias("one")
+    places = [side.join(differ.where(test), ["file", "slot", "digest"]).groupBy("file", "slot", "digest", "more").agg(one) for side, test in zip(sides, ("more > 0", "more < 0"), strict=True)]
+    found = places[1].groupBy("file", "slot").agg(F.min("one").alias("there"))
+    lost = places[0].join(total, ["file", "slot"]).join(found, ["file", "slot"], "left")
+    at = F.coalesce("there", "one")
+    lost = lost.select("file", at["page_id"].alias("page_id"), at["piece"].alias("piece"), at["at"].alias("at"), at["length"].alias("length"), "digest", F.when(F.col("new") > 0, "changed").otherwise("missing").alias("status"), F.col("more").alias("copies"))
+    new = places[1].join(total.where("new > lost"), ["file", "slot"])
+    new = new.select("file", *(F.col("one")[c].alias(c) for c in ("page_id", "piece", "at", "length")), "digest", F.lit("added").alias("status"), (-F.col("more")).alias("copies"))
+    return lost.union(new)

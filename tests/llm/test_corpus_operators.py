@@ -1,6 +1,7 @@
 """The corpus operators against brute force, exact round trips and held-out labels, and on odd rows."""
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -96,12 +97,12 @@ def test_tree_keeps_every_possible_pair():
     points = rng.poisson(1.0, (300, jaccard.GROUPS)).astype(np.int32)
     points[150:] = np.maximum(points[:150] + rng.integers(-1, 2, (150, jaccard.GROUPS)) * (rng.random((150, jaccard.GROUPS)) < 0.1), 0)
     n = points.sum(1).astype(np.int64)
-    i, j = jaccard.Tree(points, n).pairs(75)
-    found = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    comp = rng.integers(0, 40, 300)
+    found = {tuple(sorted(p)) for i, j in jaccard.Tree(points, n, comp).pairs(75) for p in zip(i.tolist(), j.tolist(), strict=True)}
     for a in range(300):
         for b in range(a):
             bound = np.minimum(points[a], points[b]).sum()
-            if 175 * bound >= 75 * (n[a] + n[b]) and 100 * min(n[a], n[b]) >= 75 * max(n[a], n[b]):
+            if comp[a] != comp[b] and 175 * bound >= 75 * (n[a] + n[b]) and 100 * min(n[a], n[b]) >= 75 * max(n[a], n[b]):
                 assert (b, a) in found
 
 
@@ -174,23 +175,50 @@ def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string")
 
 
+def shown(found):
+    return sorted(((r.page_id, r.status, r.copies) for r in found.collect()), key=repr)
+
+
 def test_audit_locates_what_differs(spark):
-    left = [(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 5)) for i in range(300)] + [(None, None, None), (7, "http://x/7", None)]
-    right = [r for r in left if r[0] != 299]
+    left = [(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 5)) for i in range(300)] + [(None, None, None), (7, "http://x/7", None), (-3, "", "")]
+    right = [r for r in left if r[0] != 150]  # a record in the middle is lost, one changed, one slipped in
     right[40] = (40, "http://x/40", "<p>4O</p>")
-    a, b = warc.tree(pages(spark, left)), warc.tree(pages(spark, right))
-    found = {(r.page_id, r.status) for r in warc.audit(a, b).collect()}
-    assert (299, "missing") in found and (40, "changed") in found
-    assert warc.audit(a, a).count() == 0 and warc.root(a) == warc.root(warc.tree(pages(spark, left[::-1]))) != warc.root(b)
-    none = warc.tree(pages(spark, []))
+    right += [(5000, "new", "new")]
+    a, b = warc.tree(warc.records(pages(spark, left))), warc.tree(warc.records(pages(spark, right)))
+    assert shown(warc.audit(a, b)) == sorted([(150, "missing", 1), (40, "changed", 1), (5000, "added", 1)], key=repr)
+    assert warc.audit(a, a).count() == 0 and warc.root(a) == warc.root(warc.tree(warc.records(pages(spark, left[::-1])))) != warc.root(b)
+    none = warc.tree(warc.records(pages(spark, [])))
     assert warc.root(none) is None and warc.audit(none, none).count() == 0
     assert {r.status for r in warc.audit(none, a).collect()} == {"added"}
 
 
-def test_warc_round_trip(spark, tmp_path):
-    rows = [(i, f"http://x/{i}", "é\r\n\r\nWARC/1.0\r\nWARC-Type: line\n" * i) for i in range(20)]
-    warc.write_warc(pages(spark, rows), f"file://{tmp_path}/w")
-    assert sorted(map(tuple, warc.read_warc(spark, f"file://{tmp_path}/w").collect())) == rows
+def test_audit_of_odd_rows(spark):
+    long = "long body " * 300_000
+    rows = [(1, "a", long), (2, None, None), (2, None, None), (2, "b", ""), (None, "n", "x"), (None, "n", "y"), (None, None, None), (10**15, "é", "ß\r\n\r\nWARC/1.0\r\n")]
+    frame = pages(spark, rows).withColumns({c: F.lit(c) for c in ("file", "piece", "at", "length", "digest", "slot", "hash", "value", "_id")})
+    a = warc.tree(warc.records(frame))
+    b = warc.tree(warc.records(pages(spark, [(1, "a", long + "!"), (2, None, None), (2, "b", ""), (None, "n", "x"), (None, "n", "z"), (None, None, None), (None, "more", ""), rows[-1]])))
+    assert shown(warc.audit(a, b)) == sorted([(1, "changed", 1), (2, "missing", 1), (None, "changed", 1), (None, "added", 1), (None, "added", 1)], key=repr)
+
+
+def test_stored_files_are_audited_where_they_lie(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", f"é\r\n\r\nWARC/1.0\r\nWARC-Type: line\n" * (i % 4)) for i in range(4090, 4110)] + [(None, "n", "x"), (None, "n", "x")]
+    folder = f"file://{tmp_path}/w"
+    warc.write_warc(pages(spark, rows), folder)
+    expected = warc.tree(warc.records(pages(spark, rows)))
+    assert sorted(map(tuple, warc.read_warc(spark, folder).collect()), key=repr) == sorted(rows, key=repr)
+    assert warc.audit(expected, warc.tree(warc.stored_records(spark, folder))).count() == 0
+    path = next((tmp_path / "w" / "file=0").rglob("part-*"))
+    data = gzip.decompress(path.read_bytes())
+    place = {r.page_id: (r.at, r.length) for r in warc.stored_records(spark, folder).where("file = 0").collect()}
+    at, length = place[4092]
+    assert b"urn:page:4092>" in data[at : at + length] and data.startswith(b"WARC/1.0", at)
+    path.write_bytes(gzip.compress(data[: at + 3] + b"#" + data[at + 4 :]))  # no longer a record
+    (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    found = warc.audit(expected, warc.tree(warc.stored_records(spark, folder)))
+    assert shown(found) == sorted([(4092, "missing", 1), (None, "added", 1)], key=repr)
+    broken = [r for r in found.collect() if r.status == "added"][0]
+    assert (broken.at, broken.length) == (at, length)
 
 
 def test_lattice_links_against_all_pairs(spark):
@@ -218,6 +246,25 @@ def test_lattice_links_against_all_pairs(spark):
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
 
+def test_lattice_of_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    a, b = (rng.standard_normal(48) for _ in range(2))
+    near = lambda v: (v + rng.standard_normal(48) * 0.01).tolist()
+    rows = [(5, a.tolist(), 0), (None, near(a), 0), (9, near(a), 0), (None, b.tolist(), 1), (None, near(b), 1), (5, b.tolist(), 2), (5, near(b), 2), (None, a.tolist(), 3)]
+    found = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in found), key=repr) == sorted([(5, 2, 5), (None, 2, 5), (9, 2, 5), (None, 1, None), (None, 1, None), (5, 1, 5), (5, 1, 5), (None, 0, None)], key=repr)
+
+
+def test_lattice_recall_on_the_table(spark):
+    found = {r.vec_id: r.n_links for r in queries.op6_embedding_near_dedup(spark, LABELLED).collect()}
+    rows = spark.read.parquet(f"{LABELLED}/embeddings.parquet").where("embedding is not null and label is not null").collect()
+    ids, labels, unit = np.array([r.vec_id for r in rows]), np.array([r.label for r in rows]), np.array([r.embedding for r in rows], float)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    want = ((unit @ unit.T >= 0.98) & (labels[:, None] == labels)).sum(1) - 1
+    ours = np.array([found[i] for i in ids])
+    assert want.sum() > 0 and (ours <= want).all() and ours.sum() >= 0.9 * want.sum()
+
+
 @pytest.fixture(scope="module")
 def codec(spark):
     return bpe.codec_for(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
