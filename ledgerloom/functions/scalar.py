@@ -74,6 +74,12 @@ def stable_hash(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token.cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
+def stable_halves(token: Column) -> tuple[Column, Column]:
+    """The two halves of that integer, its first and its last 32 bits."""
+    digest = F.md5(token.cast("binary"))
+    return tuple(F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint") for at in (1, 9))
+
+
 def half_up(x: Column) -> Column:
     """Rounding to an integer as browsers do: floor(x + 0.5)."""
     return F.floor(x + 0.5)

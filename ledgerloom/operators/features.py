@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalar import sigmoid, weighted
@@ -10,6 +10,14 @@ from ledgerloom.session import table
 
 #: Fixed order of the feature contract.
 FEATURES = ("amount", "old_orig", "new_orig", "old_dest", "new_dest", "account_age", "velocity", "fanout", "is_transfer", "campaign_sig")
+#: The same features by the names that callers use, and other names for them.
+CONTRACT = ("amount", "oldOrig", "newOrig", "oldDest", "newDest", "accountAge", "velocity", "fanout", "isTransfer", "campaignSig")
+ALIASES = {
+    "account_age": "accountAge", "velocity_1h": "velocity", "is_new_payee": "isTransfer", "is_transfer": "isTransfer", "campaign_signature": "campaignSig",
+    "campaign_sig": "campaignSig", "old_orig": "oldOrig", "new_orig": "newOrig", "old_dest": "oldDest", "new_dest": "newDest",
+}
+#: What a campaign signature does to the vector, besides its own place.
+CAMPAIGN = {"amount": -0.5, "velocity": -0.5, "fanout": -0.5, "accountAge": -2.0}
 WEIGHTS = [0.8, -0.3, 0.5, 0.2, -0.4, -0.25, 0.35, 0.6, 0.15, 0.9]
 BIAS = -0.5
 
@@ -65,3 +73,18 @@ def scored(df: DataFrame, digits: int | None = 4) -> DataFrame:
     """Adds ``score``, the logistic of the fixed weights; rounded, so that ties are well defined."""
     score = sigmoid(weighted([F.col(c) for c in FEATURES], WEIGHTS, BIAS))
     return df.withColumn("score", F.round(score, digits) if digits is not None else score)
+
+
+def named_vector(named: Column, number) -> Column:
+    """The ten features of a map of names to texts: unknown names are passed over, unreadable numbers are 0.
+
+    A campaign signature alone sets its own place to 1.5 times its value and four others to a fixed shape.
+    """
+    plain = F.transform_keys(named, lambda k, v: F.coalesce(F.get(F.filter(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ALIASES.items())), lambda x: x["a"] == k), F.lit(0))["b"], k))
+    value = {name: number(F.try_element_at(plain, F.lit(name)), 0.0) for name in CONTRACT}
+    sig = F.coalesce(F.try_element_at(plain, F.lit("campaignSignature")), F.try_element_at(plain, F.lit("campaignSig")))
+    signed = sig.isNotNull()
+    value["campaignSig"] = F.when(signed, 1.5 * number(sig, 1.0)).otherwise(value["campaignSig"])
+    for name, fixed in CAMPAIGN.items():
+        value[name] = F.when(signed, F.lit(fixed)).otherwise(value[name])
+    return F.array(*(value[name] for name in CONTRACT))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import table
+from ledgerloom.session import table, written
 
 
 def payment_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -58,9 +58,9 @@ def local_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return known.select("bank", F.col("src").alias("a"), F.col("dst").alias("b")).union(known.select("bank", F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
 
 
-def local_subgraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def local_subgraph(nodes: DataFrame, edges: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """(bank, id, owned, x): own accounts and the boundary accounts seen, whose features are hidden as 0."""
-    seen = local_edges(nodes, edges).select("bank", F.col("a").alias("id"))
+    seen = (local_edges(nodes, edges) if seen is None else seen).select("bank", F.col("a").alias("id"))
     members = seen.union(nodes.select("bank", "id")).distinct()
     own = nodes.select("id", F.col("bank").alias("home"), "x")
     return members.join(own, "id").select("bank", "id", (F.col("bank") == F.col("home")).alias("owned"), F.when(F.col("bank") == F.col("home"), F.col("x")).otherwise(0.0).alias("x"))
@@ -69,9 +69,15 @@ def local_subgraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def neighbour_mean(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Mean of x over each node itself and its distinct neighbours, in every bank's view.
 
-    Self-payments add a second weight to the node itself, as a self-loop beside the identity does.
+    Self-payments add a second weight to the node itself, as a self-loop beside the identity does. Boundary accounts
+    are 0 in a bank's view, so only a bank's own accounts add to sums, and both directions of a bank's edges are
+    there, so sums are added at the neighbours of each own account; the edges are built once and written.
     """
-    members = local_subgraph(nodes, edges)
-    links = local_edges(nodes, edges).union(members.select("bank", F.col("id").alias("a"), F.col("id").alias("b")))
-    there = members.select("bank", F.col("id").alias("b"), "x")
-    return links.join(there, ["bank", "b"]).groupBy("bank", F.col("a").alias("id")).agg(F.avg("x").alias("mean_x"), F.count("*").alias("weight"))
+    links = written(local_edges(nodes, edges), "links")
+    members = local_subgraph(nodes, edges, links)
+    own = nodes.where("x <> 0").select("bank", F.col("id").alias("b"), "x")
+    sums = links.join(own, ["bank", "b"]).groupBy("bank", F.col("a").alias("id")).agg(F.sum("x").alias("s"))
+    degree = links.groupBy("bank", F.col("a").alias("id")).agg(F.count("*").alias("d"))
+    rows = members.join(degree, ["bank", "id"], "left").join(sums, ["bank", "id"], "left")
+    weight = F.coalesce("d", F.lit(0)) + 1
+    return rows.select("bank", "id", ((F.coalesce("s", F.lit(0.0)) + F.col("x")) / weight).alias("mean_x"), weight.alias("weight"))

@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.scalar import clip_norm
+from ledgerloom.session import ship_package
+
 MAX_PAIRWISE = 2000
+METHODS = ("krum", "trimmed_mean", "median", "bulyan")
+
+
+def poisoned(v: Column, scale: float) -> Column:
+    """The attacker's update: the honest one times ``-scale``."""
+    return F.transform(v, lambda x: x * F.lit(-float(scale)))
+
+
+def block_layout(sizes: list[int]) -> list[tuple[int, int, int]]:
+    """(block, first component, end) of contiguous blocks of these sizes."""
+    ends = np.cumsum([0, *sizes]).tolist()
+    return [(k, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+
+
+def noise_sensitivity(budgets: list[float]) -> float:
+    """Sensitivity of blocks clipped to their own budgets: the root of the sum of squares."""
+    return float(np.sqrt(np.square(budgets).sum()))
 
 
 def exploded(updates: DataFrame, member: str = "member", vector: str = "v") -> DataFrame:
@@ -24,16 +46,22 @@ def coordinate_median(updates: DataFrame, by: list[str] | None = None) -> DataFr
     return exploded(updates).groupBy(*(by or []), "dim").agg(F.median("value").alias("value"))
 
 
-def trimmed(updates: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
-    """(by..., member, dim, value, kept): which components stay when the k lowest and highest of each go."""
+def trimmed(updates: DataFrame, k: int | None = None, by: list[str] | None = None, ratio: float | None = None) -> DataFrame:
+    """(by..., member, dim, value, kept): which components stay when the k lowest and highest of each go.
+
+    ``ratio`` in [0, 0.5) gives k as that share of the members, rounded down.
+    """
+    if ratio is not None and not 0 <= ratio < 0.5:
+        raise ValueError("the trim ratio must be in [0, 0.5)")
     w = Window.partitionBy(*(by or []), "dim")
     rows = exploded(updates).withColumn("rank", F.row_number().over(w.orderBy("value", "member"))).withColumn("n", F.count("*").over(w))
-    return rows.withColumn("kept", (F.col("rank") > k) & (F.col("rank") <= F.col("n") - k))
+    cut = F.lit(k) if ratio is None else F.floor(F.col("n") * F.lit(ratio))
+    return rows.withColumn("kept", (F.col("rank") > cut) & (F.col("rank") <= F.col("n") - cut))
 
 
-def trimmed_mean(updates: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+def trimmed_mean(updates: DataFrame, k: int | None = None, by: list[str] | None = None, ratio: float | None = None) -> DataFrame:
     """(by..., dim, value): mean without the k lowest and highest; the median where nothing would be left."""
-    rows = trimmed(updates, k, by)
+    rows = trimmed(updates, k, by, ratio)
     return rows.groupBy(*(by or []), "dim").agg(F.coalesce(F.avg(F.when(F.col("kept"), F.col("value"))), F.median("value")).alias("value"))
 
 
@@ -73,11 +101,89 @@ def multi_krum(updates: DataFrame, f: int, by: list[str] | None = None) -> DataF
     return ranked.select(*by, "member", "krum", (F.col("rank") <= F.greatest(F.lit(1), F.col("n") - f)).alias("selected"))
 
 
+def multi_krum_mean(updates: DataFrame, f: int, by: list[str] | None = None) -> DataFrame:
+    """(by..., dim, value): the mean of the members that Multi-Krum selects."""
+    by = by or []
+    return fedavg(updates.join(multi_krum(updates, f, by).where("selected").select(*by, "member"), [*by, "member"], "left_semi"), None, by)
+
+
+def _bulyan(v: np.ndarray, f: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which members are selected, and the aggregate, of a cohort's vectors in the members' order."""
+    n = len(v)
+    d2 = np.square(v[:, None] - v[None]).sum(2)
+
+    def krum(pool: np.ndarray) -> np.ndarray:
+        near = np.sort(d2[np.ix_(pool, pool)], axis=1)[:, 1:]  # without the member itself
+        return near[:, : max(1, len(pool) - f - 2)].sum(1)
+
+    if n < 4 * f + 3:
+        chosen = np.sort(np.argsort(krum(np.arange(n)), kind="stable")[: max(1, n - f)])
+        return chosen, v[chosen].mean(0)
+    pool, chosen = np.arange(n), []
+    while len(chosen) < n - 2 * f:
+        best = int(np.argmin(krum(pool)))
+        chosen.append(pool[best])
+        pool = np.delete(pool, best)
+    picked = v[np.sort(chosen)]
+    order = np.argsort(np.abs(picked - np.median(picked, axis=0)), axis=0, kind="stable")[: max(1, len(picked) - 2 * f)]
+    return np.sort(chosen), np.take_along_axis(picked, order, axis=0).mean(0)
+
+
+def bulyan(updates: DataFrame, f: int, by: list[str]) -> DataFrame:
+    """(by..., selected array<bigint>, value array<double>): members taken one by one by Krum until n - 2f are, then of
+    each component the mean of those nearest the median; Multi-Krum for fewer than 4f + 3 members.
+
+    A cohort has at most ``MAX_PAIRWISE`` members (checked), so it fits a task.
+    """
+    n = updates.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if n > MAX_PAIRWISE:
+        raise ValueError(f"{n} members; pairwise aggregation takes at most {MAX_PAIRWISE} in a cohort")
+    ship_package(updates.sparkSession)
+
+    def cohort(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("member", kind="stable")
+        chosen, value = _bulyan(np.stack(frame["v"].to_list()), f)
+        return pd.DataFrame({**{c: [frame[c].iloc[0]] for c in by}, "selected": [frame["member"].to_numpy()[chosen].tolist()], "value": [value.tolist()]})
+
+    keys = ", ".join(f"`{c}` {updates.schema[c].dataType.simpleString()}" for c in by)
+    return updates.select(*by, "member", "v").groupBy(*by).applyInPandas(cohort, f"{keys}, selected array<bigint>, value array<double>")
+
+
+def robust_aggregate(updates: DataFrame, method: str, f: int, by: list[str], max_norm: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """((by..., dim, value), (by..., member, selected)): one entry for every aggregator, vectors clipped first on demand.
+
+    The trimmed mean's members count as rejected when they were trimmed on more than half of the components; the median
+    rejects nobody. Without enough members Bulyan is Multi-Krum.
+    """
+    if method not in METHODS:
+        raise ValueError(f"the method must be one of {METHODS}")
+    if max_norm is not None:
+        updates = updates.withColumn("v", clip_norm(F.col("v"), max_norm))
+    if method == "krum":
+        return multi_krum_mean(updates, f, by), multi_krum(updates, f, by).select(*by, "member", "selected")
+    if method == "trimmed_mean":
+        return trimmed_mean(updates, f, by), trim_membership(updates, f, by).select(*by, "member", (~F.col("suspicious")).alias("selected"))
+    if method == "median":
+        return coordinate_median(updates, by), updates.select(*by, "member", F.lit(True).alias("selected"))
+    made = bulyan(updates, f, by)
+    rows = updates.select(*by, "member").join(made.select(*by, F.explode("selected").alias("member"), F.lit(True).alias("_in")), [*by, "member"], "left")
+    return made.select(*by, F.posexplode("value").alias("dim", "value")), rows.select(*by, "member", F.coalesce("_in", F.lit(False)).alias("selected"))
+
+
+def conditional_aggregate(updates: DataFrame, by: list[str], attacked: bool) -> DataFrame:
+    """The plain mean, or Multi-Krum against one attacker while an attack is on."""
+    return multi_krum_mean(updates, 1, by) if attacked else fedavg(updates, None, by)
+
+
 def outlier_gate(updates: DataFrame, f: int, factor: float = 10.0, by: list[str] | None = None) -> DataFrame:
-    """(by..., member, krum, rejected): a member that Krum would drop is rejected if it is far above the rest's median."""
+    """(by..., member, krum, rejected): a member that Krum would drop is rejected if it is far above the rest's median.
+
+    Cohorts of fewer than f + 3 members accuse nobody.
+    """
     by = by or []
     chosen = multi_krum(updates, f, by)
     others = chosen.select(*by, F.col("member").alias("_other"), F.col("krum").alias("_krum"))
     rest = (chosen.join(others, by) if by else chosen.join(F.broadcast(others))).where("member <> _other")
-    base = rest.groupBy(*by, "member").agg(F.median("_krum").alias("base"))
-    return chosen.join(base, [*by, "member"]).select(*by, "member", "krum", (~F.col("selected") & (F.col("krum") > factor * F.col("base"))).alias("rejected"))
+    base = rest.groupBy(*by, "member").agg(F.median("_krum").alias("base"), (F.count("*") + 1).alias("n"))
+    far = (F.col("n") >= f + 3) & ~F.col("selected") & (F.col("krum") > factor * F.col("base"))
+    return chosen.join(base, [*by, "member"]).select(*by, "member", "krum", far.alias("rejected"))

@@ -1,4 +1,4 @@
-"""Per-payment rule scoring and the sales funnel: plain column arithmetic."""
+"""Per-payment rule scoring: plain column arithmetic."""
 
 from __future__ import annotations
 
@@ -39,17 +39,3 @@ def verdict(df: DataFrame, score: Column, amount: Column, new_payee: Column, rem
     names = F.filter(F.array(*(F.when(hit, F.lit(name)) for name, hit in fired.items())), lambda x: x.isNotNull())
     return out.withColumn("action", action.otherwise("allow")).withColumn("indicators", F.concat_ws(",", names))
 
-
-def funnel(df: DataFrame) -> DataFrame:
-    """Sales funnel of rows with accounts, rates in percent (clamped), prices and costs."""
-    rate = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(c))) / 100
-    out = df.withColumn("calls", F.col("accounts") * rate("qualified_rate")).withColumn("partners", F.col("calls") * rate("partner_rate"))
-    out = out.withColumn("pilots", F.col("partners") * rate("pilot_rate")).withColumn("members", F.col("pilots") * rate("member_rate"))
-    out = out.withColumn("modules", F.col("members") * rate("attach_rate"))
-    out = out.withColumn("revenue", F.col("pilots") * F.col("pilot_price") + F.col("members") * F.col("member_price") + F.col("modules") * F.col("module_price"))
-    out = out.withColumn("cost", F.col("fixed_cost") + F.col("pilots") * F.col("pilot_cost") + F.col("members") * F.col("service_cost"))
-    out = out.withColumn("profit", F.col("revenue") - F.col("cost"))
-    out = out.withColumn("margin", F.when(F.col("revenue") > 0, F.col("profit") / F.col("revenue")).otherwise(0.0))
-    each = F.col("member_price") + rate("attach_rate") * F.col("module_price") - F.col("service_cost")
-    fixed = F.col("fixed_cost") + F.col("pilots") * (F.col("pilot_cost") - F.col("pilot_price"))
-    return out.withColumn("break_even", F.when(each > 0, F.greatest(F.lit(0), F.ceil(fixed / each))))

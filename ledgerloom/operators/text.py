@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalar import stable_hash
+from ledgerloom.functions.scalar import stable_halves
 
 #: Fixed patterns of scam language: (flag, ASCII pattern).
 FLAGS = (
@@ -13,9 +13,9 @@ FLAGS = (
     ("safe_account", r"\b(safe account|secure account|holding account|move your (?:money|funds)|transfer (?:your )?(?:money|funds|balance))\b"),
     ("authority", r"\b(hmrc|police|fraud team|bank security|government|nat(?:ional)? insurance|investigation|warrant|arrest)\b"),
     ("pressure", r"\b(do not tell|don'?t tell|keep this (?:secret|confidential)|verify (?:your )?(?:identity|account|details)|confirm your (?:pin|password|otp|code))\b"),
-    ("sort_code", r"\b[0-9]{2}[- ]?[0-9]{2}[- ]?[0-9]{2}\b"),
+    ("sort_code", r"\b[0-9]{2}[-\s\x{a0}]?[0-9]{2}[-\s\x{a0}]?[0-9]{2}\b"),
     ("account_number", r"\b[0-9]{8}\b"),
-    ("money", r"[£$€] ?[0-9][0-9,]*(?:\.[0-9]{2})?"),
+    ("money", r"[£$€][\s\x{a0}]?[0-9][0-9,]*(?:\.[0-9]{2})?"),
     ("link", r"(https?://|www\.|\bbit\.ly\b|\.co\b|click (?:here|this))"),
     ("crypto", r"\b(bitcoin|btc|crypto|usdt|wallet|gift ?card)\b"),
 )
@@ -44,9 +44,12 @@ def _marked(kind: str, found: Column) -> Column:
 
 def hashed(df: DataFrame, key: str, text: str, buckets: int = 23) -> DataFrame:
     """(key, bucket, value): the signed hashing trick, scaled to unit length by document."""
-    rows = df.select(key, F.explode(tokens(F.col(text))).alias("token")).withColumn("h", stable_hash(F.col("token")))
-    sign = F.when(F.floor(F.col("h") / 2) % 2 == 1, 1).otherwise(-1)
-    sums = rows.groupBy(key, (F.col("h") % buckets).cast("int").alias("bucket")).agg(F.sum(sign).alias("total"))
+    rows = df.select(key, F.explode(tokens(F.col(text))).alias("token"))
+    high, low = stable_halves(F.col("token"))
+    rows = rows.select(key, high.alias("high"), low.alias("low"))
+    # the hash is high * 2^32 + low; its remainder and its second bit need no number beyond 64 bits
+    bucket = ((F.col("high") * F.lit(2**32 % buckets) + F.col("low")) % buckets).cast("int")
+    sums = rows.groupBy(key, bucket.alias("bucket")).agg(F.sum(F.col("low").bitwiseAND(F.lit(2)) - 1).alias("total"))
     size = F.sqrt(F.sum(F.col("total") * F.col("total")).over(Window.partitionBy(key)))
     return sums.select(key, "bucket", F.when(size > 0, F.col("total") / size).otherwise(0.0).alias("value"))
 
@@ -80,3 +83,23 @@ def best_per_key(df: DataFrame, key: Column, score: str, arrival: str) -> DataFr
     """The row of highest score of each key, the first to arrive at a tie."""
     w = Window.partitionBy("_key").orderBy(F.desc(score), arrival)
     return df.withColumn("_key", key).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_key", "_r")
+
+
+def dedupe_key(url: Column, source: Column, title: Column) -> Column:
+    """What tells evidence apart: the address, or the source and title where there is none, in lower case."""
+    plain = F.coalesce(F.nullif(url, F.lit("")), F.concat(source, F.lit(":"), title))
+    return F.sha1(F.lower(F.trim(plain)).cast("binary"))
+
+
+def relevant(text: Column, words: list[str]) -> Column:
+    """Whether a text holds any of the words; without words every text is."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.exists(F.array(*(F.lit(w.lower()) for w in words)), lambda w: F.contains(low, w)) if words else F.lit(True)
+
+
+def feature_row(df: DataFrame, key: str, text: str, buckets: int = 23) -> DataFrame:
+    """(key, x): the pattern flags and the hashed buckets of each text in one array; null is an empty text."""
+    base = df.select(key, F.array(*(f.cast("double") for f in flags(F.col(text)))).alias("_flags"))
+    sums = hashed(df, key, text, buckets).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("_m"))  # one entry a bucket
+    x = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0.0)))
+    return base.join(sums, key, "left").select(key, F.concat("_flags", x).alias("x"))

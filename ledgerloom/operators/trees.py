@@ -1,10 +1,16 @@
-"""Histograms, quantile edges and the split search of boosted trees, as grouped sums."""
+"""Boosted trees: histograms, quantile edges, the split search and the training loop, as grouped sums."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.scalar import sigmoid
+from ledgerloom.session import written
+
 GRID = 256
 
 
@@ -66,3 +72,88 @@ def best_split(histogram: DataFrame, by: list[str], lam: float = 1.0, gamma: flo
 def coarsen(histogram: DataFrame, display: int = 16, grid: int = GRID) -> DataFrame:
     """The grid's cells added up to ``display`` bins."""
     return histogram.groupBy("f", F.floor(F.col("cell") * display / grid).cast("int").alias("bin")).agg(F.sum("n").alias("n"))
+
+
+def leaf_value(g: float, h: float, lam: float, lr: float) -> float:
+    return -lr * g / (h + lam)
+
+
+def edge_lists(rows: DataFrame, columns: tuple[str, ...], bins: int) -> list[list[float]]:
+    """The sorted quantile edges of each feature; a feature has fewer than ``bins``."""
+    found = quantile_edges(grid_histogram(long_form(rows, columns, [])), bins).collect()
+    return [sorted(r["edge"] for r in found if r["f"] == i) for i in range(len(columns))]
+
+
+def bin_vector(columns: tuple[str, ...], edges: list[list[float]]) -> Column:
+    """Bins of all features in one array: for each the number of its edges at or under the value."""
+    one = lambda c, own: F.size(F.filter(F.array(*(F.lit(e) for e in own)), lambda e: e <= F.col(c))) if own else F.lit(0)
+    return F.array(*(one(c, own) for c, own in zip(columns, edges, strict=True)))
+
+
+def descend(tree: dict, at: str = "", leaf=None) -> Column:
+    """What a row's ``bins`` lead to: the value of its leaf, or what ``leaf`` makes of the leaf's path."""
+    node = tree.get(at)
+    if node is None or node[0] == "leaf":
+        return leaf(at) if leaf else F.lit(node[1])
+    _, f, k = node
+    return F.when(F.get("bins", F.lit(f)) <= k, descend(tree, at + "L", leaf)).otherwise(descend(tree, at + "R", leaf))
+
+
+def fit(rows: DataFrame, columns: tuple[str, ...], label: str = "y", n_trees: int = 20, max_depth: int = 3, bins: int = 16, lr: float = 0.3, lam: float = 1.0, gamma: float = 0.0, min_hess: float = 1.0) -> dict:
+    """Boosted trees of logistic loss: {base, edges, trees}, a tree being {path of L and R: split or leaf}.
+
+    Each level of a tree is one grouped sum over all rows; the driver sees a split for each node and never a row. A
+    row's node is an expression of its bins, so rows are written once.
+    """
+    edges = edge_lists(rows, columns, bins)
+    rows = written(rows.select(bin_vector(columns, edges).alias("bins"), F.col(label).cast("double").alias("y")), "binned")
+    n, pos = rows.agg(F.count("*"), F.sum("y")).first()
+    rate = min(max((pos or 0) / max(n, 1), 1e-6), 1 - 1e-6)
+    model: dict = {"base": math.log(rate / (1 - rate)), "edges": edges, "trees": []}
+    for _ in range(n_trees if n else 0):
+        p = rows.withColumn("p", probability(model))
+        tree: dict = {}
+        for depth in range(max_depth + 1):
+            placed = p.withColumn("node", descend(tree, "", lambda at: F.lit(at))).where(F.length("node") == depth)
+            sums = {r["node"]: (r["g"], r["h"]) for r in gradient_histogram(placed.withColumns({"f": F.lit(0), "bin": F.lit(0)}), ["node"]).collect()}
+            splits = {}
+            if depth < max_depth:
+                long = placed.select("node", "p", "y", F.posexplode("bins").alias("f", "bin"))
+                splits = {r["node"]: r for r in best_split(gradient_histogram(long, ["node"]), ["node"], lam, gamma, min_hess).collect()}
+            for node, (g, h) in sums.items():
+                found = splits.get(node) if h >= 2 * min_hess else None
+                tree[node] = ("split", found["f"], found["bin"]) if found else ("leaf", leaf_value(g, h, lam, lr))
+            if not splits:
+                break
+        model["trees"].append(tree)
+    return model
+
+
+def logit(model: dict) -> Column:
+    """The ensemble's log-odds of rows with ``bins``."""
+    out = F.lit(model["base"])
+    for tree in model["trees"]:
+        out = out + descend(tree)
+    return out
+
+
+def probability(model: dict) -> Column:
+    return sigmoid(logit(model))
+
+
+def to_json(model: dict) -> str:
+    return json.dumps(model, sort_keys=True)
+
+
+def from_json(text: str) -> dict:
+    model = json.loads(text)
+    return model | {"trees": [{path: tuple(node) for path, node in tree.items()} for tree in model["trees"]]}
+
+
+def flatten(spark: SparkSession, model: dict) -> DataFrame:
+    """(tree, node, parent, side, f, bin, value): a row for each node, its path as its name."""
+    rows = [
+        (t, path, path[:-1] if path else None, path[-1:] or None, node[1] if node[0] == "split" else None, node[2] if node[0] == "split" else None, node[1] if node[0] == "leaf" else None)
+        for t, tree in enumerate(model["trees"]) for path, node in tree.items()
+    ]
+    return spark.createDataFrame(rows, "tree int, node string, parent string, side string, f int, bin int, value double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import networks, scoring
+from ledgerloom.plans import federation, networks, scoring
 
-QUERIES: dict = scoring.QUERIES | networks.QUERIES
-ORACLE: dict = scoring.ORACLE | networks.ORACLE
+QUERIES: dict = scoring.QUERIES | networks.QUERIES | federation.QUERIES
+ORACLE: dict = scoring.ORACLE | networks.ORACLE | federation.ORACLE

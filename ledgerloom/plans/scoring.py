@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalar import clamp01, half_up, is_valid_vector, seeded_unit, to_number
+from ledgerloom.functions.scalar import is_valid_vector, seeded_unit, to_number
 from ledgerloom.operators import features, metrics, rules, trees
 from ledgerloom.operators.features import BIAS, FEATURES, WEIGHTS
-from ledgerloom.session import table
+from ledgerloom.session import table, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -42,7 +42,8 @@ KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 
 def _scored(spark, sf_dir):
-    return features.scored(features.standardise(features.transactions(spark, sf_dir)))
+    """Scored transactions; the join is written once, as its statistics and its rows are both read."""
+    return features.scored(features.standardise(written(features.transactions(spark, sf_dir), "transactions")))
 
 
 @query(TX + """, g AS (SELECT bank, score, sum(y) AS pos, count(*) - sum(y) AS neg FROM sc GROUP BY 1, 2),
@@ -53,7 +54,7 @@ def score_recall_auc_by_bank(spark, sf_dir):
     rows = _scored(spark, sf_dir).select("bank", "score", "y")
     auc = metrics.roc_auc(rows, ["bank"])
     recall = rows.groupBy("bank").agg(F.round(metrics.recall(F.col("score"), F.col("y")), 6).alias("recall"), F.count("*").alias("n"))
-    return recall.join(F.broadcast(auc), "bank").select("bank", F.round("auc", 6).alias("auc"), "recall", "n")
+    return recall.join(auc, "bank").select("bank", F.round("auc", 6).alias("auc"), "recall", "n")
 
 
 @query(TX + "SELECT " + KEY + ", bank, y, " + ", ".join(f"round({c}, 4) AS {c}" for c in FEATURES) + " FROM tx")
@@ -63,7 +64,7 @@ def feature_map_projection(spark, sf_dir):
 
 @query(TX + "SELECT bank, " + ", ".join(f"round(avg({c}), 5) + 0.0 AS {c}" for c in FEATURES) + " FROM z GROUP BY bank")
 def zscore_features(spark, sf_dir):
-    rows = features.standardise(features.transactions(spark, sf_dir))
+    rows = features.standardise(written(features.transactions(spark, sf_dir), "transactions"))
     return rows.groupBy("bank").agg(*((F.round(F.avg(c), 5) + 0.0).alias(c) for c in FEATURES))
 
 
@@ -79,7 +80,7 @@ _CONTRIBUTION = ", ".join(f"('{c}', round({c} * ({w}), 6))" for c, w in zip(FEAT
 SELECT name, r AS place, count(*) AS n FROM c WHERE r <= 3 GROUP BY 1, 2""")
 def feature_contributions_top3(spark, sf_dir):
     """How often each feature is among the three largest positive contributions of a transaction."""
-    rows = features.standardise(features.transactions(spark, sf_dir))
+    rows = features.standardise(written(features.transactions(spark, sf_dir), "transactions"))
     parts = F.array(*(F.struct((-F.round(F.col(c) * w, 6)).alias("minus"), F.lit(c).alias("name")) for c, w in zip(FEATURES, WEIGHTS, strict=True)))
     top = F.slice(F.array_sort(F.filter(parts, lambda x: x["minus"] < -1e-9)), 1, 3)
     return rows.select(F.posexplode(top).alias("place", "one")).groupBy(F.col("one.name").alias("name"), (F.col("place") + 1).cast("bigint").alias("place")).agg(F.count("*").alias("n"))
@@ -95,46 +96,31 @@ def recall_at_threshold(spark, sf_dir):
 @query(TX + """, g AS (SELECT score, sum(y) AS pos, count(*) - sum(y) AS neg FROM sc GROUP BY 1), b AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
 SELECT round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc FROM b""")
 def roc_auc(spark, sf_dir):
-    rows = _scored(spark, sf_dir).withColumn("all", F.lit(1))
-    return metrics.roc_auc(rows, ["all"]).select(F.round("auc", 6).alias("auc"))
+    return metrics.roc_auc(_scored(spark, sf_dir), []).select(F.round("auc", 6).alias("auc"))
 
 
-_ORDER = ["score", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "amount"]
+_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "amount"]
 _SQL_ORDER = "score DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, amount"
 
 
-def _order():
-    return [F.desc("score"), *_ORDER[1:]]
-
-
 @query(TX + f""", r AS (SELECT bank, y, row_number() OVER w AS n, sum(y) OVER (PARTITION BY bank ORDER BY {_SQL_ORDER} ROWS UNBOUNDED PRECEDING) AS tp FROM sc WINDOW w AS (PARTITION BY bank ORDER BY {_SQL_ORDER}))
 SELECT bank, round(sum(tp / n) FILTER (y = 1) / sum(y), 6) AS average_precision FROM r GROUP BY bank""")
 def average_precision(spark, sf_dir):
-    return metrics.average_precision(_scored(spark, sf_dir), ["bank"], _order()).withColumn("average_precision", F.round("average_precision", 6))
+    return metrics.average_precision(_scored(spark, sf_dir), ["bank"], _ORDER).withColumn("average_precision", F.round("average_precision", 6))
 
 
 @query(TX + f""", r AS (SELECT y, row_number() OVER (ORDER BY {_SQL_ORDER}) AS n, count(*) OVER () AS c FROM sc)
 SELECT round(count_if(n <= greatest(1, round_even(c * 0.05, 0)) AND y = 1) / count_if(y = 1), 6) AS recall_at_budget, any_value(greatest(1, round_even(c * 0.05, 0)))::BIGINT AS k FROM r""")
 def recall_at_budget(spark, sf_dir):
-    """Recall among the best 5 % of all rows: the cut is found on score groups, so no task sorts all rows."""
-    rows = _scored(spark, sf_dir)
-    total = rows.count()
-    k = max(1, round(total * 0.05))
-    groups = rows.groupBy("score").agg(F.count("*").alias("n")).orderBy(F.desc("score")).collect()  # 10,001 rounded scores at most
-    above = 0
-    for row in groups:
-        if above + row.n >= k:
-            break
-        above += row.n
-    tied = rows.where(F.col("score") == row.score).orderBy(*_ORDER[1:]).limit(k - above)
-    found = rows.where(F.col("score") > row.score).select("y").union(tied.select("y")).agg(F.sum("y").alias("hit"))
-    return found.crossJoin(rows.agg(F.sum("y").alias("pos"))).select(F.round(F.col("hit") / F.col("pos"), 6).alias("recall_at_budget"), F.lit(k).cast("bigint").alias("k"))
+    """Recall among the best 5 % of all rows."""
+    out = metrics.recall_at_budget(_scored(spark, sf_dir), [], _ORDER, 0.05, False, 1.0)
+    return out.select(F.round("recall_at_budget", 6).alias("recall_at_budget"), "k")
 
 
 @query(TX + f""", r AS (SELECT bank, y, row_number() OVER (PARTITION BY bank ORDER BY {_SQL_ORDER}) AS n, count(*) OVER (PARTITION BY bank) AS c FROM sc)
 SELECT bank, round(coalesce(count_if(n <= greatest(1, ceil(c * 0.15)) AND y = 1) / nullif(count_if(y = 1), 0), 1), 6) AS recall_at_budget, max(greatest(1, ceil(c * 0.15)))::BIGINT AS k FROM r GROUP BY bank""")
 def recall_at_budget_by_bank(spark, sf_dir):
-    return metrics.recall_at_budget(_scored(spark, sf_dir), ["bank"], _order(), 0.15, True, 1.0).withColumn("recall_at_budget", F.round("recall_at_budget", 6))
+    return metrics.recall_at_budget(_scored(spark, sf_dir), ["bank"], _ORDER, 0.15, True, 1.0).withColumn("recall_at_budget", F.round("recall_at_budget", 6))
 
 
 @query(TX + "SELECT bank, round((count(*) - sum(y)) / greatest(1, sum(y)), 6) AS pos_weight FROM tx GROUP BY bank")
@@ -158,20 +144,6 @@ def scam_rule_verdicts(spark, sf_dir):
     return out.select("event_id", "risk", "action", "indicators")
 
 
-@query("""WITH i AS (SELECT n_nationkey AS id, 100.0 + n_nationkey * 10 AS a, n_nationkey * 5 AS q, 50 - n_nationkey AS d, 40 AS p, 60 AS m, 30 AS t FROM nation),
-f AS (SELECT id, a * least(100, greatest(0, q)) / 100 AS calls, a * least(100, greatest(0, q)) / 100 * d / 100 * p / 100 AS pilots, t FROM i),
-g AS (SELECT *, pilots * 60 / 100 AS members, pilots * 60 / 100 * t / 100 AS modules FROM f),
-h AS (SELECT *, pilots * 25000 + members * 120000 + modules * 50000 AS revenue, 250000 + pilots * 30000 + members * 40000 AS cost FROM g)
-SELECT id, round(members, 6) AS members, round(revenue, 3) AS revenue, round(revenue - cost, 3) AS profit, round(CASE WHEN revenue > 0 THEN (revenue - cost) / revenue ELSE 0 END, 6) AS margin,
- greatest(0, ceil((250000 + pilots * 5000) / (120000 + 0.3 * 50000 - 40000)))::BIGINT AS break_even FROM h""")
-def sales_funnel(spark, sf_dir):
-    n = F.col("n_nationkey")
-    fixed = {"pilot_rate": 40.0, "member_rate": 60.0, "attach_rate": 30.0, "pilot_price": 25000.0, "member_price": 120000.0, "module_price": 50000.0, "pilot_cost": 30000.0, "service_cost": 40000.0, "fixed_cost": 250000.0}
-    rows = table(spark, sf_dir, "nation").select(n.alias("id"), (100.0 + n * 10).alias("accounts"), (n * 5.0).alias("qualified_rate"), (50.0 - n).alias("partner_rate"), *(F.lit(v).alias(k) for k, v in fixed.items()))
-    out = rules.funnel(rows)
-    return out.select("id", F.round("members", 6).alias("members"), F.round("revenue", 3).alias("revenue"), F.round("profit", 3).alias("profit"), F.round("margin", 6).alias("margin"), F.col("break_even").cast("bigint").alias("break_even"))
-
-
 @query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS valid FROM embeddings")
 def vector_validation(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", is_valid_vector(F.col("embedding").cast("array<double>"), 64).alias("valid"))
@@ -202,7 +174,7 @@ def robust_numbers(spark, sf_dir):
 
 
 def _grid(spark, sf_dir):
-    rows = trees.long_form(features.transactions(spark, sf_dir), FEATURES, [*KEY.split(", "), "y"])
+    rows = trees.long_form(written(features.transactions(spark, sf_dir), "transactions"), FEATURES, [*KEY.split(", "), "y"])
     return rows, trees.grid_histogram(rows)
 
 
@@ -272,25 +244,13 @@ def fgsm_perturb(spark, sf_dir):
 @query(TX + """, t AS (SELECT bank, y, CASE WHEN amount <= 0.5 THEN CASE WHEN fanout <= 0.0 THEN -0.4 ELSE 0.1 END ELSE CASE WHEN campaign_sig <= 0.0 THEN 0.2 ELSE 0.9 END END AS leaf FROM z)
 SELECT bank, leaf, count(*) AS n, sum(y)::BIGINT AS pos FROM t GROUP BY 1, 2""")
 def tree_score(spark, sf_dir):
-    rows = features.standardise(features.transactions(spark, sf_dir))
+    rows = features.standardise(written(features.transactions(spark, sf_dir), "transactions"))
     left = F.when(F.col("fanout") <= 0, -0.4).otherwise(0.1)
     right = F.when(F.col("campaign_sig") <= 0, 0.2).otherwise(0.9)
     leaf = F.when(F.col("amount") <= 0.5, left).otherwise(right)
     return rows.groupBy("bank", leaf.alias("leaf")).agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
 
 
-@query("""WITH r AS (SELECT range AS round FROM range(12)), b AS (SELECT n_nationkey AS bank FROM nation),
-d AS (SELECT round, bank, greatest(0.4, least(0.95 + bank * 0.003, 0.5 + 0.17 * round + 0.004 * bank)) AS fed, greatest(0.12, least(0.5 + bank * 0.02, 0.16 + 0.055 * greatest(0, round - 1.1 * bank))) AS silo FROM r, b)
-SELECT round::BIGINT AS round, round(avg(fed), 4) AS federated, round(avg(silo), 4) AS siloed, floor(9000 * (1 - avg(fed)) + 0.5)::BIGINT AS victims_federated, floor(9000 * (1 - avg(silo)) + 0.5)::BIGINT AS victims_siloed FROM d GROUP BY round""")
-def scripted_detection(spark, sf_dir):
-    banks = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("bank"))
-    rows = spark.range(12).withColumnRenamed("id", "round").crossJoin(F.broadcast(banks))
-    fed = F.greatest(F.lit(0.4), F.least(0.95 + F.col("bank") * 0.003, 0.5 + 0.17 * F.col("round") + 0.004 * F.col("bank")))
-    silo = F.greatest(F.lit(0.12), F.least(0.5 + F.col("bank") * 0.02, 0.16 + 0.055 * F.greatest(F.lit(0.0), F.col("round") - 1.1 * F.col("bank"))))
-    out = rows.groupBy("round").agg(F.avg(fed).alias("fed"), F.avg(silo).alias("silo"))
-    return out.select("round", F.round("fed", 4).alias("federated"), F.round("silo", 4).alias("siloed"), half_up(9000 * (1 - F.col("fed"))).alias("victims_federated"), half_up(9000 * (1 - F.col("silo"))).alias("victims_siloed"))
-
-
 @query("""WITH e AS (SELECT range AS i FROM range(100)), o AS (SELECT 1.1 + i * 0.1 AS alpha FROM e UNION ALL SELECT 11.0 + i FROM e WHERE i < 54), s AS (SELECT unnest([0.7, 1.1, 2.0, 4.0]) AS sigma),
 x AS (SELECT sigma, alpha, 30 * alpha / (2 * sigma * sigma) + ln((alpha - 1) / alpha) - (ln(0.00001) + ln(alpha)) / (alpha - 1) AS eps FROM o, s)
 SELECT sigma::DOUBLE AS sigma, round(min(eps), 6) AS epsilon FROM x GROUP BY sigma""")
@@ -302,59 +262,3 @@ def rdp_epsilon_q1(spark, sf_dir):
     a = F.col("alpha")
     eps = 30 * a / (2 * F.col("sigma") * F.col("sigma")) + F.log((a - 1) / a) - (F.log(F.lit(1e-5)) + F.log(a)) / (a - 1)
     return rows.groupBy("sigma").agg(F.round(F.min(eps), 6).alias("epsilon"))
-
-
-_CENTRES = [(0.16, 0.32), (0.35, 0.2), (0.57, 0.24), (0.78, 0.34), (0.23, 0.69), (0.43, 0.78), (0.64, 0.73), (0.84, 0.64)]  # fixed values: communities
-
-
-def _contagion(spark, points: int, federated: bool, detection: float, rounds: int):
-    """(state, hub) of every point of the contagion picture."""
-    i = F.col("id")
-    u = {salt: seeded_unit(i, salt) for salt in (17, 41, 61, 89, 131, 197)}
-    xs, ys = (F.array(*(F.lit(c[k]) for c in _CENTRES)) for k in (0, 1))
-    at = lambda a, b: F.element_at(a, b.cast("int") + 1)
-    rows = spark.range(points).withColumn("bank", i % 8).withColumns({f"u{k}": v for k, v in u.items()})
-    rows = rows.withColumn("hub", (i % 197 == 0) | (F.col("u89") > 0.996))
-    angle = i * 2.399963229728653 + F.col("u41") * 0.8
-    reach = F.sqrt("u17") * (0.115 + F.col("u61") * 0.035)
-    pull = F.when(F.col("hub"), 0.12).otherwise(0.0)
-    cx, cy = at(xs, F.col("bank")), at(ys, F.col("bank"))
-    rows = rows.withColumns({"cx": cx, "cy": cy, "nx": at(xs, (F.col("bank") + 3) % 8), "ny": at(ys, (F.col("bank") + 3) % 8), "px": at(xs, (F.col("bank") + 6) % 8), "py": at(ys, (F.col("bank") + 6) % 8)})
-    clip = lambda v, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), v))
-    rows = rows.withColumn("x", clip(F.col("cx") + F.cos(angle) * reach + pull * (0.5 - F.col("cx")), 0.025, 0.975)).withColumn("y", clip(F.col("cy") + F.sin(angle) * reach + pull * (0.5 - F.col("cy")), 0.055, 0.945))
-
-    def gap(bx, by):
-        vx, vy = bx - F.col("cx"), by - F.col("cy")
-        t = clamp01(((F.col("x") - F.col("cx")) * vx + (F.col("y") - F.col("cy")) * vy) / (vx * vx + vy * vy))
-        return F.hypot(F.col("x") - F.col("cx") - t * vx, F.col("y") - F.col("cy") - t * vy)
-
-    corridor = clamp01(1 - F.least(gap(F.col("nx"), F.col("ny")), gap(F.col("px"), F.col("py"))) * 2.4)
-    source = clamp01(1 - F.least(F.hypot(F.col("x") - 0.14, F.col("y") - 0.2), F.hypot(F.col("x") - 0.83, F.col("y") - 0.78)) * 1.8)
-    progress = min(1.0, max(0, rounds) / 6)
-    fraud = min(1.0, (1 - detection) * progress * (0.7 if federated else 1.18))
-    shield = min(1.0, detection * progress * (1.0 if federated else 0.82))
-    exposed = F.col("u131") < clamp01(fraud * (0.5 + corridor * 0.9 + source * 0.5 + F.when(F.col("hub"), 0.18).otherwise(0.0)))
-    return rows.select("hub", F.when(exposed, "exposed").when(F.col("u197") < shield, "protected").otherwise("neutral").alias("state"))
-
-
-def _contagion_sql() -> str:
-    arms = []
-    for regime, det, fed in (("federated", 0.9, True), ("siloed", 0.5, False)):
-        fraud, shield = (1 - det) * (0.7 if fed else 1.18), det * (1.0 if fed else 0.82)
-        arms.append(f"""SELECT '{regime}' AS regime, hub, CASE WHEN u131 < greatest(0, least(1, {fraud} * (0.5 + corridor * 0.9 + source * 0.5 + CASE WHEN hub THEN 0.18 ELSE 0 END))) THEN 'exposed' WHEN u197 < {shield} THEN 'protected' ELSE 'neutral' END AS state FROM k""")
-    units = ", ".join(f"{_sql_unit('range', s)} AS u{s}" for s in (17, 41, 61, 89, 131, 197))
-    xs, ys = ([c[k] for c in _CENTRES] for k in (0, 1))
-    gap = lambda bx, by: f"(SELECT sqrt(pow(x - cx - t * ({bx} - cx), 2) + pow(y - cy - t * ({by} - cy), 2)) FROM (SELECT greatest(0, least(1, ((x - cx) * ({bx} - cx) + (y - cy) * ({by} - cy)) / (({bx} - cx) * ({bx} - cx) + ({by} - cy) * ({by} - cy)))) AS t))"
-    return f"""WITH p AS (SELECT range AS i, range % 8 AS bank, {units} FROM range(32000)), h AS (SELECT *, i % 197 = 0 OR u89 > 0.996 AS hub, {xs}[bank + 1]::DOUBLE AS cx, {ys}[bank + 1]::DOUBLE AS cy, {xs}[(bank + 3) % 8 + 1]::DOUBLE AS nx, {ys}[(bank + 3) % 8 + 1]::DOUBLE AS ny, {xs}[(bank + 6) % 8 + 1]::DOUBLE AS px, {ys}[(bank + 6) % 8 + 1]::DOUBLE AS py FROM p),
-q AS (SELECT *, greatest(0.025, least(0.975, cx + cos(i * 2.399963229728653 + u41 * 0.8) * sqrt(u17) * (0.115 + u61 * 0.035) + CASE WHEN hub THEN 0.12 ELSE 0 END * (0.5 - cx))) AS x, greatest(0.055, least(0.945, cy + sin(i * 2.399963229728653 + u41 * 0.8) * sqrt(u17) * (0.115 + u61 * 0.035) + CASE WHEN hub THEN 0.12 ELSE 0 END * (0.5 - cy))) AS y FROM h),
-k AS (SELECT *, greatest(0, least(1, 1 - least({gap('nx', 'ny')}, {gap('px', 'py')}) * 2.4)) AS corridor, greatest(0, least(1, 1 - least(sqrt(pow(x - 0.14, 2) + pow(y - 0.2, 2)), sqrt(pow(x - 0.83, 2) + pow(y - 0.78, 2))) * 1.8)) AS source FROM q),
-s AS ({' UNION ALL '.join(arms)}), n AS (SELECT regime, floor(count_if(state = 'exposed') * 31.25 + 0.5)::BIGINT AS exposed, floor(count_if(state = 'protected') * 31.25 + 0.5)::BIGINT AS protected, count_if(hub) AS hubs FROM s GROUP BY regime)
-SELECT regime, exposed, protected, greatest(0, 1000000 - exposed - protected) AS neutral, greatest(0, protected - floor(exposed * 0.24 + 0.5)::BIGINT) AS suppressed, floor(hubs * 31.25 * 0.18 + 0.5)::BIGINT AS cross_bank_links FROM n"""
-
-
-@query(_contagion_sql())
-def contagion_totals(spark, sf_dir):
-    arms = [_contagion(spark, 32_000, fed, det, 8).select(F.lit(name).alias("regime"), "hub", "state") for name, det, fed in (("federated", 0.9, True), ("siloed", 0.5, False))]
-    n = arms[0].union(arms[1]).groupBy("regime").agg(half_up(F.count_if(F.col("state") == "exposed") * 31.25).alias("exposed"), half_up(F.count_if(F.col("state") == "protected") * 31.25).alias("protected"), F.count_if("hub").alias("hubs"))
-    neutral = F.greatest(F.lit(0), 1_000_000 - F.col("exposed") - F.col("protected"))
-    return n.select("regime", "exposed", "protected", neutral.alias("neutral"), F.greatest(F.lit(0), F.col("protected") - half_up(F.col("exposed") * 0.24)).alias("suppressed"), half_up(F.col("hubs") * 31.25 * 0.18).alias("cross_bank_links"))

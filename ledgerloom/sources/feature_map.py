@@ -16,10 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalar import to_number
+from ledgerloom.operators.features import ALIASES, CONTRACT
 
-#: The features in their order, and other names by which maps call them.
-CONTRACT = ("amount", "oldOrig", "newOrig", "oldDest", "newDest", "accountAge", "velocity", "fanout", "isTransfer", "campaignSig")
-ALIASES = {"old_balance_orig": "oldOrig", "new_balance_orig": "newOrig", "old_balance_dest": "oldDest", "new_balance_dest": "newDest", "account_age": "accountAge", "is_transfer": "isTransfer", "campaign_sig": "campaignSig"}
 TRANSFORMS = (None, "raw", "zscore", "log1p", "bool")
 BLOCK = "CdtTrfTxInf"
 

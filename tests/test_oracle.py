@@ -1,6 +1,7 @@
 """Every query with oracle SQL against DuckDB on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from ledgerloom.plans import catalogue
@@ -18,7 +19,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     return round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) or type(v).__module__ == "numpy" and v.dtype.kind in "if" else str(v)
 
