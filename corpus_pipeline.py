@@ -2,7 +2,9 @@
 
 Every stage works on all that the one before kept, which is written to the shared folder and read again.
 Rows are told apart by a key that the first stage gives and all but the last pass on, so ids may be null or repeated:
-every row is judged by its own text. Null texts pass the filters and are encoded as empty text.
+every row is judged by its own text. Null and empty texts pass the filters and are encoded as empty text; of repeated
+rows with words one stays; of rows that tie the one of the smallest id stays, then of the smallest key. Texts of any
+length are judged whole, columns of any other name pass through, and empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document and digests of them and of what they decode to."""
     codec = bpe.codec_for(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = bpe.decode(bpe.encode(docs, codec), codec)
+    rows = bpe.encode(docs, codec, decoded=True)
     return rows.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
