@@ -48,5 +48,5 @@ def test_inclusion_proof(spark):
         levels.append(ledger.level(levels[-1]))
     root = levels[-1].first()["h"]
     leaf = levels[0].where("seq = 6").first()["h"]
-    assert ledger.verify(leaf, ledger.inclusion_proof(levels, 6), root)
-    assert not ledger.verify("0" * 64, ledger.inclusion_proof(levels, 6), root)
+    assert ledger.verify_inclusion(leaf, 6, ledger.inclusion_proof(levels, 6), root)
+    assert not ledger.verify_inclusion("0" * 64, 6, ledger.inclusion_proof(levels, 6), root)
