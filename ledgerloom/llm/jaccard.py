@@ -4,17 +4,19 @@ A document's set is its distinct word shingles. Its tokens (shingle hashes) are
 counts by group are a point. Of two sets, the sum over groups of the smaller count bounds the overlap, so an
 R-tree over points (folded to ``GROUPS`` coordinates for its boxes) prunes whole boxes: a pair of boxes whose summed
 coordinate minima stay under the overlap that the threshold asks of their smallest sizes has no link. Pairs of
-points that survive meet the same bound on all ``FINE`` groups and are then verified on the whole texts.
+points that survive meet the same bound on all ``FINE`` groups, sets of more than ``LONG`` tokens once more on ``WIDE``
+groups, and are then verified on the whole texts.
 
 One tree over everything would be one task, so there is a tree for each shard, and shards follow from a rule
 that loses no pair: under any fixed order of tokens, two sets with J >= t share a token among the first
-``n - ceil(t n) + 1`` of each. Each such token is a shard; tokens that the same sets share are one shard. The order
-puts frequent tokens last and is by hash otherwise. Frequencies are estimated over all documents, by a count
+``n - ceil(t n) + 1`` of each, and their sizes are of one class or of two that follow each other. Each such token with
+two such classes is a shard; shards of the same sets are one. The order puts frequent tokens last and is by hash otherwise. Frequencies are estimated over all documents, by a count
 sketch of fixed size that tasks fill and that is added up; they steer cost only, never the result.
 
-Equal sets are one row from the start (128 bits of sums of their token hashes). Then leader rounds: every set is
-verified against the shard-mate of another component that leads most of its shards, which joins families of copies
-without comparing all their pairs; rounds go on while a good part of what they verify is linked. Then trees are
+Equal sets are one row from the start (128 bits of sums of their token hashes). Then a leader round: every set is
+verified against the shard-mates that lead most of its shards, which joins families of copies without comparing all
+their pairs; with other leaders it is repeated while shards of several components are large and a good part of what it
+verifies is linked. It may pass over any pair, since what it leaves apart the trees still compare. Then trees are
 built for the shards that still hold several components, boxes of one component are not descended into, and only
 pairs across components are verified; links inside a component cannot change it. A pair that meets in several
 shards is taken in the first only, as far as the ``EARLIER`` first shards of both sets tell. Shards of more than
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +42,12 @@ from ledgerloom.llm.wordhash import mix, shingle_sets
 
 GROUPS = 128
 FINE = 512
+WIDE = 4096
+LONG = 1500
 LEAF = 32
 BLOCK = 4096
 SLICE = 512
-EARLIER = 16
+EARLIER = 4
 #: Box pairs, and pairs of points, looked at in one step: some 8 MB of coordinates.
 BOXES = 16
 STEP = 4096
@@ -51,6 +56,13 @@ SKETCH = 3
 FREQUENT_SHARE = 6 / 16_000
 FREQUENT_LEAST = 6
 ROUNDS = 6
+CLASSES = 512
+#: Another round of leaders where shards of several components hold this many pairs for each of their rows.
+CROWDED = 1024
+
+
+_COMPRESS = zstandard.ZstdCompressor(level=1, write_checksum=False)
+_DECOMPRESS = zstandard.ZstdDecompressor()
 
 
 def _prefix(n: np.ndarray, threshold: int) -> np.ndarray:
@@ -115,10 +127,10 @@ def token_sketch(df: DataFrame, size: int) -> tuple[np.ndarray, int]:
 
 
 def profiles(df: DataFrame, size: int, threshold: int, held) -> DataFrame:
-    """(doc_id, row key, n, h1, h2, tokens, common, fine) of every row (doc_id, text, row key).
+    """(doc_id, row key, n, h1, h2, tokens, common, fine, wide) of every row (doc_id, text, row key).
 
-    ``tokens`` and ``common`` are the rare and the frequent tokens to be looked at; they and ``fine`` are null where the
-    task has emitted the set before.
+    ``tokens`` and ``common`` are the rare and the frequent tokens to be looked at; they and the points are null where
+    the task has emitted the set before, and ``wide`` is null for sets that are not long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +152,7 @@ def profiles(df: DataFrame, size: int, threshold: int, held) -> DataFrame:
                 rare: list = [None] * len(n)
                 common: list = [None] * len(n)
                 fine: list = [None] * len(n)
+                wide: list = [None] * len(n)
                 for i, key in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
                     if n[i] and key not in seen:
                         seen.add(key)
@@ -147,15 +160,17 @@ def profiles(df: DataFrame, size: int, threshold: int, held) -> DataFrame:
                         rare[i] = short[a:b][~late[a:b]][: take[i]]
                         common[i] = short[a:b][late[a:b]][: take[i] - len(rare[i])]
                         fine[i] = _pack(np.bincount((tokens[a:b] % np.uint64(FINE)).astype(np.int64), minlength=FINE))
+                        if n[i] > LONG:
+                            wide[i] = _pack(np.bincount((tokens[a:b] % np.uint64(WIDE)).astype(np.int64), minlength=WIDE))
                 if len(seen) > 200_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), _lists(rare), _lists(common), pa.array(fine, pa.binary())],
-                    names=["doc_id", ROW_KEY, "n", "h1", "h2", "tokens", "common", "fine"],
+                    [part.column(0), part.column(2), pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), _lists(rare), _lists(common), pa.array(fine, pa.binary()), pa.array(wide, pa.binary())],
+                    names=["doc_id", ROW_KEY, "n", "h1", "h2", "tokens", "common", "fine", "wide"],
                 )
 
     kind = df.schema[0].dataType.simpleString()
-    return map_arrow(df, run, f"doc_id {kind}, {ROW_KEY} bigint, n bigint, h1 bigint, h2 bigint, tokens array<int>, common array<int>, fine binary")
+    return map_arrow(df, run, f"doc_id {kind}, {ROW_KEY} bigint, n bigint, h1 bigint, h2 bigint, tokens array<int>, common array<int>, fine binary, wide binary")
 
 
 def _lists(arrays: list) -> pa.ListArray:
@@ -166,16 +181,15 @@ def _lists(arrays: list) -> pa.ListArray:
 
 
 def _pack(counts: np.ndarray) -> bytes:
-    """Counts in half a byte each where all are small, else in one, two or four bytes."""
+    """Counts in half a byte each where all are small, else in one, two or four bytes, entropy-coded."""
     top = counts.max()
-    if top < 16:
-        return (counts[0::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
-    return counts.astype("<u1" if top < 2**8 else "<u2" if top < 2**16 else "<u4").tobytes()
+    raw = (counts[0::2] | counts[1::2] << 4).astype(np.uint8) if top < 16 else counts.astype("<u1" if top < 2**8 else "<u2" if top < 2**16 else "<u4")
+    return _COMPRESS.compress(raw.tobytes())
 
 
 def _points(column: pa.ChunkedArray | pa.Array, groups: int = FINE) -> np.ndarray:
     """The packed points of a column as a matrix."""
-    cells = column.to_pylist()
+    cells = [_DECOMPRESS.decompress(x) for x in column.to_pylist()]
     out = np.empty((len(cells), groups), np.int32)
     length = np.array([len(x) for x in cells])
     for size in np.unique(length):
@@ -329,25 +343,36 @@ def tree_pairs(shards: DataFrame, threshold: int) -> DataFrame:
     return map_arrow(shards, run, "a bigint, b bigint").distinct()
 
 
-def bounded(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that the count-vector bound does not rule out."""
-    side = lambda s: sets.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("fine").alias(f"p{s}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)").select("a", "b", "na", "nb", "pa", "pb")
+def _overlap_bounds(left: pa.Array, right: pa.Array, groups: int) -> np.ndarray:
+    return np.minimum(_points(left, groups), _points(right, groups)).sum(1)
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, threshold: int, small: bool) -> DataFrame:
+    """The pairs (a, b) that no count-vector bound rules out; ``small`` pairs are broadcast, and only their sets move."""
+    held = F.broadcast(pairs) if small else pairs
+    points = lambda s: [F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("fine").alias(f"p{s}"), F.col("wide").alias(f"w{s}")]
+    left = sets.select(*points("a")).join(held, "a")
+    right = sets.join(F.broadcast(pairs.select(F.col("b").alias("key")).distinct()), "key", "left_semi") if small else sets
+    rows = left.join(right.select(*points("b")), "b").where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)").select("a", "b", "na", "nb", "pa", "pb", "wa", "wb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                bound = np.minimum(_points(part.column(4)), _points(part.column(5))).sum(1)
-                keep = _possible(bound, part.column(2).to_numpy() + part.column(3).to_numpy(), threshold)
+                least = part.column(2).to_numpy() + part.column(3).to_numpy()
+                keep = _possible(_overlap_bounds(part.column(4), part.column(5), FINE), least, threshold)
+                both = np.flatnonzero(keep & part.column(6).is_valid().to_numpy(zero_copy_only=False) & part.column(7).is_valid().to_numpy(zero_copy_only=False))
+                for x in range(0, len(both), STEP * FINE // WIDE):
+                    own = both[x : x + STEP * FINE // WIDE]
+                    keep[own] = _possible(_overlap_bounds(part.column(6).take(pa.array(own)), part.column(7).take(pa.array(own)), WIDE), least[own], threshold)
                 yield part.select([0, 1]).filter(pa.array(keep))
 
     return map_arrow(rows, run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int, small: bool) -> DataFrame:
     """The pairs (a, b) whose sets, computed from the whole texts, reach the threshold."""
-    rows = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    rows = texts.select(F.col("key").alias("b"), F.col("text").alias("tb")).join(F.broadcast(pairs) if small else pairs, "b")
     rows = rows.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,18 +392,32 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> D
     return map_arrow(rows, run, "a bigint, b bigint")
 
 
+def size_classes(threshold: int) -> list[int]:
+    """Least sizes of classes such that sets that link are of one class or of two that follow each other; exact in integers."""
+    out = [1]
+    while out[-1] < 2**31:
+        out.append(out[-1] * 100 // threshold + 1)
+    if len(out) > CLASSES:
+        raise ValueError("the threshold must be 0.95 at most")
+    return out
+
+
 def shards_of(sets: DataFrame) -> DataFrame:
     """(x1, x2, key, weight) of every set in every shard of several sets; ``weight`` is how many tokens are that shard.
 
-    A shard is named by two 64-bit sums over its members, so tokens that the same sets share are one. Rare tokens meet
-    in one task each; frequent ones are counted before they are shuffled, and their join is split where it is skewed.
+    A key's remainder by ``CLASSES`` is its size class. A shard is a token and the sets of a class, one at least, and of
+    the class above. It is named by two 64-bit sums over its members, so shards of the same sets are one. Rare tokens
+    meet in one task each; frequent ones are counted before they are shuffled, and their join is split where it is skewed.
     """
-    names = {"sets": F.count("*"), "x1": F.bit_xor(F.xxhash64("key")), "x2": F.bit_xor(F.xxhash64("key", F.lit(1)))}
-    by_token = Window.partitionBy("token")
-    rare = sets.select(F.explode("tokens").alias("token"), "key").repartition("token").withColumn("sets", names["sets"].over(by_token)).where("sets > 1")
-    rare = rare.withColumns({c: names[c].over(by_token) for c in ("x1", "x2")})
-    often = sets.select(F.explode("common").alias("token"), "key")
-    often = often.join(often.groupBy("token").agg(*(x.alias(c) for c, x in names.items())).where("sets > 1"), "token")
+    own = F.col("key") % CLASSES
+    lower = F.explode(F.array(own, own - 1)).alias("low")
+    names = {"sets": F.count("*"), "least": F.min(own), "x1": F.bit_xor(F.xxhash64("key")), "x2": F.bit_xor(F.xxhash64("key", F.lit(1)))}
+    by_token, by_both = Window.partitionBy("token"), Window.partitionBy("token", "low")
+    rare = sets.select(F.explode("tokens").alias("token"), "key").repartition("token").withColumn("sets", F.count("*").over(by_token)).where("sets > 1")
+    rare = rare.select("token", "key", lower).withColumns({c: names[c].over(by_both) for c in ("sets", "least")}).where("sets > 1 and least = low")
+    rare = rare.withColumns({c: names[c].over(by_both) for c in ("x1", "x2")})
+    often = sets.select(F.explode("common").alias("token"), "key").select("token", "key", lower)
+    often = often.join(often.groupBy("token", "low").agg(*(x.alias(c) for c, x in names.items())).where("sets > 1 and least = low"), ["token", "low"])
     both = rare.select("x1", "x2", "key").union(often.select("x1", "x2", "key"))
     return both.groupBy("x1", "x2", "key").agg(F.count("*").alias("weight"))
 
@@ -390,11 +429,17 @@ def _components(shards: DataFrame, roots: DataFrame | None) -> DataFrame:
     return shards.join(roots, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
 
 
-def _leading(shards: DataFrame, order: Column, leaders: int) -> DataFrame:
-    """(a, b): sets b and the ``leaders`` sets of other components that lead most of their shards."""
+def _leading(shards: DataFrame, sets: DataFrame, order: Column, leaders: int, threshold: int) -> DataFrame:
+    """(a, b): sets b and the ``leaders`` sets of other components that lead most of their shards.
+
+    A pair goes on only where the sizes allow a link and the leader leads a twenty-fifth of the set's tokens: of a
+    link's tokens far more come first in both.
+    """
     ranges = shards.groupBy("x1", "x2").agg(F.min(F.struct(order.alias("o"), "key", "comp")).alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     rows = shards.join(ranges.select("x1", "x2", F.col("lead.key").alias("leader"), F.col("lead.comp").alias("other")), ["x1", "x2"]).where("comp <> other")
     votes = rows.groupBy("key", "leader").agg(F.sum("weight").alias("k"))
+    sizes = sets.select("key", "n")
+    votes = votes.join(sizes, "key").where("25 * k >= n").join(sizes.select(F.col("key").alias("leader"), F.col("n").alias("m")), "leader").where(f"100 * least(n, m) >= {threshold} * greatest(n, m)")
     best = Window.partitionBy("key").orderBy(F.desc("k"), "leader")
     votes = votes.withColumn("r", F.row_number().over(best)).where(F.col("r") <= leaders)
     return votes.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
@@ -408,32 +453,37 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     held = spark.sparkContext.broadcast(token_sketch(docs, size))  # of fixed size
     every = stored(profiles(docs.select("doc_id", "text", ROW_KEY), size, threshold, held), "profiles")
     # one row for each set: tasks emit a set's tokens once, different tasks may repeat it
-    one = F.any_value(F.when(F.col("fine").isNotNull(), F.struct("n", "fine", "tokens", "common")), F.lit(True)).alias("one")
+    one = F.any_value(F.when(F.col("fine").isNotNull(), F.struct("n", "fine", "wide", "tokens", "common")), F.lit(True)).alias("one")
     sets = every.where("n > 0").groupBy("h1", "h2").agg(one, F.min("doc_id").alias("doc_id"), F.min(ROW_KEY).alias("row"))  # ids may be null
-    sets = stored(sets.select("h1", "h2", "one.*", "doc_id", "row").withColumn("key", F.monotonically_increasing_id()), "sets")
+    of_size = F.size(F.filter(F.array(*(F.lit(x) for x in size_classes(threshold))), lambda x: x <= F.col("n"))) - 1
+    sets = stored(sets.select("h1", "h2", "one.*", "doc_id", "row").withColumn("key", F.monotonically_increasing_id() * CLASSES + of_size), "sets")
     shards = stored(shards_of(sets), "shards")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key", F.col("row").alias(ROW_KEY)), "key")
+    def linked(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """The links among stored candidates, and how many candidates the bounds left."""
+        small = pairs.count() <= BROADCAST_KEYS
+        near = stored(bounded(pairs, sets, threshold, small), "near")
+        tried = near.count()
+        needed = near.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key", F.col("row").alias(ROW_KEY)), "key")
         needed = stored(needed, "needed")
-        texts = docs.join(F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed, ROW_KEY).select("key", "text")
-        return stored(verified(pairs, texts, size, threshold), "links")
+        small = tried <= BROADCAST_KEYS // 2
+        texts = docs.join(F.broadcast(needed) if small else needed, ROW_KEY).select("key", "text")
+        return stored(verified(near, texts, size, threshold, small), "links"), tried
 
     links, roots = None, None
     for turn in range(ROUNDS):
         order = F.col("key") if turn == 0 else F.xxhash64("key", F.lit(turn))
-        likely = stored(bounded(_leading(_components(shards, roots), order, leaders), sets, threshold), "pairs")
-        tried = likely.count()
-        new = verify(likely)
+        new, tried = linked(stored(_leading(_components(shards, roots), sets, order, leaders, threshold), "pairs"))
         links = new if links is None else links.union(new)
         roots = components(links)
-        if new.count() * 8 <= tried:
+        # what is left for trees: the shards with several components
+        kept = _components(shards, roots)
+        several = kept.groupBy("x1", "x2").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("sets")).where("low < high")
+        kept = stored(kept.join(several.select("x1", "x2", "sets"), ["x1", "x2"]).drop("weight"), "several")
+        rows, pairs = kept.agg(F.count("*"), F.sum((F.col("sets") - 1) / 2)).first()
+        if (pairs or 0) <= CROWDED * rows or new.count() * 8 <= tried:
             break
 
-    # trees for the shards with several components
-    kept = _components(shards, roots)
-    several = kept.groupBy("x1", "x2").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("sets")).where("low < high")
-    kept = stored(kept.join(several.select("x1", "x2", "sets"), ["x1", "x2"]).drop("weight"), "several")
     blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
     first = kept.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("x1")), 1, EARLIER).alias("earlier"))  # a set has no more shards than tokens
     kept = kept.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
@@ -442,7 +492,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     kept = kept.select("x1", "x2", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "comp", "n", "fine", "earlier")
     shard = ["x1", "x2", "lo", "hi"]
     pairs = stored(tree_pairs(kept.repartition(*shard).sortWithinPartitions(*shard), threshold), "pairs")
-    roots = components(links.union(verify(pairs)))
+    roots = components(links.union(linked(pairs)[0]))
 
     named = sets.select("key", "h1", "h2", "doc_id").join(roots, F.col("key") == F.col("node"), "left").select("h1", "h2", "doc_id", "root")
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("lowest"))

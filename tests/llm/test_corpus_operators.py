@@ -92,6 +92,14 @@ def test_jaccard_of_odd_rows(spark):
     assert jaccard.link(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [60, 75, 90])
+def test_sizes_that_link_are_of_neighbouring_classes(threshold):
+    least = np.array(jaccard.size_classes(threshold))
+    a = np.arange(1, 4000)
+    largest = a * 100 // threshold
+    assert (np.searchsorted(least, largest, "right") - np.searchsorted(least, a, "right") <= 1).all()
+
+
 def test_tree_keeps_every_possible_pair():
     rng = np.random.default_rng(1)
     points = rng.poisson(1.0, (300, jaccard.GROUPS)).astype(np.int32)
@@ -256,13 +264,18 @@ def test_lattice_of_null_and_repeated_ids(spark):
 
 
 def test_lattice_recall_on_the_table(spark):
-    found = {r.vec_id: r.n_links for r in queries.op6_embedding_near_dedup(spark, LABELLED).collect()}
-    rows = spark.read.parquet(f"{LABELLED}/embeddings.parquet").where("embedding is not null and label is not null").collect()
-    ids, labels, unit = np.array([r.vec_id for r in rows]), np.array([r.label for r in rows]), np.array([r.embedding for r in rows], float)
-    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    rng = np.random.default_rng(12)
+    rows = [r for r in spark.read.parquet(f"{LABELLED}/embeddings.parquet").collect() if r.embedding is not None and r.label is not None]
+    base = np.array([r.embedding for r in rows], float)
+    near = base[:400] + rng.standard_normal((400, base.shape[1])) * np.linalg.norm(base[:400], axis=1, keepdims=True) / np.sqrt(base.shape[1]) * rng.uniform(0.02, 0.22, (400, 1))
+    every = np.concatenate([base, near])
+    labels = np.array([r.label for r in rows] + [r.label for r in rows[:400]])
+    frame = spark.createDataFrame([(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(every, labels, strict=True))], "vec_id bigint, embedding array<double>, label int")
+    found = {r.vec_id: r.n_links for r in lattice.near_duplicates(frame).collect()}
+    unit = every / np.maximum(np.linalg.norm(every, axis=1, keepdims=True), 1e-300)
     want = ((unit @ unit.T >= 0.98) & (labels[:, None] == labels)).sum(1) - 1
-    ours = np.array([found[i] for i in ids])
-    assert want.sum() > 0 and (ours <= want).all() and ours.sum() >= 0.9 * want.sum()
+    ours = np.array([found[i] for i in range(len(every))])
+    assert want.sum() > 300 and (ours <= want).all() and ours.sum() >= 0.9 * want.sum()
 
 
 @pytest.fixture(scope="module")
