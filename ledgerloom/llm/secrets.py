@@ -154,11 +154,12 @@ def redact(df: DataFrame, model, text_col: str = "text", mark: str = "[SECRET]",
     """
     rows = keyed(df)
     own = scan(rows, model, ROW_KEY, text_col).where("is_secret")
+    held = "_places" + "_" * max(map(len, df.columns))  # no column of the caller has this name
     places = own.select(ROW_KEY, F.struct("at", F.length("value").alias("n")).alias("_place")).groupBy(ROW_KEY)
-    found = stored(places.agg(F.sort_array(F.collect_set("_place"), asc=False).alias("_places")), "secrets")
+    found = stored(places.agg(F.sort_array(F.collect_set("_place"), asc=False).alias(held)), "secrets")  # one text's secrets
     side = F.broadcast(found) if found.count() <= broadcast_rows else found
     text = F.col(text_col)
     cut = lambda t, p: F.concat(F.left(t, p["at"]), F.lit(mark), F.substring(t, p["at"] + p["n"] + 1, F.length(t)))
-    clean = F.when(F.col("_places").isNull(), text).otherwise(F.aggregate(F.col("_places"), text, cut))
+    clean = F.when(F.col(held).isNull(), text).otherwise(F.aggregate(F.col(held), text, cut))
     out = rows.join(side, ROW_KEY, "left").withColumn(text_col, clean)
     return out.select(*df.columns)
