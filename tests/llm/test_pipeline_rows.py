@@ -51,3 +51,22 @@ def test_secrets_go_by_their_own_text(spark, tmp_path, corpus_pipeline):
     rows = [(None, f'secret = "{key}"'), (None, CLEAN), (5, f'so password = "{key}" it is'), (5, CLEAN), (5, f'password = "{key}"')]
     out = plain(corpus_pipeline.mask_secrets(spark, frame(spark, rows), str(tmp_path)))
     assert out == sorted(((i, t.replace(key, "[SECRET]")) for i, t in rows), key=repr)
+
+
+def test_all_stages_on_odd_rows(spark, tmp_path, corpus_pipeline):
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
+    rows = [(1, None), (1, None), (2, ""), (None, " \t\n"), (3, CLEAN), (3, CLEAN), (4, CLEAN), (5, long), (5, long), (6, "Einzeln"), (None, "null id")]
+    spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clash = ["sid", "key", "fine", "score", "label", "component_id", "_places", "_text", "n", "ids"]
+    docs = frame(spark, rows).withColumns({c: F.lit(c) for c in clash})
+    kept, none = docs, docs.where("doc_id > 99")
+    for name, stage in corpus_pipeline.STAGES:
+        kept, none = (stage(spark, x, str(tmp_path)) for x in (kept, none))
+        assert none.count() == 0
+        if name != "byte_bpe":
+            assert set(docs.columns) <= set(kept.columns)
+    out = sorted(((r.doc_id, r.n_tokens > 0) for r in kept.collect()), key=repr)
+    assert out == sorted([(1, False), (1, False), (2, False), (None, True), (3, True), (5, True), (6, True), (None, True)], key=repr)
