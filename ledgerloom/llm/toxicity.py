@@ -198,7 +198,7 @@ def _fit(rows: list[tuple[str, int]], pairs: int, small: int, least_gain: float,
 
 
 def fit(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 500, pairs: int = 16, small: int = 36_000, least_gain: float = 4.0, size: int = 393_216
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 800, pairs: int = 16, small: int = 36_000, least_gain: float = 5.0, size: int = 393_216
 ) -> dict:
     """The model from rows with a label of 0 or 1."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and text is not null")

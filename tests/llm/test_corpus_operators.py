@@ -128,6 +128,29 @@ def test_toxicity_on_held_out_labels(spark):
     assert auc([found[r.doc_id].score for r in labels], [r.toxic for r in labels]) >= 0.95
 
 
+def test_toxicity_of_words_never_seen(spark):
+    """Parts of words decide, so no list of the words of the labelled texts would do."""
+    rng = np.random.default_rng(9)
+    parts = ["ra", "lo", "mi", "ten", "sor", "ka", "vel", "du", "pin", "gor", "fa", "zu"]
+    word = lambda toxic: ("blargh" if toxic else "") + "".join(rng.choice(parts, rng.integers(2, 4)))
+    text = lambda toxic: " ".join(word(toxic and rng.random() < 0.2) for _ in range(40))
+    rows = [(i, text(i % 2), i % 2) for i in range(200)]
+    model = toxicity.fit(spark.createDataFrame(rows, DOCS + ", toxic int"))
+    seen = set(" ".join(t for _, t, _ in rows).split())
+    fresh = [w for w in (f"blargh{a}{b}{c}" for a in parts for b in parts for c in parts) if w not in seen]
+    plain = [w for w in (f"{a}{b}{c}" for a in parts for b in parts for c in parts) if w not in seen]
+    tests = [(1, " ".join(plain[:30] + fresh[:10])), (0, " ".join(plain[:40]))]
+    scores = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(tests, DOCS), model).collect()}
+    assert scores[1] > 0.5 > scores[0]
+
+
+def test_toxicity_on_few_labels(spark):
+    """Some forty toxic rows to learn from and six held out: a loose bound."""
+    found = {r.doc_id: r for r in queries.op2_toxicity(spark, LABELLED).collect()}
+    labels = [r for r in spark.read.parquet(f"{LABELLED}/labels.parquet").collect() if found[r.doc_id].held_out]
+    assert auc([found[r.doc_id].score for r in labels], [r.toxic for r in labels]) >= 0.75
+
+
 def test_toxicity_of_odd_rows(spark):
     labelled = spark.createDataFrame([(i, "rotten filth words " * 9 if i % 2 else "kind and plain words " * 9, i % 2) for i in range(40)], DOCS + ", toxic int")
     model = toxicity.fit(labelled)
