@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, chat, decontam, jaccard, langid, lattice, secrets, token_files, toxicity, warc
+from ledgerloom.llm import bpe, chat, decontam, fim, jaccard, langid, lattice, secrets, token_files, toxicity, warc
 from ledgerloom.llm.shared import fresh_path
 from ledgerloom.session import table
 
@@ -99,6 +99,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fim.transform(table(spark, sf_dir, "documents"), restored=True)
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
@@ -110,6 +115,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_token_files": op10_token_files,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 #: Shingle sets as lists of strings; links are verified pairs that share a shingle or are equal.
@@ -179,4 +185,20 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op1_ngram_jaccard": _OP1.replace("\\\\", "\\"), "op5_warc_fixity": _OP5, "op6_embedding_near_dedup": _OP6, "op9_chat_format": _OP9}
+#: The cuts as numbers of code points; the restored text is the text.
+_OP12 = """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), r AS (
+    SELECT *, ('0x' || substr(h, 1, 8))::UBIGINT % (n + 1) AS a, ('0x' || substr(h, 9, 8))::UBIGINT % (n + 1) AS b,
+        ('0x' || substr(h, 17, 8))::UBIGINT % 100 AS share, ('0x' || substr(h, 25, 8))::UBIGINT % 100 AS spm FROM d
+), f AS (
+    SELECT *, CASE WHEN n = 0 OR text LIKE '%<P>%' OR text LIKE '%<S>%' OR text LIKE '%<M>%' OR share >= 90 THEN 'plain' WHEN spm < 20 THEN 'spm' ELSE 'psm' END AS form,
+        substring(text, 1, least(a, b)::BIGINT) AS p, substring(text, least(a, b)::BIGINT + 1, (greatest(a, b) - least(a, b))::BIGINT) AS m, substring(text, greatest(a, b)::BIGINT + 1) AS s FROM r
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM f
+"""
+
+ORACLE: dict[str, str] = {"op1_ngram_jaccard": _OP1.replace("\\\\", "\\"), "op5_warc_fixity": _OP5, "op6_embedding_near_dedup": _OP6, "op9_chat_format": _OP9, "op12_fill_in_middle": _OP12}
