@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, chat, decontam, fim, jaccard, langid, lattice, secrets, token_files, toxicity, warc
+from ledgerloom.llm import bpe, chat, decontam, fim, jaccard, langid, lattice, merges, secrets, token_files, toxicity, warc
 from ledgerloom.llm.shared import fresh_path
 from ledgerloom.session import table
 
@@ -104,6 +104,17 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_merge_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = merges.codec_for(spark, public_tokenizers.path("word_bpe_49k.json"))
+    found = merges.encode(table(spark, sf_dir, "documents"), codec, decoded=True)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
@@ -116,6 +127,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_token_files": op10_token_files,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_merge_bpe": op13_merge_bpe,
 }
 
 #: Shingle sets as lists of strings; links are verified pairs that share a shingle or are equal.
