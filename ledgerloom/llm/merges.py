@@ -64,12 +64,14 @@ class Merges:
         self.joined: dict[tuple[int, int], int] = {}
         for rank, (a, b) in enumerate(merges):
             x, y, whole = vocab[a], vocab[b], vocab[a + b]
-            if self.made[whole] >= 0 or max(self.made[x], self.made[y]) >= rank:
-                raise ValueError(f"token {a + b!r} is merged twice or before its parts")
+            if self.made[whole] >= 0:
+                raise ValueError(f"token {a + b!r} is merged twice")
             self.first[whole], self.second[whole], self.made[whole] = x, y, rank
             self.joined[x, y] = rank
         self.pairs: dict[int, bool] = {}
         for whole, (x, y) in enumerate(zip(self.first, self.second, strict=True)):
+            if x >= 0 and max(self.made[x], self.made[y]) >= self.made[whole]:
+                raise ValueError(f"token {whole} is merged before its parts")
             if x >= 0 and not self._apart(x, y, self.made[whole]):
                 raise ValueError(f"token {whole} does not encode to itself")
         self.automaton = ahocorasick.Automaton()
