@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, chat, decontam, fim, jaccard, langid, lattice, merges, secrets, token_files, toxicity, warc
+from ledgerloom.llm import bpe, chat, decontam, fim, jaccard, langid, lattice, lexical, merges, secrets, token_files, toxicity, warc
 from ledgerloom.llm.shared import fresh_path
 from ledgerloom.session import table
 
@@ -99,6 +99,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = fim.transform(table(spark, sf_dir, "documents"), restored=True)
     return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
@@ -126,6 +130,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_token_files": op10_token_files,
+    "op11_lexical_search": op11_lexical_search,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_merge_bpe": op13_merge_bpe,
 }
@@ -197,6 +202,27 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+#: Every document that shares a term with an item is scored.
+_OP11 = r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), d AS (SELECT doc_id, words, len(words)::BIGINT AS n FROM w WHERE len(words) > 0), totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d
+), q AS (
+    SELECT item_id, term, count(*)::BIGINT AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+    ) GROUP BY ALL
+), p AS (
+    SELECT doc_id, any_value(n) AS n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term
+), f AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term
+), s AS (
+    SELECT p.doc_id, p.term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))) AS score
+    FROM p JOIN f USING (term), totals
+), r AS (
+    SELECT item_id, doc_id, sum(times * score)::BIGINT AS score FROM q JOIN s USING (term) GROUP BY ALL
+), t AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT * FROM t WHERE rank <= 10
+"""
+
 #: The cuts as numbers of code points; the restored text is the text.
 _OP12 = """
 WITH d AS (
@@ -213,4 +239,4 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::B
 FROM f
 """
 
-ORACLE: dict[str, str] = {"op1_ngram_jaccard": _OP1.replace("\\\\", "\\"), "op5_warc_fixity": _OP5, "op6_embedding_near_dedup": _OP6, "op9_chat_format": _OP9, "op12_fill_in_middle": _OP12}
+ORACLE: dict[str, str] = {"op1_ngram_jaccard": _OP1.replace("\\\\", "\\"), "op5_warc_fixity": _OP5, "op6_embedding_near_dedup": _OP6, "op9_chat_format": _OP9, "op11_lexical_search": _OP11.replace("\\\\", "\\"), "op12_fill_in_middle": _OP12}
