@@ -52,6 +52,46 @@ def node_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+#: What ``account_features`` gives of every account.
+ACCOUNT_FEATURES = ["age", "in_rate", "out_rate", "holding", "in_degree", "out_degree", "mean_in", "mean_out", "imbalance", "cross_ratio"]
+
+
+def account_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` with ``ACCOUNT_FEATURES``, standardised over all accounts (a column without spread is centred only).
+
+    Age is the share of the whole time span that passed before the first payment, rates are log1p of payments for 30
+    days of activity, holding is the balance over the flow. Payments are grouped once, by account.
+    """
+    banked = with_banks(nodes, edges).withColumn("cross", (F.col("src_bank") != F.col("dst_bank")).cast("int"))
+    end = lambda side: F.struct(F.col(side).alias("id"), F.lit(side == "dst").alias("into"))
+    ends = banked.select(F.explode(F.array(end("src"), end("dst"))).alias("e"), "amount", "ts", "cross").select("e.*", "amount", "ts", "cross")
+    into = F.col("into")
+    sums = ends.groupBy("id").agg(
+        F.count_if(into).alias("in_degree"), F.count_if(~into).alias("out_degree"), F.sum(F.when(into, F.col("amount"))).alias("in_amount"),
+        F.sum(F.when(~into, F.col("amount"))).alias("out_amount"), F.sum("cross").alias("crossing"), F.min("ts").alias("first"), F.max("ts").alias("last"),
+    )
+    span = edges.agg(F.min("ts").alias("began"), F.max("ts").alias("ended"))  # one row
+    rows = nodes.join(sums, "id", "left").crossJoin(F.broadcast(span)).fillna(0, ["in_degree", "out_degree", "crossing"]).fillna(0.0, ["in_amount", "out_amount"])
+    at_least_one = lambda c: F.greatest(c, F.lit(1.0))
+    flow, days = F.col("in_amount") + F.col("out_amount"), F.coalesce(F.datediff("last", "first"), F.lit(0)) + 1
+    raw = {
+        "age": F.coalesce(F.datediff("first", "began") / at_least_one(F.datediff("ended", "began").cast("double")), F.lit(0.0)),
+        "in_rate": F.log1p(F.col("in_degree") * 30.0 / days),
+        "out_rate": F.log1p(F.col("out_degree") * 30.0 / days),
+        "holding": F.greatest(F.col("x"), F.lit(0.0)) / at_least_one(flow),
+        "in_degree": F.col("in_degree").cast("double"),
+        "out_degree": F.col("out_degree").cast("double"),
+        "mean_in": F.col("in_amount") / at_least_one(F.col("in_degree").cast("double")),
+        "mean_out": F.col("out_amount") / at_least_one(F.col("out_degree").cast("double")),
+        "imbalance": F.abs(F.col("in_amount") - F.col("out_amount")) / at_least_one(flow),
+        "cross_ratio": F.col("crossing") / at_least_one((F.col("in_degree") + F.col("out_degree")).cast("double")),
+    }
+    rows = written(rows.select(*(nodes[c] for c in nodes.columns), *(c.alias(n) for n, c in raw.items())), "accounts")
+    stats = rows.agg(*(F.avg(n).alias(f"_m_{n}") for n in raw), *(F.stddev_pop(n).alias(f"_s_{n}") for n in raw))  # one row
+    spread = lambda n: F.when(F.col(f"_s_{n}") == 0, 1.0).otherwise(F.col(f"_s_{n}"))
+    return rows.crossJoin(F.broadcast(stats)).select(*nodes.columns, *(((F.col(n) - F.col(f"_m_{n}")) / spread(n)).alias(n) for n in raw))
+
+
 def local_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(bank, a, b): each bank's view, the undirected simple edges with an end at the bank, both directions."""
     known = with_banks(nodes, edges).select("src", "dst", F.explode(F.array_distinct(F.array("src_bank", "dst_bank"))).alias("bank")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import federation, networks, scoring
+from ledgerloom.plans import federation, graphs, networks, scoring
 
-QUERIES: dict = scoring.QUERIES | networks.QUERIES | federation.QUERIES
-ORACLE: dict = scoring.ORACLE | networks.ORACLE | federation.ORACLE
+QUERIES: dict = scoring.QUERIES | networks.QUERIES | federation.QUERIES | graphs.QUERIES
+ORACLE: dict = scoring.ORACLE | networks.ORACLE | federation.ORACLE | graphs.ORACLE
