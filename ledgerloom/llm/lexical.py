@@ -4,12 +4,13 @@ The index holds a list for each term: (document, score) by falling score, where
 contribution to a document. Lists lie side by side in the order of their terms, range-partitioned by term and score,
 so a long list is many partitions' work. Every item asks its terms' lists at once, all items together:
 
-1. The heads, ``k`` entries of each list, give documents partial sums; the ``k``-th highest of an item is a lower
-   bound of what its ``k``-th best document scores.
+1. The heads, ``HEAD`` entries of each list or ``k`` if that is more, give documents partial sums; the ``k``-th
+   highest of an item is a lower bound of what its ``k``-th best document scores.
 2. A document at that bound or over it holds, in one of the item's ``m`` lists, an entry of at least the bound's
    ``m``-th part. All entries at that threshold or over it are fetched from every list; what a document may still have
-   in the other lists is less than the threshold, and no more than the list's head. Sums of what was fetched give a
-   better bound, and with what may be missing they leave few candidates.
+   in the other lists is less than the threshold, and no more than the list's head. An entry that several items ask
+   for travels once, to the task of its document, where it is added to each item's sum; only sums that, with what may
+   be missing, reach the bound leave the task. They give a better bound, which leaves few candidates.
 3. The entries of candidates under the threshold are looked up, which makes their scores exact, and the best ``k`` of
    each item are ranked.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,9 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.shared import BROADCAST_KEYS, map_arrow, stored
 
 SLICE = 512
+HEAD = 64
+#: Sums that a task holds at once, and products that it adds to them at once.
+CELLS = 4_000_000
 #: Terms of items go to every task up to this many and so many bytes; beyond that, all terms of documents are joined.
 TERMS_SENT, TERM_BYTES_SENT = 1_000_000, 32 << 20
 #: ASCII without letters and digits to blanks, capital letters to small ones.
@@ -87,6 +92,79 @@ def _top(by: str, k: int, *order: Column) -> tuple[Column, Column]:
     return rank, F.col("rank") <= k
 
 
+@dataclass(frozen=True)
+class Asked:
+    """Thresholds of all items by term, for tasks: of term ``terms[t]`` entries ``offsets[t]`` to ``offsets[t + 1]``."""
+
+    terms: np.ndarray
+    offsets: np.ndarray
+    place: np.ndarray  # of the item in ``items``
+    times: np.ndarray
+    least: np.ndarray
+    missing: np.ndarray
+    items: np.ndarray
+    bound: np.ndarray  # of each item
+    total: np.ndarray  # of what each item's lists may be missing
+
+    @staticmethod
+    def of(rows: pa.Table) -> Asked:
+        """From (item, term, times, bound, top, least, missing)."""
+        column = lambda name, table=rows: table[name].to_numpy()
+        items, place = np.unique(column("item"), return_inverse=True)
+        bound, total = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+        np.maximum.at(bound, place, column("bound"))
+        np.add.at(total, place, column("missing"))
+        order = np.argsort(column("term"), kind="stable")
+        order = order[(column("least") <= column("top"))[order]]
+        terms, begins = np.unique(column("term")[order], return_index=True)
+        return Asked(terms, np.append(begins, len(order)), place[order], column("times")[order], column("least")[order], column("missing")[order], items, bound, total)
+
+    def sums(self, key: np.ndarray, term: np.ndarray, score: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(item, key, low, high, bound) of documents' entries, documents whole and side by side."""
+        t = np.searchsorted(self.terms, term)
+        each = self.offsets[t + 1] - self.offsets[t]
+        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        ends, work = np.append(begins[1:], len(key)), np.add.reduceat(each, begins).cumsum()
+        at = 0
+        while at < len(begins):
+            stop = int(np.searchsorted(work, (work[at - 1] if at else 0) + CELLS, "right"))
+            stop = min(max(stop, at + 1), at + max(1, CELLS // len(self.items)), len(begins))
+            own = slice(begins[at], ends[stop - 1])
+            n = each[own]
+            entry = np.repeat(np.arange(len(n)), n)
+            asking = np.arange(len(entry)) + np.repeat(self.offsets[t[own]] - (n.cumsum() - n), n)
+            fetched = score[own][entry] >= self.least[asking]
+            entry, asking = entry[fetched], asking[fetched]
+            doc = np.repeat(np.arange(stop - at), ends[at:stop] - begins[at:stop])
+            cell = doc[entry] * len(self.items) + self.place[asking]
+            low, seen = np.zeros((stop - at) * len(self.items), np.int64), np.zeros((stop - at) * len(self.items), np.int64)
+            np.add.at(low, cell, self.times[asking] * score[own][entry])
+            np.add.at(seen, cell, self.missing[asking])
+            hit = np.flatnonzero(low)
+            item = hit % len(self.items)
+            high = low[hit] + self.total[item] - seen[hit]
+            good = high >= self.bound[item]
+            hit, item = hit[good], item[good]
+            yield self.items[item], key[begins[at:stop]][hit // len(self.items)], low[hit], high[good], self.bound[item]
+            at = stop
+
+
+def _reaching(batches: Iterator[pa.RecordBatch], asked: Asked) -> Iterator[pa.RecordBatch]:
+    """(item, key, low, high, bound) from rows (key, term, score) sorted by key: what may reach its item's bound."""
+    held = [np.empty(0, np.int64)] * 3
+
+    def made(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for found in asked.sums(*rows) if len(rows[0]) else ():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["item", "key", "low", "high", "bound"])
+
+    for batch in batches:
+        rows = [np.concatenate([h, batch.column(c).to_numpy()]) for c, h in enumerate(held)]
+        whole = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last document may go on
+        yield from made([r[:whole] for r in rows])
+        held = [r[whole:] for r in rows]
+    yield from made(held)
+
+
 class Index:
     """Lists of the terms that a set of items asks for, over all documents."""
 
@@ -127,11 +205,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
     terms = stored(words.withColumn("term", F.monotonically_increasing_id()), "terms")
     index = Index(spark, docs, terms, id_col, text_col)
     asked_terms = stored(asked.join(_small(terms, index.n_terms), "word").select("item", "term", "times"), "asked_terms")
+    n_asked = asked_terms.count()
 
     # 1. heads of the lists, and the bound that their sums give
-    rank, first = _top("term", k, F.desc("score"), F.asc("key"))
+    rank, first = _top("term", max(k, HEAD), F.desc("score"), F.asc("key"))
     heads = stored(index.lists.withColumn("rank", rank).where(first), "heads")
-    sums = heads.join(asked_terms, "term").groupBy("item", "key").agg(F.sum(F.col("times") * F.col("score")).alias("low"))
+    sums = heads.join(_small(asked_terms, n_asked), "term").groupBy("item", "key").agg(F.sum(F.col("times") * F.col("score")).alias("low"))
     rank, first = _top("item", k, F.desc("low"))
     bounds = sums.withColumn("rank", rank).where(first).where(F.col("rank") == k).select("item", F.col("low").alias("bound"))
     tops = heads.where("rank = 1").select("term", F.col("score").alias("top"))
@@ -144,11 +223,17 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
 
     # 2. all entries at the threshold or over it; documents that may still reach the bound
     asking = lists.where("least <= top").select("term", "item", "times", "least", "missing")
-    fetched = index.lists.join(_small(asking, n_lists), "term").where("score >= least")
-    fetched = fetched.groupBy("item", "key").agg(F.sum(F.col("times") * F.col("score")).alias("low"), F.sum("missing").alias("seen"))
-    may = lists.groupBy("item").agg(F.max("bound").alias("bound"), F.sum("missing").alias("missing"))
-    seen = fetched.join(_small(may, n_lists), "item").select("item", "key", "low", (F.col("low") + F.col("missing") - F.col("seen")).alias("high"), "bound")
-    seen = stored(seen.where("high >= bound"), "seen")
+    floor = asking.groupBy("term").agg(F.min("least").alias("floor"))
+    wanted = index.lists.join(_small(floor, index.n_terms), "term").where("score >= floor").select("key", "term", "score")
+    wanted = wanted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    if n_lists <= BROADCAST_KEYS:
+        sent = spark.sparkContext.broadcast(Asked.of(lists.toArrow()))
+        seen = map_arrow(wanted.sortWithinPartitions("key"), lambda batches: _reaching(batches, sent.value), "item bigint, key bigint, low bigint, high bigint, bound bigint")
+    else:
+        sums = wanted.join(asking, "term").where("score >= least").groupBy("item", "key").agg(F.sum(F.col("times") * F.col("score")).alias("low"), F.sum("missing").alias("seen"))
+        may = lists.groupBy("item").agg(F.max("bound").alias("bound"), F.sum("missing").alias("missing"))
+        seen = sums.join(may, "item").select("item", "key", "low", (F.col("low") + F.col("missing") - F.col("seen")).alias("high"), "bound").where("high >= bound")
+    seen = stored(seen, "seen")
     rank, first = _top("item", k, F.desc("low"))
     better = seen.withColumn("rank", rank).where(first).where(F.col("rank") == k).select("item", F.col("low").alias("better"))
     candidates = stored(seen.join(_small(better, n_lists), "item", "left").where("high >= coalesce(better, 0)").select("item", "key", "low", "high"), "candidates")
