@@ -85,12 +85,14 @@ def pairwise_distance(updates: DataFrame, by: list[str] | None = None) -> DataFr
 
 
 def krum_scores(updates: DataFrame, f: int, by: list[str] | None = None) -> DataFrame:
-    """(by..., member, krum): the sum of the n - f - 2 smallest squared distances to others, at least one."""
+    """(by..., member, krum): the sum of the n - f - 2 smallest squared distances to others, at least one; 0 for a member
+    without others."""
     by = by or []
     w = Window.partitionBy(*by, "a")
     rows = pairwise_distance(updates, by).withColumn("rank", F.row_number().over(w.orderBy("d2", "b"))).withColumn("n", F.count("*").over(w) + 1)
     near = F.greatest(F.lit(1), F.col("n") - f - 2)
-    return rows.where(F.col("rank") <= near).groupBy(*by, F.col("a").alias("member")).agg(F.sum("d2").alias("krum"))
+    found = rows.where(F.col("rank") <= near).groupBy(*by, F.col("a").alias("member")).agg(F.sum("d2").alias("krum"))
+    return updates.select(*by, "member").join(found, [*by, "member"], "left").withColumn("krum", F.coalesce("krum", F.lit(0.0)))
 
 
 def multi_krum(updates: DataFrame, f: int, by: list[str] | None = None) -> DataFrame:
@@ -110,7 +112,7 @@ def multi_krum_mean(updates: DataFrame, f: int, by: list[str] | None = None) ->
 def _bulyan(v: np.ndarray, f: int) -> tuple[np.ndarray, np.ndarray]:
     """Which members are selected, and the aggregate, of a cohort's vectors in the members' order."""
     n = len(v)
-    d2 = np.square(v[:, None] - v[None]).sum(2)
+    d2 = np.stack([np.square(v - one).sum(1) for one in v])  # n x n, a row at a time
 
     def krum(pool: np.ndarray) -> np.ndarray:
         near = np.sort(d2[np.ix_(pool, pool)], axis=1)[:, 1:]  # without the member itself
@@ -186,4 +188,4 @@ def outlier_gate(updates: DataFrame, f: int, factor: float = 10.0, by: list[str]
     rest = (chosen.join(others, by) if by else chosen.join(F.broadcast(others))).where("member <> _other")
     base = rest.groupBy(*by, "member").agg(F.median("_krum").alias("base"), (F.count("*") + 1).alias("n"))
     far = (F.col("n") >= f + 3) & ~F.col("selected") & (F.col("krum") > factor * F.col("base"))
-    return chosen.join(base, [*by, "member"]).select(*by, "member", "krum", far.alias("rejected"))
+    return chosen.join(base, [*by, "member"], "left").select(*by, "member", "krum", F.coalesce(far, F.lit(False)).alias("rejected"))
