@@ -52,7 +52,7 @@ def pairs(members: DataFrame, by: list[str], master: str) -> DataFrame:
     return left.join(right, by).where("a <> b").withColumn("seed", F.concat_ws(":", *(F.col(c).cast("string") for c in by), pair_seed(master, F.col("a"), F.col("b"))))
 
 
-def _masked(rows: DataFrame, by: list[str]) -> DataFrame:
+def masked(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows (by..., member, v, peers array<struct<peer, seed>>) with the signed masks of the peers added to v."""
     names = [*by, "member", "v"]
 
@@ -78,7 +78,7 @@ def _peers(found: DataFrame, by: list[str], own: str, other: str) -> DataFrame:
 def masked_updates(updates: DataFrame, by: list[str], master: str) -> DataFrame:
     """(by..., member, v): what every member of a cohort sends, masked against all its peers."""
     peers = _peers(pairs(updates, by, master), by, "a", "b")
-    return _masked(updates.select(*by, "member", "v").join(peers, [*by, "member"], "left"), by)
+    return masked(updates.select(*by, "member", "v").join(peers, [*by, "member"], "left"), by)
 
 
 def secure_sum(sent: DataFrame, by: list[str]) -> DataFrame:
@@ -92,7 +92,7 @@ def repaired_sum(received: DataFrame, planned: DataFrame, by: list[str], master:
     gone = planned.select(*by, "member").join(present, [*by, "member"], "left_anti")
     left = pairs(planned, by, master).join(present.withColumnRenamed("member", "a"), [*by, "a"], "left_semi").join(gone.withColumnRenamed("member", "b"), [*by, "b"], "left_semi")
     none = F.transform("v", lambda x: F.lit(0.0))
-    held = _masked(received.select(*by, "member", none.alias("v")).join(_peers(left, by, "a", "b"), [*by, "member"], "left"), by)
+    held = masked(received.select(*by, "member", none.alias("v")).join(_peers(left, by, "a", "b"), [*by, "member"], "left"), by)
     return secure_sum(received.select(*by, "member", "v").union(held.select(*by, "member", F.transform("v", lambda x: -x))), by)
 
 

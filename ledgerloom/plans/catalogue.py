@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import federation, graphs, networks, rounds, scoring
+from ledgerloom.plans import federation, graphs, networks, rounds, scoring, streams
 
-QUERIES: dict = scoring.QUERIES | networks.QUERIES | federation.QUERIES | graphs.QUERIES | rounds.QUERIES
-ORACLE: dict = scoring.ORACLE | networks.ORACLE | federation.ORACLE | graphs.ORACLE | rounds.ORACLE
+QUERIES: dict = scoring.QUERIES | networks.QUERIES | federation.QUERIES | graphs.QUERIES | rounds.QUERIES | streams.QUERIES
+ORACLE: dict = scoring.ORACLE | networks.ORACLE | federation.ORACLE | graphs.ORACLE | rounds.ORACLE | streams.ORACLE
