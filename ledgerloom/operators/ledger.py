@@ -1,4 +1,4 @@
-"""Append-only logs: canonical records, Merkle trees, inclusion and consistency, latest-state views.
+"""Append-only logs: canonical records, Merkle trees, proofs of inclusion and consistency, latest-state views.
 
 A leaf hashes a zero byte and the record's canonical JSON, an inner node a one byte and the bytes of its two
 children; an odd last node is paired with itself. Hashes are lower-case hex.
@@ -73,10 +73,57 @@ def verify_inclusion(leaf: str, seq: int, proof: list[str], top: str) -> bool:
     return leaf == top
 
 
-def consistent(old: DataFrame, new: DataFrame, old_root: str, new_root: str) -> bool:
-    """Whether the log with leaves ``new`` extends the one with leaves ``old``: each has its root and no leaf was rewritten."""
-    rewritten = old.join(new, ["seq", "h"], "left_anti").limit(1).count()
-    return not rewritten and root(old) == old_root and root(new) == new_root
+def _blocks(start: int, end: int) -> list[tuple[int, int]]:
+    """(level, seq) of the largest whole subtrees that lie side by side from leaf ``start`` to before ``end``."""
+    found = []
+    while start < end:
+        level = min((start & -start).bit_length() - 1 if start else end.bit_length(), (end - start).bit_length() - 1)
+        found.append((level, start >> level))
+        start += 1 << level
+    return found
+
+
+def consistency_proof(tree: list[DataFrame], first: int, second: int) -> dict[tuple[int, int], str]:
+    """Hashes by (level, seq) that show that the log of ``first`` records begins the log of ``second``.
+
+    They are those of the whole subtrees that make up the first ``first`` leaves, and of those from there to ``second``:
+    2 log2 n at most, looked up on the stored levels of the tree, which may have grown beyond ``second``.
+    """
+    if not 0 < first <= second:
+        raise ValueError("a proof needs 0 < first <= second")
+    asked: dict[int, list[int]] = {}
+    for level, seq in _blocks(0, first) + _blocks(first, second):
+        asked.setdefault(level, []).append(seq)
+    if max(asked) >= len(tree):
+        raise ValueError(f"the log has fewer than {second} records")
+    found = {(k, r["seq"]): r["h"] for k, seqs in asked.items() for r in tree[k].where(F.col("seq").isin(seqs)).collect()}  # a row for each block
+    if len(found) < sum(map(len, asked.values())):
+        raise ValueError(f"the log has fewer than {second} records")
+    return found
+
+
+def root_of(size: int, known: dict[tuple[int, int], str]) -> str:
+    """The root over ``size`` leaves from hashes of whole subtrees; a missing one is a ``KeyError``."""
+
+    def node(level: int, seq: int) -> str:
+        whole = (seq + 1) << level <= size
+        if whole and ((level, seq) in known or not level):
+            return known[level, seq]
+        left = node(level - 1, 2 * seq)
+        right = node(level - 1, 2 * seq + 1) if (2 * seq + 1) << (level - 1) < size else left  # an odd last one
+        return hashlib.sha256(b"\x01" + bytes.fromhex(left) + bytes.fromhex(right)).hexdigest()
+
+    return node((size - 1).bit_length(), 0)
+
+
+def verify_consistency(proof: dict[tuple[int, int], str], first: int, second: int, first_root: str, second_root: str) -> bool:
+    """Whether the proof's hashes, and no others, give both roots: the later log holds the earlier one's subtrees."""
+    if not 0 < first <= second:
+        return False
+    old, more = _blocks(0, first), _blocks(first, second)
+    if set(proof) != {*old, *more}:
+        return False
+    return root_of(first, {k: proof[k] for k in old}) == first_root and root_of(second, proof) == second_root
 
 
 def latest(rows: DataFrame, key: str, at: str) -> DataFrame:

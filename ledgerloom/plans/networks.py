@@ -367,6 +367,30 @@ def merkle_levels(spark, sf_dir):
     return out
 
 
+def _proof_sql() -> str:
+    """Whole subtrees of the first third and of all leaves but one, as large as they fit."""
+    levels = _merkle_sql().rsplit(" SELECT 0 AS level", 1)[0]
+    every = " UNION ALL ".join(f"SELECT {k} AS level, seq, h, 2::BIGINT ** {k} AS width FROM l{k}" for k in range(32))
+    fits = lambda a, b: f"seq * width >= {a} AND (seq + 1) * width <= {b} AND NOT (seq // 2 * width * 2 >= {a} AND (seq // 2 + 1) * width * 2 <= {b})"
+    return f"""{levels} , n AS (SELECT count(*) // 3 AS first, count(*) - 1 AS second FROM l0), a AS ({every})
+SELECT first, second, level, seq, h FROM a, n WHERE ({fits("0", "first")}) OR ({fits("first", "second")})"""
+
+
+@query(_proof_sql())
+def consistency_proof(spark, sf_dir):
+    """The hashes by which the log's first third is shown to begin all of it but the last record, once they verify."""
+    ranks = ledger.numbered(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), "event_id")
+    nodes = ledger.leaves(ranks, "seq", ledger.canonical_json(event=F.col("event_id"), kind=F.col("event_type"), user=F.col("user_id")))
+    tree = ledger.levels(nodes)
+    n = tree[0].count()
+    first, second = n // 3, n - 1
+    proof = ledger.consistency_proof(tree, first, second)
+    roots = [ledger.root(tree[0].where(F.col("seq") < size)) for size in (first, second)]
+    if not ledger.verify_consistency(proof, first, second, *roots):
+        raise ValueError("the log was rewritten")
+    return spark.createDataFrame([(first, second, k, i, h) for (k, i), h in proof.items()], "first bigint, second bigint, level int, seq bigint, h string")
+
+
 @query("SELECT o_custkey AS member, o_orderkey AS version, o_orderstatus AS status, round(o_totalprice, 2) AS price FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
 def registry_view(spark, sf_dir):
     """The latest state of every member out of an append-only log."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.session import fresh_path, table
+from ledgerloom.sinks import upsert
 from ledgerloom.streaming import cohorts
 from ledgerloom.streaming.rounds import run_to_end
 
@@ -72,3 +73,33 @@ def cohorts_replayed(spark, sf_dir):
 def cohorts_streamed(spark, sf_dir):
     """The same out of a stream with timers, as far as its watermark has come."""
     return _shown(to_end(cohorts.cohorts(cohort_events(streamed(spark, sf_dir, "events")), TIMEOUT, f"{DELAY} seconds"), "cohorts"))
+
+
+_LAST = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events"
+
+
+@query(f"SELECT user_id, event_id, round(value, 6) AS value, json_extract(props, '$.k')::BIGINT AS k FROM ({_LAST}) WHERE r = 1 AND event_type <> 'error'")
+def upsert_reload(spark, sf_dir):
+    """Events upserted by user from a stream of four files, some batches replayed, compacted half-way and read back; errors remove."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", "props", "event_type")
+    landed = fresh_path(spark, "landed")
+    rows.repartitionByRange(4, "event_id").write.parquet(landed)
+    held = upsert.UpsertTable(spark, fresh_path(spark, "upserts"), rows.schema, ["user_id"], "event_id")
+    files = spark.read.schema(rows.schema).parquet(landed).withColumn("_file", F.input_file_name())
+    names = sorted(r["_file"] for r in files.groupBy("_file").count().collect())  # four at most
+    for turn in ([0, 1, 0], [2, 1, 3, 2]):
+        for k in turn:
+            if k < len(names):
+                held.upsert(files.where(F.col("_file") == names[k]), k, "event_type = 'error'")
+        held.compact()
+    state = held.read(decode={"props": "k bigint"})
+    return state.select("user_id", "event_id", F.round("value", 6).alias("value"), F.col("props.k").alias("k"))
+
+
+@query(f"SELECT user_id, event_id, event_type, round(value, 6) AS value FROM ({_LAST}) WHERE r = 1")
+def upsert_streamed(spark, sf_dir):
+    """The last event of every user, by a stream into an upsert table."""
+    stream = streamed(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    held = upsert.UpsertTable(spark, fresh_path(spark, "upserts"), stream.schema, ["user_id"], "event_id")
+    found = upsert.run_to_end(stream, held, fresh_path(spark, "upserts-checkpoint"))
+    return found.select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))

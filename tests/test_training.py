@@ -145,10 +145,38 @@ def test_ledger_equals_a_tree_by_hand(spark, n):
     for i in range(0, n, 3):
         assert ledger.verify_inclusion(leaf[i], i, ledger.inclusion_proof(tree, i), level[0])
         assert not ledger.verify_inclusion(leaf[i], i, ledger.inclusion_proof(tree, i), "00" * 32)
-    if n > 2:
-        old = nodes.where(F.col("seq") < n - 2)
-        assert ledger.consistent(old, nodes, ledger.root(old), level[0])
-        assert not ledger.consistent(old.withColumn("h", F.reverse("h")), nodes, ledger.root(old), level[0])
+    for first in {1, n // 2, n - 1, n} - {0}:
+        old = ledger.root(nodes.where(F.col("seq") < first))
+        proof = ledger.consistency_proof(tree, first, n)
+        assert ledger.verify_consistency(proof, first, n, old, level[0])
+        assert not ledger.verify_consistency(proof, first, n, "00" * 32, level[0]) and not ledger.verify_consistency(proof, first, n, old, "00" * 32)
+    with pytest.raises(ValueError):
+        ledger.consistency_proof(tree, 1, 2 * n + 1)
+
+
+def test_consistency_proofs_of_all_sizes_to_64():
+    """By hand: every pair of sizes is proved by 2 log2 n hashes at most, and a rewritten record by none."""
+
+    def rows(leaf):
+        out = [leaf]
+        while len(out[-1]) > 1:
+            last = out[-1]
+            out.append([hashlib.sha256(b"\x01" + bytes.fromhex(last[i]) + bytes.fromhex(last[min(i + 1, len(last) - 1)])).hexdigest() for i in range(0, len(last), 2)])
+        return out
+
+    leaf = [hashlib.sha256(bytes([0, i])).hexdigest() for i in range(64)]
+    roots = {n: rows(leaf[:n])[-1][0] for n in range(1, 65)}
+    for second in range(1, 65):
+        tree, bad = rows(leaf[:second]), rows([*leaf[: second // 2], "11" * 32, *leaf[second // 2 + 1 : second]])
+        for first in range(1, second + 1):
+            asked = ledger._blocks(0, first) + ledger._blocks(first, second)
+            proof = {(k, i): tree[k][i] for k, i in asked}
+            assert len(proof) <= max(1, 2 * math.log2(second))
+            assert ledger.verify_consistency(proof, first, second, roots[first], roots[second])
+            other = {(k, i): bad[k][i] for k, i in asked}
+            assert not ledger.verify_consistency(other, first, second, roots[first], bad[-1][0]) or second // 2 >= first
+            assert not ledger.verify_consistency({**proof, (9, 9): "00" * 32}, first, second, roots[first], roots[second])
+            assert not ledger.verify_consistency(dict(list(proof.items())[1:]), first, second, roots[first], roots[second])
 
 
 def test_registry_replays_promotions(spark):
