@@ -7,10 +7,12 @@ and the language with the fewest bytes over all windows wins, at a tie the one w
 margin is how much shorter the winner is than the runner-up; narrow margins are rejected (``rejected``).
 
 Fitting uses a bounded sample: the ``docs_per_lang`` labelled rows of each language with the lowest hash of
-their id, at most ``dict_bytes`` of text for a dictionary; half as many others calibrate the score.
+their id, at most ``dict_bytes`` of text for a dictionary; half as many others calibrate the score. Rows are chosen, so
+an id of many rows does not bring them all, and equal rows count once; more than ``max_langs`` languages are an error.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0 and rejected; rows are kept
-one for one, and with no labelled language at all every text is ``und``. Texts are scored whole.
+one for one, and with no labelled language at all every text is ``und``. Texts are scored whole, of any length; an
+empty table gives an empty result; only the columns named are read, so others and their names do not matter.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import keep_ids, map_arrow
+from ledgerloom.llm.shared import bounded_sample, map_arrow
 
 WINDOW = 1024
 SLICE = 512
@@ -41,15 +43,15 @@ def spread(text: str) -> bytes:
     return np.stack([data.astype(np.uint8), (h ^ (h >> np.uint32(12))).astype(np.uint8)], axis=1).tobytes()
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 240, dict_bytes: int = 131_072) -> dict:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 240, dict_bytes: int = 131_072, max_langs: int = 200) -> dict:
     """Dictionaries and score scale from rows with a language; the sample's bound is documented above."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_lang)
-    sample = keep_ids(rows, chosen.select("id"), "id").select("id", "lang", F.substring("text", 1, 20_000).alias("text")).collect()
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(max_langs + 1).collect()}  # a row for each language
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
+    sample = bounded_sample(rows, "lang", docs_per_lang).select("id", "lang", F.substring("text", 1, 20_000).alias("text")).collect()
     by: dict[str, list[str]] = {}
-    for row in sorted(sample, key=lambda r: (r.lang, str(r.id))):
+    for row in sorted(sample, key=lambda r: (r.lang, str(r.id), r.text)):
         by.setdefault(row.lang, []).append(row.text)
     dictionaries, held = {}, []
     for lang, texts in by.items():

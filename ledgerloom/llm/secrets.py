@@ -1,7 +1,8 @@
 """Secret scanning: pattern candidates kept or dropped by a random forest, in DataFrame functions only.
 
-Candidates are quoted or bare values after a key word and ``=`` or ``:``, tokens with a well-known prefix and
-long runs of token characters; none has an upper length, so a token is found and masked whole. A forest judges each from its length, its character transitions (class
+Candidates are quoted values (of any characters but blanks and that quote) or bare ones after a key word and ``=`` or
+``:``, tokens with a well-known prefix and long runs of token characters, whatever stands beside the run; none has an
+upper length, so a token is found and masked whole. A forest judges each from its length, its character transitions (class
 changes, digits, repeated characters, bigrams common in words), its dictionary coverage (how much of it is
 frequent words), path-like shape and neighbouring words, so that example values, hashes named as such, paths
 and long words are dropped.
@@ -27,13 +28,17 @@ HARMLESS = ("example", "sample", "placeholder", "dummy", "test", "sha256", "sha1
 #: Letter pairs that are common in the words of European languages.
 COMMON_PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve", "co", "me", "de", "hi", "ri", "ro", "ic", "ne", "ea", "ra", "ce", "li", "ch", "ll", "be", "ma", "si", "om", "ur")
 #: Dictionary words that show up inside names and paths.
-DICTIONARY = ("example", "changeme", "password", "secret", "token", "your", "here", "test", "sample", "user", "admin", "home", "src", "main", "lib", "config", "data", "file", "name", "value", "default", "null", "none", "true", "false", "key", "the", "and", "for", "with")
+DICTIONARY = ("example", "changeme", "password", "secret", "token", "your", "here", "test", "sample", "user", "admin", "home", "src", "main", "lib", "config", "data", "file", "name", "value", "default", "null", "none", "true", "false", "key", "the", "and", "for", "with",
+    "access", "account", "action", "address", "backup", "base", "branch", "build", "cache", "check", "class", "client", "code", "common", "content", "count", "create", "database", "debug", "demo", "deploy", "device", "dev",
+    "document", "domain", "email", "enable", "error", "event", "folder", "form", "group", "host", "image", "index", "info", "input", "item", "java", "label", "last", "level", "limit", "line", "list", "local", "login", "mail", "master",
+    "message", "model", "module", "new", "node", "number", "object", "option", "order", "output", "page", "path", "prod", "project", "public", "query", "release", "remote", "request", "resource", "result", "root", "script", "server",
+    "service", "session", "setting", "source", "start", "state", "status", "storage", "string", "system", "table", "target", "task", "template", "text", "time", "title", "type", "update", "upload", "url", "version", "view", "web", "word")
 #: The candidate pattern: (key word and separator)(value), a well-known prefix, or a long run.
 CANDIDATE = (
-    r"(?i:(?:" + "|".join(KEYWORDS) + r")[\w.-]{0,20}[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?)[A-Za-z0-9_+/=.~-]{8,}+"
+    r"(?i:(?:" + "|".join(KEYWORDS) + r")[\w.-]{0,20}[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?)(?:(?<=\")[^\"\s]{8,}+(?=\")|(?<=')[^'\s]{8,}+(?=')|[A-Za-z0-9_+/=.~-]{8,}+)"
     r"|(?:AKIA|ASIA)[A-Z0-9]{16,}+|gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35,}+|sk_live_[A-Za-z0-9]{16,}+"
     r"|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
-    r"|(?<![A-Za-z0-9_+/=.~-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{32,}+(?![A-Za-z0-9_+/=.~-])"
+    r"|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{32,}+"
 )
 AROUND = 40
 FEATURES = ("length", "transitions", "digits", "uppers", "hexes", "repeats", "common", "coverage", "pathlike", "keyword", "harmless", "assigned", "prefix")
@@ -49,7 +54,7 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     at = F.aggregate(F.slice(F.col("_gap"), F.lit(1), F.col("_i") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(F.col("_m"), F.lit(1), F.col("_i")), F.lit(0), lambda a, x: a + F.length(x))
     match = F.col("_one.match")
     # the value is what follows the last separator or quote of the match; greedy key words end there
-    value = F.when(match.rlike(r"(?i)^(?:" + "|".join(KEYWORDS) + ")"), F.regexp_extract(match, r"^[\w.-]*?[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/=.~-]{8,}+)$", 1)).otherwise(match)
+    value = F.when(match.rlike(r"(?i)^(?:" + "|".join(KEYWORDS) + ")"), F.regexp_extract(match, r"^[\w.-]*?[\"']?\s{0,3}[=:]\s{0,3}[\"']?(\S{8,}+)$", 1)).otherwise(match)
     value = F.when(value == "", match).otherwise(value)
     rows = rows.select(id_col, at.alias("_at"), match.alias("_match"), value.alias("value"), F.right(F.col("_one.gap"), F.lit(AROUND)).alias("_gap"), F.left(F.col("_one.next"), F.lit(AROUND)).alias("after"))
     lead = F.length("_match") - F.length("value")
@@ -110,6 +115,8 @@ def labelled_findings(spark: SparkSession, per_kind: int = 120) -> DataFrame:
         (F.concat(pick("gh", "ghp_", "gho_", "sk_live_"), cut(b64("d"), F.lit(36))), pick("db", "", "see ", "token: "), tail, 1),
         (F.concat(F.lit("xoxb-"), cut(hexes("e"), span("el", 20, 40))), pick("eb", "", "slack "), tail, 1),
         (F.concat(F.lit("eyJ"), b64("f"), F.lit("."), b64("g"), F.lit("."), b64("h")), pick("fb", "", "Authorization: Bearer "), tail, 1),
+        (F.concat(cut(b64("s"), span("sl", 5, 10)), pick("s1", "!", "@", "#", "$"), cut(hexes("t"), span("tl", 3, 8)), pick("s2", "%", "*", "&", "?")), F.concat(prose, pick("key2", *KEYWORDS), pick("sep2", ' = "', '="', ': "')), F.concat(F.lit('"'), tail), 1),
+        (pick("ph2", "<your-password>", "${PASSWORD}", "{{secret_value}}", "<insert-token-here>", "%(password)s", "$TOKEN_VALUE", "********", "<change-me!>"), key, F.concat(F.lit('"'), tail), 0),
         (words, key, tail, 0),
         (pick("ph", "changeme", "xxxxxxxxxxxx", "your_token_here", "password123", "00000000000000000000", "placeholder_value", "undefined", "************", "aaaaaaaaaaaaaaaaaaaa"), key, tail, 0),
         (cut(hexes("k"), pick("kl", *(32, 40, 64))), note, tail, 0),

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of at most this many 8-byte keys may be broadcast; beyond it the join shuffles.
@@ -102,6 +102,18 @@ def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if n <= BROADCAST_KEYS else ids, key, "left_anti")
 
 
+def bounded_sample(rows: DataFrame, by: str, each: int) -> DataFrame:
+    """At most ``each`` rows of (id, text, ``by``) for every value of ``by``, chosen by a hash of the id; equal rows are one.
+
+    Rows are chosen, not ids, so an id of many rows does not bring them all.
+    """
+    rows = rows.withColumn("_row", F.xxhash64("id", "text", by))
+    order = Window.partitionBy(by).orderBy(F.xxhash64("id"), "id", "_row")
+    keys = rows.select(by, "id", "_row").distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each)
+    found = keep_ids(rows, stored(keys.select("_row"), "chosen"), "_row")
+    return found.groupBy("_row").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.first(by).alias(by)).drop("_row")
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """(node, root) for every node of an undirected edge list, root the smallest node of its component.
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import keep_ids, map_arrow, stored
+from ledgerloom.llm.shared import bounded_sample, map_arrow, stored
 
 CACHE = 300_000
 SLICE = 256
@@ -202,9 +202,8 @@ def fit(
 ) -> dict:
     """The model from rows with a label of 0 or 1."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and text is not null")
-    chosen = [rows.where(F.col("label") == k).select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(rows_per_class) for k in (0, 1)]
     share = F.least(F.length("text"), F.lit(SAMPLE_CHARS)).cast("int")
-    sample = keep_ids(rows, stored(chosen[0].union(chosen[1]).select("id").distinct(), "chosen"), "id")
+    sample = bounded_sample(rows, "label", rows_per_class)
     sample = stored(sample.select(F.substring("text", F.lit(1), share).alias("text"), "label"), "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

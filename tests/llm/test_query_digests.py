@@ -65,7 +65,7 @@ def test_op8_candidates_are_those_of_the_pattern(spark):
         for m in pattern.finditer(t):
             value = m[0]
             if keyed.match(value):
-                own = re.match(r"^[\w.-]*?[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/=.~-]{8,}+)$", value)
+                own = re.match(r"^[\w.-]*?[\"']?\s{0,3}[=:]\s{0,3}[\"']?(\S{8,}+)$", value)
                 value = own[1] if own else value
             want.append((i, m.end() - len(value), value))
     found = secrets.candidates(spark.createDataFrame(rows, DOCS)).collect()
