@@ -47,9 +47,12 @@ def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     flipped = F.concat(F.substring("html", F.lit(1), F.length("html") - 1), F.lit("~"))
     replica = pages.withColumn("html", F.when(F.col("page_id") % 97 == 0, flipped).otherwise(F.col("html")))
-    folder = fresh_path(spark, "warc")
-    warc.write_warc(replica, folder)
-    found = warc.audit(warc.tree(warc.records(pages)), warc.tree(warc.stored_records(spark, folder)))
+    trees = []
+    for stored_pages in (pages, replica):
+        folder = fresh_path(spark, "warc")
+        warc.write_warc(stored_pages, folder)
+        trees.append(warc.tree(warc.stored_records(spark, folder)))
+    found = warc.audit(*trees)
     return found.select("file", "page_id", "at", "length", "status")
 
 

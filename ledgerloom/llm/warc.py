@@ -3,19 +3,24 @@
 A record is a WARC/1.0 response block written by rule from a page. Records lie in files by id, ``RECORDS_PER_FILE``
 consecutive ids to a file, ordered by id inside it, so every range of ids is a range of offsets; files are gzip
 streams and an offset counts bytes of the stream. ``stored_records`` reads files back and hashes the bytes of every
-record where it lies; ``records`` gives the same rows for pages that are not stored.
+record where it lies.
 
-The tree of a replica has a leaf for every id, a node for every range of ``FAN_OUT`` ids, of ``FAN_OUT`` such ranges and so
-on up to a file, and a root over files. A node hashes its children's positions and hashes in order; a leaf hashes
-the number of the id's records and two sums of 60 bits of their hashes, so an id with any number of records is added
-up before it is shuffled. Ranges are bounds of ids and not of counts: a record that is lost or slipped in changes its
-own leaf and the nodes above it, nothing beside it. The audit compares roots and descends, level by level, only
-into ranges whose hashes differ, down to the records that only one replica has.
+The tree of a replica has a leaf for every id of a file, a node for every range of ``FAN_OUT`` ids, of ``FAN_OUT`` such
+ranges and so on up to a file, and a root over files. A leaf hashes offset, length and digest of the id's records in
+the order of their offsets, and a node its children's positions and hashes in order, so a record that lies elsewhere
+changes the root as one that reads otherwise does. The audit compares roots first: equal replicas stop there. Else it
+descends, level by level, only into ranges whose hashes differ, down to the records of differing leaves. There records
+are matched by digest: what only one replica has is ``changed``, ``missing`` or ``added``, and a matched record whose
+place among the matched ones of its file differs has ``moved``. A record that is lost, slipped in or grown shifts those
+behind it, whose leaves then differ too, but not their order, so nothing is reported beside it.
 
 Files above ``RECORDS_PER_FILE`` records or ``FILE_BYTES`` bytes (repeated ids, the null id, long bodies) are dealt
-into pieces at random. Defined results: a null url or body is empty; rows with a null id are records of file
-``NULL_FILE``; repeated rows are repeated records; empty tables have no root; a stretch of a file that does not parse is
-one record without an id, up to the next one that does.
+into pieces by a hash of the row's number in the table that is read, so equal rows are dealt too and a repeated task
+deals as before; replicas that were written from differently ordered tables may deal such a file otherwise, and then its
+records count as differing. Defined results: a null url or body is empty; rows with a null id are records of file
+``NULL_FILE``; repeated rows are repeated records; empty tables have no root and no differences; a stretch of a file
+that does not parse is one record without an id, up to the next one that does; bodies of up to 2 GB are kept whole;
+other columns are not read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -56,23 +61,15 @@ def _file(page_id: Column) -> Column:
     return F.coalesce(F.floor(page_id / RECORDS_PER_FILE), F.lit(NULL_FILE)).cast("bigint")
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """(file, page_id, piece, at, length, digest) of the records of pages; without a place, as nothing is stored."""
-    text = record(F.col(id_col), F.col(url_col), F.col(body_col))
-    page_id = F.col(id_col).cast("bigint")
-    nowhere = F.lit(None)
-    return pages.select(_file(page_id).alias("file"), page_id.alias("page_id"), nowhere.cast("int").alias("piece"), nowhere.cast("bigint").alias("at"), F.octet_length(text).cast("bigint").alias("length"), F.sha2(text, 256).alias("digest"))
-
-
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> None:
     """WARC files under ``folder``; the text sink's line end is each record's last byte."""
     page_id = F.col(id_col).cast("bigint")
-    rows = pages.select(_file(page_id).alias("file"), page_id.alias("_id"), record(F.col(id_col), F.col(url_col), F.col(body_col)).alias("value"))
+    rows = pages.select(_file(page_id).alias("file"), page_id.alias("_id"), F.monotonically_increasing_id().alias("_row"), record(F.col(id_col), F.col(url_col), F.col(body_col)).alias("value"))
     heavy = rows.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.octet_length("value").cast("bigint")).alias("bytes"))
     heavy = heavy.where((F.col("n") > RECORDS_PER_FILE) | (F.col("bytes") > FILE_BYTES))
     heavy = stored(heavy.select("file", F.ceil(F.greatest(F.col("n") / RECORDS_PER_FILE, F.col("bytes") / FILE_BYTES)).cast("int").alias("pieces")), "heavy")
     rows = rows.join(F.broadcast(heavy) if heavy.count() <= BROADCAST_KEYS else heavy, "file", "left")
-    piece = F.when(F.col("pieces").isNull(), 0).otherwise(F.floor(F.rand(7) * F.col("pieces"))).cast("int")
+    piece = F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("_row"), "pieces")).cast("int")
     rows = rows.select("file", piece.alias("piece"), "_id", F.substring("value", F.lit(1), F.length("value") - 1).alias("value"))
     rows = rows.repartition("file", "piece").sortWithinPartitions("file", "piece", "_id", "value").drop("_id")
     rows.write.partitionBy("file", "piece").option("lineSep", "\n").option("compression", "gzip").text(folder)
@@ -136,19 +133,21 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _above(nodes: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
-    """(file, slot, hash) of the ranges above ``nodes``."""
+    """(file, piece, slot, hash) of the ranges above ``nodes``."""
     order = F.sort_array(F.collect_list(F.struct("slot", "hash")))  # at most fan_out children
     text = F.concat_ws(" ", F.transform(order, lambda x: F.concat_ws(":", x["slot"].cast("string"), x["hash"])))
-    return nodes.groupBy("file", F.floor(F.col("slot") / fan_out).cast("bigint").alias("slot")).agg(F.sha2(text, 256).alias("hash"))
+    return nodes.groupBy("file", "piece", F.floor(F.col("slot") / fan_out).cast("bigint").alias("slot")).agg(F.sha2(text, 256).alias("hash"))
+
+
+LEAF = ["file", "piece", "slot"]
 
 
 def tree(rows: DataFrame) -> list[DataFrame]:
     """The records, the leaves and the levels above them up to a node for each file, each written to the shared folder."""
-    levels = [stored(rows, "records")]
-    part = lambda at: F.sum(F.conv(F.substring("digest", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
-    leaf = F.sha2(F.concat_ws(" ", F.count("*").cast("string"), part(1), part(16)), 256)
-    slot = F.coalesce("page_id", F.lit(0)).alias("slot")
-    levels.append(stored(levels[0].groupBy("file", slot).agg(leaf.alias("hash")), "leaves"))
+    levels = [stored(rows.withColumn("slot", F.coalesce("page_id", F.lit(0))), "records")]
+    order = F.sort_array(F.collect_list(F.struct("at", "length", "digest")))  # of one file
+    text = F.concat_ws(" ", F.transform(order, lambda x: F.concat_ws(":", x["at"].cast("string"), x["length"].cast("string"), x["digest"])))
+    levels.append(stored(levels[0].groupBy(*LEAF).agg(F.sha2(text, 256).alias("hash")), "leaves"))
     size = 1
     while size < RECORDS_PER_FILE:
         levels.append(stored(_above(levels[-1]), "level"))
@@ -158,7 +157,10 @@ def tree(rows: DataFrame) -> list[DataFrame]:
 
 def root(levels: list[DataFrame]) -> str | None:
     """The root over the files' nodes, from ranges of files; one short row at the top."""
-    top = levels[-1].select(F.lit(0).alias("file"), F.col("file").alias("slot"), "hash")
+    top = levels[-1].select(F.lit(0).alias("file"), F.lit(0).alias("piece"), F.col("file").alias("slot"), F.sha2(F.concat_ws(":", F.col("piece").cast("string"), F.col("slot").cast("string"), "hash"), 256).alias("hash"), F.col("piece").alias("_own"))
+    # the pieces of a file first: most files have one
+    top = top.groupBy("file", "piece", "slot").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring("hash", 1, 15), 16, 10).cast("decimal(38,0)")).alias("a"), F.sum(F.conv(F.substring("hash", 16, 15), 16, 10).cast("decimal(38,0)")).alias("b"))
+    top = top.select("file", "piece", "slot", F.sha2(F.concat_ws(" ", *(F.col(c).cast("string") for c in ("n", "a", "b"))), 256).alias("hash"))
     while True:
         n, only = top.agg(F.count("*"), F.first("hash")).first()
         if n <= 1:
@@ -169,32 +171,37 @@ def root(levels: list[DataFrame]) -> str | None:
 
 
 def audit(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
-    """(file, page_id, piece, at, length, digest, status) of every record at which two replicas differ.
+    """(file, page_id, piece, at, length, digest, status, copies) of every record at which two replicas differ.
 
     ``changed`` is a record of the left replica that the right one has otherwise, with the place that the right
-    one has it at; ``missing`` and ``added`` are records of ids whose others agree. Where an id has several differing
-    records, each of the left is changed or missing, and the right's are added if they are more.
+    one has it at; ``missing`` and ``added`` are records of ids whose others agree; ``moved`` one that lies elsewhere
+    among the records that both have, with its place in the right replica. Where an id has several differing records,
+    each of the left is changed or missing, and the right's are added if they are more.
     """
+    if root(left) == root(right):
+        return left[0].where("false").select("file", "page_id", "piece", "at", "length", "digest", F.lit("").alias("status"), F.lit(0).cast("bigint").alias("copies"))
     within = None
     for depth in range(len(left) - 1, 0, -1):
         a, b = left[depth], right[depth]
         if within is not None:
-            near = within.select("file", F.col("slot").alias("_up"))
-            a, b = (x.withColumn("_up", F.floor(F.col("slot") / FAN_OUT).cast("bigint")).join(near, ["file", "_up"], "left_semi").drop("_up") for x in (a, b))
-        both = a.alias("a").join(b.alias("b"), ["file", "slot"], "full_outer").where(~F.col("a.hash").eqNullSafe(F.col("b.hash")))
-        within = both.select("file", "slot")
-    key = F.coalesce("page_id", F.lit(0)).alias("slot")
-    sides = [levels[0].withColumn("slot", key).join(within, ["file", "slot"], "left_semi") for levels in (left, right)]
-    counts = [side.groupBy("file", "slot", "digest").agg(F.count("*").alias("n")) for side in sides]
-    both = counts[0].alias("a").join(counts[1].alias("b"), ["file", "slot", "digest"], "full_outer")
-    differ = stored(both.select("file", "slot", "digest", (F.coalesce("a.n", F.lit(0)) - F.coalesce("b.n", F.lit(0))).alias("more")).where("more <> 0"), "differ")
-    total = differ.groupBy("file", "slot").agg(F.sum(F.greatest("more", F.lit(0))).alias("lost"), F.sum(F.greatest(-F.col("more"), F.lit(0))).alias("new"))
-    one = F.min(F.struct(F.col("piece").isNull().alias("_nowhere"), "piece", "at", "length", "page_id")).alias("one")
-    places = [side.join(differ.where(test), ["file", "slot", "digest"]).groupBy("file", "slot", "digest", "more").agg(one) for side, test in zip(sides, ("more > 0", "more < 0"), strict=True)]
-    found = places[1].groupBy("file", "slot").agg(F.min("one").alias("there"))
-    lost = places[0].join(total, ["file", "slot"]).join(found, ["file", "slot"], "left")
-    at = F.coalesce("there", "one")
-    lost = lost.select("file", at["page_id"].alias("page_id"), at["piece"].alias("piece"), at["at"].alias("at"), at["length"].alias("length"), "digest", F.when(F.col("new") > 0, "changed").otherwise("missing").alias("status"), F.col("more").alias("copies"))
-    new = places[1].join(total.where("new > lost"), ["file", "slot"])
-    new = new.select("file", *(F.col("one")[c].alias(c) for c in ("page_id", "piece", "at", "length")), "digest", F.lit("added").alias("status"), (-F.col("more")).alias("copies"))
-    return lost.union(new)
+            near = within.withColumnRenamed("slot", "_up")
+            a, b = (x.withColumn("_up", F.floor(F.col("slot") / FAN_OUT).cast("bigint")).join(near, ["file", "piece", "_up"], "left_semi").drop("_up") for x in (a, b))
+        both = a.alias("a").join(b.alias("b"), LEAF, "full_outer").where(~F.col("a.hash").eqNullSafe(F.col("b.hash")))
+        within = stored(both.select(*LEAF), "within")
+    # equal records of a leaf are told apart by their order; a window is a file's records at most
+    copy = F.row_number().over(Window.partitionBy(*LEAF, "digest").orderBy("at"))
+    sides = [levels[0].join(within, LEAF, "left_semi").withColumn("_copy", copy) for levels in (left, right)]
+    key = [*LEAF, "digest", "_copy"]
+    place = F.struct("at", "length", "page_id")
+    a, b = (side.select(*key, place.alias(n)) for side, n in zip(sides, ("a", "b"), strict=True))
+    both = stored(a.join(b, key, "full_outer"), "matched")
+    rank = lambda side: F.row_number().over(Window.partitionBy("file", "piece").orderBy(f"{side}.at"))
+    kept = both.where("a is not null and b is not null").withColumns({"_a": rank("a"), "_b": rank("b")}).where("_a <> _b")
+    moved = kept.select("file", F.col("b.page_id").alias("page_id"), "piece", F.col("b.at").alias("at"), F.col("b.length").alias("length"), "digest", F.lit("moved").alias("status"), F.lit(1).cast("bigint").alias("copies"))
+    differ = both.where("a is null or b is null")
+    total = differ.groupBy(*LEAF).agg(F.count("a").alias("lost"), F.count("b").alias("new"), F.min("b").alias("there"))
+    one = differ.groupBy(*LEAF, "digest").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.count("a").alias("n_a"), F.count("b").alias("n_b")).join(total, LEAF)
+    shown = lambda at, status, copies: ("file", at["page_id"].alias("page_id"), "piece", at["at"].alias("at"), at["length"].alias("length"), "digest", status.alias("status"), F.col(copies).alias("copies"))
+    lost = one.where("n_a > 0").select(*shown(F.coalesce("there", "a"), F.when(F.col("new") > 0, "changed").otherwise("missing"), "n_a"))
+    new = one.where("n_b > 0 and new > lost").select(*shown(F.col("b"), F.lit("added"), "n_b"))
+    return lost.union(new).union(moved)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, chat, decontam, jaccard, langid, lattice, queries, secrets, token_files, toxicity, warc
+from ledgerloom.llm.shared import fresh_path
 
 SF = "/root/testdata/sf0.001"
 LABELLED = "/root/testdata/sf0.01"
@@ -210,15 +211,22 @@ def shown(found):
     return sorted(((r.page_id, r.status, r.copies) for r in found.collect()), key=repr)
 
 
+def kept(spark, rows):
+    """The tree of a replica stored in a folder of its own."""
+    folder = fresh_path(spark, "replica")
+    warc.write_warc(rows, folder)
+    return warc.tree(warc.stored_records(spark, folder))
+
+
 def test_audit_locates_what_differs(spark):
     left = [(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 5)) for i in range(300)] + [(None, None, None), (7, "http://x/7", None), (-3, "", "")]
     right = [r for r in left if r[0] != 150]  # a record in the middle is lost, one changed, one slipped in
     right[40] = (40, "http://x/40", "<p>4O</p>")
     right += [(5000, "new", "new")]
-    a, b = warc.tree(warc.records(pages(spark, left))), warc.tree(warc.records(pages(spark, right)))
+    a, b = kept(spark, pages(spark, left)), kept(spark, pages(spark, right))
     assert shown(warc.audit(a, b)) == sorted([(150, "missing", 1), (40, "changed", 1), (5000, "added", 1)], key=repr)
-    assert warc.audit(a, a).count() == 0 and warc.root(a) == warc.root(warc.tree(warc.records(pages(spark, left[::-1])))) != warc.root(b)
-    none = warc.tree(warc.records(pages(spark, [])))
+    assert warc.audit(a, a).count() == 0 and warc.root(a) == warc.root(kept(spark, pages(spark, left[::-1]))) != warc.root(b)
+    none = kept(spark, pages(spark, []))
     assert warc.root(none) is None and warc.audit(none, none).count() == 0
     assert {r.status for r in warc.audit(none, a).collect()} == {"added"}
 
@@ -227,8 +235,8 @@ def test_audit_of_odd_rows(spark):
     long = "long body " * 300_000
     rows = [(1, "a", long), (2, None, None), (2, None, None), (2, "b", ""), (None, "n", "x"), (None, "n", "y"), (None, None, None), (10**15, "é", "ß\r\n\r\nWARC/1.0\r\n")]
     frame = pages(spark, rows).withColumns({c: F.lit(c) for c in ("file", "piece", "at", "length", "digest", "slot", "hash", "value", "_id")})
-    a = warc.tree(warc.records(frame))
-    b = warc.tree(warc.records(pages(spark, [(1, "a", long + "!"), (2, None, None), (2, "b", ""), (None, "n", "x"), (None, "n", "z"), (None, None, None), (None, "more", ""), rows[-1]])))
+    a = kept(spark, frame)
+    b = kept(spark, pages(spark, [(1, "a", long + "!"), (2, None, None), (2, "b", ""), (None, "n", "x"), (None, "n", "z"), (None, None, None), (None, "more", ""), rows[-1]]))
     assert shown(warc.audit(a, b)) == sorted([(1, "changed", 1), (2, "missing", 1), (None, "changed", 1), (None, "added", 1), (None, "added", 1)], key=repr)
 
 
@@ -236,7 +244,7 @@ def test_stored_files_are_audited_where_they_lie(spark, tmp_path):
     rows = [(i, f"http://x/{i}", f"é\r\n\r\nWARC/1.0\r\nWARC-Type: line\n" * (i % 4)) for i in range(4090, 4110)] + [(None, "n", "x"), (None, "n", "x")]
     folder = f"file://{tmp_path}/w"
     warc.write_warc(pages(spark, rows), folder)
-    expected = warc.tree(warc.records(pages(spark, rows)))
+    expected = kept(spark, pages(spark, rows))
     assert sorted(map(tuple, warc.read_warc(spark, folder).collect()), key=repr) == sorted(rows, key=repr)
     assert warc.audit(expected, warc.tree(warc.stored_records(spark, folder))).count() == 0
     path = next((tmp_path / "w" / "file=0").rglob("part-*"))
@@ -252,6 +260,35 @@ def test_stored_files_are_audited_where_they_lie(spark, tmp_path):
     assert (broken.at, broken.length) == (at, length)
 
 
+def test_records_that_lie_elsewhere_have_moved(spark, tmp_path):
+    """Two records of a stored file swapped, of equal and of other length; what lies between them is only shifted."""
+    rows = [(i, f"http://x/{i}", "b" * (i % 3)) for i in range(30)]
+    for a, b in ((3, 9), (10, 11), (4, 20)):
+        folder = f"file://{tmp_path}/{a}"
+        warc.write_warc(pages(spark, rows), folder)
+        whole = warc.tree(warc.stored_records(spark, folder))
+        path = next((tmp_path / str(a)).rglob("part-*"))
+        data = gzip.decompress(path.read_bytes())
+        cuts = sorted((r.at, r.length, r.page_id) for r in warc.stored_records(spark, folder).collect())
+        parts = [data[at : at + length] for at, length, _ in cuts]
+        parts[a], parts[b] = parts[b], parts[a]
+        path.write_bytes(gzip.compress(b"".join(parts)))
+        (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+        again = warc.tree(warc.stored_records(spark, folder))
+        found = warc.audit(whole, again).collect()
+        assert sorted((r.page_id, r.status) for r in found) == [(a, "moved"), (b, "moved")]
+        place = {r.page_id: r["at"] for r in again[0].collect()}
+        assert all(r["at"] == place[r.page_id] for r in found) and warc.root(whole) != warc.root(again)
+
+
+def test_many_rows_of_one_id_are_dealt_into_pieces(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 16)
+    rows = [(1, "u", "same")] * 100 + [(None, "n", str(i)) for i in range(60)] + [(200 + i, "o", "x") for i in range(5)]
+    a, b = kept(spark, pages(spark, rows)), kept(spark, pages(spark, rows))
+    assert a[0].groupBy("file", "piece").count().agg({"count": "max"}).first()[0] < 40 and a[0].count() == len(rows)
+    assert warc.root(a) == warc.root(b) and warc.audit(a, b).count() == 0
+
+
 def test_lattice_links_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     rows, at = [], 0
