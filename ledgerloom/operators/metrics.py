@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import written
+
 
 #: Ranges of a score between 0 and 1.
 CELLS = 1024
@@ -18,10 +20,11 @@ def recall(score: Column, y: Column, threshold: float = 0.5) -> Column:
 def score_groups(df: DataFrame, by: list[str], score: str, y: str, descending: bool) -> DataFrame:
     """(by..., score, n, pos, n_before, pos_before): equal scores as one row, with what comes before them.
 
-    Sums run inside ``CELLS`` ranges of the score and over the ranges, so no task sorts a group's rows.
+    Sums run inside ``CELLS`` ranges of the score and over the ranges, so no task sorts a group's rows. The rows are read
+    once: their groups are written before they are ranked.
     """
     cell = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score))) * CELLS)
-    groups = df.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(y).alias("pos")).withColumn("_cell", cell)
+    groups = written(df.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(y).alias("pos")), "groups").withColumn("_cell", cell)
     turn = F.desc if descending else F.asc
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = groups.groupBy(*by, "_cell").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))

@@ -41,9 +41,18 @@ sc AS (SELECT *, round(1 / (1 + exp(-greatest(-30, least(30, """ + " + ".join([s
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 
-def _scored(spark, sf_dir):
-    """Scored transactions; the join is written once, as its statistics and its rows are both read."""
-    return features.scored(features.standardise(written(features.transactions(spark, sf_dir), "transactions")))
+def _scored(spark, sf_dir, *columns):
+    """Scored transactions; the join is written once, as its statistics and its rows are both read.
+
+    Only the features, bank, label and the columns named are written.
+    """
+    rows = features.transactions(spark, sf_dir).select("bank", "y", *FEATURES, *(c for c in columns if c not in FEATURES))
+    return features.scored(features.standardise(written(rows, "transactions")))
+
+
+def _ranked(spark, sf_dir):
+    """What a ranking of single rows reads, written once: bank, label, score and the order among equal scores."""
+    return written(_scored(spark, sf_dir, *_ORDER).select("bank", "y", "score", *_ORDER), "ranked")
 
 
 @query(TX + """, g AS (SELECT bank, score, sum(y) AS pos, count(*) - sum(y) AS neg FROM sc GROUP BY 1, 2),
@@ -51,7 +60,7 @@ b AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY bank ORDER BY score ROWS BE
 a AS (SELECT bank, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM b GROUP BY 1)
 SELECT bank, round(auc, 6) AS auc, round(count_if(score > 0.5 AND y = 1) / count_if(y = 1), 6) AS recall, count(*) AS n FROM sc JOIN a USING (bank) GROUP BY bank, auc""")
 def score_recall_auc_by_bank(spark, sf_dir):
-    rows = _scored(spark, sf_dir).select("bank", "score", "y")
+    rows = written(_scored(spark, sf_dir).select("bank", "score", "y"), "scores")
     auc = metrics.roc_auc(rows, ["bank"])
     recall = rows.groupBy("bank").agg(F.round(metrics.recall(F.col("score"), F.col("y")), 6).alias("recall"), F.count("*").alias("n"))
     return recall.join(auc, "bank").select("bank", F.round("auc", 6).alias("auc"), "recall", "n")
@@ -70,7 +79,7 @@ def zscore_features(spark, sf_dir):
 
 @query(TX + "SELECT " + KEY + ", score FROM sc")
 def logistic_scores(spark, sf_dir):
-    return _scored(spark, sf_dir).select(*KEY.split(", "), "score")
+    return _scored(spark, sf_dir, *KEY.split(", ")).select(*KEY.split(", "), "score")
 
 
 _CONTRIBUTION = ", ".join(f"('{c}', round({c} * ({w}), 6))" for c, w in zip(FEATURES, WEIGHTS, strict=True))
@@ -106,21 +115,21 @@ _SQL_ORDER = "score DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, amount
 @query(TX + f""", r AS (SELECT bank, y, row_number() OVER w AS n, sum(y) OVER (PARTITION BY bank ORDER BY {_SQL_ORDER} ROWS UNBOUNDED PRECEDING) AS tp FROM sc WINDOW w AS (PARTITION BY bank ORDER BY {_SQL_ORDER}))
 SELECT bank, round(sum(tp / n) FILTER (y = 1) / sum(y), 6) AS average_precision FROM r GROUP BY bank""")
 def average_precision(spark, sf_dir):
-    return metrics.average_precision(_scored(spark, sf_dir), ["bank"], _ORDER).withColumn("average_precision", F.round("average_precision", 6))
+    return metrics.average_precision(_ranked(spark, sf_dir), ["bank"], _ORDER).withColumn("average_precision", F.round("average_precision", 6))
 
 
 @query(TX + f""", r AS (SELECT y, row_number() OVER (ORDER BY {_SQL_ORDER}) AS n, count(*) OVER () AS c FROM sc)
 SELECT round(count_if(n <= greatest(1, round_even(c * 0.05, 0)) AND y = 1) / count_if(y = 1), 6) AS recall_at_budget, any_value(greatest(1, round_even(c * 0.05, 0)))::BIGINT AS k FROM r""")
 def recall_at_budget(spark, sf_dir):
     """Recall among the best 5 % of all rows."""
-    out = metrics.recall_at_budget(_scored(spark, sf_dir), [], _ORDER, 0.05, False, 1.0)
+    out = metrics.recall_at_budget(_ranked(spark, sf_dir), [], _ORDER, 0.05, False, 1.0)
     return out.select(F.round("recall_at_budget", 6).alias("recall_at_budget"), "k")
 
 
 @query(TX + f""", r AS (SELECT bank, y, row_number() OVER (PARTITION BY bank ORDER BY {_SQL_ORDER}) AS n, count(*) OVER (PARTITION BY bank) AS c FROM sc)
 SELECT bank, round(coalesce(count_if(n <= greatest(1, ceil(c * 0.15)) AND y = 1) / nullif(count_if(y = 1), 0), 1), 6) AS recall_at_budget, max(greatest(1, ceil(c * 0.15)))::BIGINT AS k FROM r GROUP BY bank""")
 def recall_at_budget_by_bank(spark, sf_dir):
-    return metrics.recall_at_budget(_scored(spark, sf_dir), ["bank"], _ORDER, 0.15, True, 1.0).withColumn("recall_at_budget", F.round("recall_at_budget", 6))
+    return metrics.recall_at_budget(_ranked(spark, sf_dir), ["bank"], _ORDER, 0.15, True, 1.0).withColumn("recall_at_budget", F.round("recall_at_budget", 6))
 
 
 @query(TX + "SELECT bank, round((count(*) - sum(y)) / greatest(1, sum(y)), 6) AS pos_weight FROM tx GROUP BY bank")
