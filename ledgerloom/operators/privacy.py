@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import map_arrow
+from ledgerloom.operators.rounds import running
+from ledgerloom.session import map_arrow, written
 
 #: The orders looked at, tenths from 1.1 to 10.9, whole ones from 11 to 63, and three large ones.
 ORDERS = (*(1 + k / 10 for k in range(1, 100)), *(float(k) for k in range(11, 64)), 128.0, 256.0, 512.0)
@@ -93,9 +94,11 @@ def noised(updates: DataFrame, sigma: float, sensitivity: float, seed: int | Non
 
 
 def spent_by_round(rounds: DataFrame, sigma: float, q: float, delta: float) -> DataFrame:
-    """(round, rounds, epsilon): the budget spent up to each aggregated round, in the order of ``round``."""
-    spark: SparkSession = rounds.sparkSession
-    done = rounds.select("round").distinct().orderBy("round").collect()  # rounds of a federation
-    table = spark.createDataFrame([(r["round"], k + 1) for k, r in enumerate(done)], "round bigint, rounds bigint")
-    settings = table.select(F.lit(sigma).alias("sigma"), F.lit(q).alias("q"), "rounds")
-    return table.join(budget_table(settings, delta).select("rounds", "epsilon"), "rounds").select("round", "rounds", "epsilon")
+    """(round, rounds, epsilon): the budget spent up to each aggregated round, in the order of ``round``; null is no round.
+
+    A restart replays it: the budget is a function of the rounds that the log holds.
+    """
+    done = rounds.where("round is not null").select("round").distinct()
+    placed = running(done, "round", before=(F.lit(1), "sum")).select("round", (F.coalesce("before", F.lit(0)) + 1).cast("bigint").alias("rounds"))
+    settings = written(placed.select("round", F.lit(sigma).alias("sigma"), F.lit(q).alias("q"), "rounds"), "budgets")
+    return settings.join(budget_table(settings.drop("round"), delta).select("rounds", "epsilon"), "rounds").select("round", "rounds", "epsilon")

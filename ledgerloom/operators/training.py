@@ -39,6 +39,24 @@ class Logistic:
         e = s * (self.score(w, x) - y)
         return np.append(x.T @ e, e.sum())
 
+    def slope(self, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How each input moves the loss."""
+        return np.outer(self.score(w, x) - y, w[:-1])
+
+
+@dataclass(frozen=True)
+class RobustLogistic(Logistic):
+    """The logistic model trained against the worst shift of every input by up to ``epsilon``, which is known in closed
+    form: it moves the logit by ``epsilon`` times the weights' absolute sum against the label."""
+
+    epsilon: float = 0.1
+
+    def gradient(self, w: np.ndarray, x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
+        side = 2 * y - 1
+        worst = x @ w[:-1] + w[-1] - self.epsilon * np.abs(w[:-1]).sum() * side
+        e = s * (_sigmoid(worst) - y)
+        return np.append((x - self.epsilon * side[:, None] * np.sign(w[:-1])).T @ e, e.sum())
+
 
 @dataclass(frozen=True)
 class Perceptron:
@@ -82,6 +100,9 @@ class Perceptron:
     def gradient(self, w: np.ndarray, x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
         return self.back(w, x, y, s)[0]
 
+    def slope(self, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return self.back(w, x, y, np.ones(len(y)))[1]
+
 
 @dataclass(frozen=True)
 class Embedded:
@@ -180,10 +201,87 @@ class Recurrent:
         return np.concatenate([gz.ravel(), gr.ravel(), gc.ravel(), last.T @ e, [e.sum()]])
 
 
+@dataclass(frozen=True)
+class Hardened:
+    """A model trained on its rows and on what an attacker makes of them at its weights, ``mix`` of the latter."""
+
+    model: Logistic | Perceptron
+    epsilon: float = 0.1
+    steps: int = 10
+    mix: float = 0.5
+
+    def start(self) -> np.ndarray:
+        return self.model.start()
+
+    def score(self, w: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return self.model.score(w, x)
+
+    def gradient(self, w: np.ndarray, x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
+        attacked = descend_up(self.model, w, x, y, self.epsilon, self.steps)
+        return (1 - self.mix) * self.model.gradient(w, x, y, s) + self.mix * self.model.gradient(w, attacked, y, s)
+
+
+@dataclass(frozen=True)
+class Packed:
+    """A logistic, a perceptron and an embedding model and a logistic one over their scores, in one weight vector.
+
+    A row's inputs are the features, the categories, and 1 where the row is for the last model, which then learns from
+    rows that no other has seen. One pass gives the gradients of all four; each is the sum over its own rows.
+    """
+
+    dense: int
+    cardinalities: tuple[int, ...]
+    hidden: tuple[int, ...] = (12, 6)
+    width: int = 4
+    looked_up: int = 12
+    seed: int = 0
+
+    def models(self) -> list:
+        return [Logistic(self.dense), Perceptron((self.dense, *self.hidden), self.seed), Embedded(self.cardinalities, self.width, self.dense, self.looked_up, self.seed), Logistic(3)]
+
+    def blocks(self) -> list[tuple[int, int, int]]:
+        return robust.block_layout([len(m.start()) for m in self.models()])
+
+    def start(self) -> np.ndarray:
+        return np.concatenate([m.start() for m in self.models()])
+
+    def _views(self, x: np.ndarray) -> list[np.ndarray]:
+        dense, categories = x[:, : self.dense], x[:, self.dense : self.dense + len(self.cardinalities)]
+        return [dense, dense, np.hstack([categories, dense])]
+
+    def base_scores(self, w: np.ndarray, x: np.ndarray) -> np.ndarray:
+        own = [w[a:b] for _, a, b in self.blocks()]
+        return np.stack([m.score(v, part) for m, v, part in zip(self.models(), own, self._views(x), strict=False)], axis=1)
+
+    def score(self, w: np.ndarray, x: np.ndarray) -> np.ndarray:
+        _, a, b = self.blocks()[-1]
+        return self.models()[-1].score(w[a:b], self.base_scores(w, x))
+
+    def gradient(self, w: np.ndarray, x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
+        late = x[:, -1] == 1
+        own = [w[a:b] for _, a, b in self.blocks()]
+        out = [m.gradient(v, part[~late], y[~late], s[~late]) for m, v, part in zip(self.models(), own, self._views(x), strict=False)]
+        return np.concatenate([*out, self.models()[-1].gradient(own[-1], self.base_scores(w, x[late]), y[late], s[late])])
+
+
+def private_update(model: Packed, change: np.ndarray, budgets: list[float], sigma: float, rng: np.random.Generator | None = None) -> np.ndarray:
+    """A change with each block clipped to its own budget, and noise of ``sigma`` times what all budgets come to."""
+    out = change.copy()
+    for (_, a, b), budget in zip(model.blocks(), budgets, strict=True):
+        out[a:b] *= min(1.0, budget / max(float(np.linalg.norm(out[a:b])), 1e-300))
+    return out + (rng or np.random.default_rng()).normal(0, 1, len(out)) * sigma * robust.noise_sensitivity(budgets)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def _trainable(rows: DataFrame) -> DataFrame:
+    """Rows with a bank, a label and inputs that are all finite; others train and count nowhere."""
+    finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return rows.where(F.col("bank").isNotNull() & F.col("y").isNotNull() & F.coalesce((F.size("x") > 0) & finite, F.lit(False)))
+
+
 def gradients(rows: DataFrame, model, weights: dict, positive: dict) -> dict:
     """The gradient of each bank's rows at the bank's weights."""
 
@@ -199,7 +297,7 @@ def gradients(rows: DataFrame, model, weights: dict, positive: dict) -> dict:
         if total:
             yield pa.RecordBatch.from_pydict({"bank": pa.array(list(total), pa.int64()), "g": [g.tolist() for g in total.values()]})
 
-    parts = map_arrow(rows.select("bank", "x", "y"), run, "bank bigint, g array<double>")
+    parts = map_arrow(rows.select(F.col("bank").cast("bigint").alias("bank"), "x", "y"), run, "bank bigint, g array<double>")
     sums = parts.select("bank", F.posexplode("g").alias("at", "g")).groupBy("bank", "at").agg(F.sum("g").alias("g"))
     out = {b: np.zeros(len(w)) for b, w in weights.items()}
     for r in sums.collect():  # banks times parameters
@@ -207,12 +305,21 @@ def gradients(rows: DataFrame, model, weights: dict, positive: dict) -> dict:
     return out
 
 
-def federated(rows: DataFrame, model, rounds: int, epochs: int = 1, lr: float = 0.3, l2: float = 1e-4, attackers: int = 0) -> np.ndarray:
+def federated(
+    rows: DataFrame, model, rounds: int, epochs: int = 1, lr: float = 0.3, l2: float = 1e-4, attackers: int = 0, budgets: list[float] | None = None, sigma: float = 0.0, rng: np.random.Generator | None = None
+) -> np.ndarray:
     """Global weights after ``rounds`` of ``epochs`` local steps and an average weighted by rows.
 
-    With ``attackers`` and three banks or more the members that Multi-Krum selects are averaged instead.
+    With ``attackers`` and three banks or more the members that Multi-Krum selects are averaged instead. With
+    ``budgets`` (of a packed model) every bank's change is clipped by block and noised before it is averaged.
+    Rows without a bank, a label or finite inputs train nothing; so do vectors of another length than most.
     """
     spark = rows.sparkSession
+    rows = _trainable(rows)
+    sizes = rows.groupBy(F.size("x").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    if sizes is None:
+        return model.start()
+    rows = rows.where(F.size("x") == sizes["size"])
     counts = {r["bank"]: (r["n"], r["pos"]) for r in rows.groupBy("bank").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).collect()}
     positive = {b: (n - p) / max(1, p) for b, (n, p) in counts.items()}
     w = model.start()
@@ -221,6 +328,8 @@ def federated(rows: DataFrame, model, rounds: int, epochs: int = 1, lr: float =
         for _ in range(epochs):
             found = gradients(rows, model, local, positive)
             local = {b: v - lr * (found[b] / counts[b][0] + l2 * v) for b, v in local.items()}
+        if budgets is not None:
+            local = {b: w + private_update(model, v - w, budgets, sigma, rng) for b, v in local.items()}
         if attackers and len(local) >= 3:
             sent = spark.createDataFrame([(0, b, v.tolist()) for b, v in local.items()], "round bigint, member bigint, v array<double>")
             kept = {r["member"] for r in robust.multi_krum(sent, attackers, ["round"]).where("selected").collect()}
@@ -244,23 +353,29 @@ def predicted(rows: DataFrame, model, w: np.ndarray) -> DataFrame:
     return map_arrow(rows, run, f"{kinds}, score double")
 
 
-def fgsm(x: np.ndarray, y: np.ndarray, w: np.ndarray, epsilon: float) -> np.ndarray:
-    """Inputs of a logistic model after one step of ``epsilon`` up the loss."""
-    return x + epsilon * np.sign((Logistic(len(w) - 1).score(w, x) - y)[:, None] * w[:-1])
+def descend_up(model, w: np.ndarray, x: np.ndarray, y: np.ndarray, epsilon: float, steps: int = 1) -> np.ndarray:
+    """Inputs moved up the loss by signs of its slope, never further than ``epsilon`` from where they were.
+
+    One step is ``epsilon`` long; several are 2.5 ``epsilon`` in all, each followed by the projection.
+    """
+    now, length = x, epsilon if steps == 1 else 2.5 * epsilon / max(1, steps)
+    for _ in range(steps):
+        now = np.clip(now + length * np.sign(model.slope(w, now, y)), x - epsilon, x + epsilon)
+    return now
 
 
-def evasion_rate(rows: DataFrame, w: np.ndarray, epsilon: float, threshold: float = 0.5) -> DataFrame:
-    """(bank, caught, evaded, rate): positives over the threshold that one such step takes under it."""
-    model = Logistic(len(w) - 1)
+def evasion_rate(rows: DataFrame, w: np.ndarray, epsilon: float, threshold: float = 0.5, model=None, steps: int = 1) -> DataFrame:
+    """(bank, caught, evaded, rate): positives over the threshold that an attack of ``steps`` takes under it."""
+    model = model or Logistic(len(w) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = _matrix(batch.column(1)), batch.column(2).to_numpy().astype(float)
                 caught = (y == 1) & (model.score(w, x) > threshold)
-                gone = caught & (model.score(w, fgsm(x, y, w, epsilon)) <= threshold)
+                gone = caught & (model.score(w, descend_up(model, w, x, y, epsilon, steps)) <= threshold)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(caught), pa.array(gone)], names=["bank", "caught", "gone"])
 
-    found = map_arrow(rows.select(F.col("bank").cast("bigint").alias("bank"), "x", "y"), run, "bank bigint, caught boolean, gone boolean")
+    found = map_arrow(_trainable(rows).select(F.col("bank").cast("bigint").alias("bank"), "x", "y"), run, "bank bigint, caught boolean, gone boolean")
     out = found.groupBy("bank").agg(F.count_if("caught").alias("caught"), F.count_if("gone").alias("evaded"))
     return out.withColumn("rate", F.coalesce(F.try_divide("evaded", "caught"), F.lit(0.0)))

@@ -218,27 +218,17 @@ def scam_flags(spark, sf_dir):
     return _augmented(spark, sf_dir).select("doc_id", *text.flags(F.col("text")))
 
 
-# Those below are checked by brute force on a small fixture in several alphabets.
-
-
-@query()
-def token_ngrams_all(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token"))
-    return rows.groupBy("doc_id", F.substring("token", 1, 1).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("token").alias("n_distinct"))
-
-
-@query()
-def hash_buckets_all(spark, sf_dir):
-    rows = text.hashed(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return rows.select("doc_id", "bucket", (F.round("value", 6) + 0.0).alias("value"))
-
-
-@query()
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '(?i){p.replace(chr(39), chr(39) * 2)}')::INT AS {n}" for n, p in text.FLAGS) + " FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def scam_flags_all(spark, sf_dir):
     """Flags of every text as it is, nothing appended."""
     return table(spark, sf_dir, "documents").select("doc_id", *text.flags(F.col("text")))
 
 
+#: Names that earlier callers use; both queries read all languages.
+for _old, _now in (("token_ngrams_all", "token_ngrams"), ("hash_buckets_all", "hash_buckets")):
+    QUERIES[_old], ORACLE[_old] = QUERIES[_now], ORACLE[_now]
+
+
 _CORE = ["account", "bank", "fraud", "money"]
 _THEMES = {"fraud_detection": (2.0, ["fraud detection", "fraud", "police"]), "data_sharing": (1.5, ["data sharing", "between banks"]), "mule_accounts": (2.5, ["mule account", "safe account", "move your money"])}
 

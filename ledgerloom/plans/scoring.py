@@ -260,14 +260,14 @@ def tree_score(spark, sf_dir):
     return rows.groupBy("bank", leaf.alias("leaf")).agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
 
 
-@query("""WITH e AS (SELECT range AS i FROM range(100)), o AS (SELECT 1.1 + i * 0.1 AS alpha FROM e UNION ALL SELECT 11.0 + i FROM e WHERE i < 54), s AS (SELECT unnest([0.7, 1.1, 2.0, 4.0]) AS sigma),
-x AS (SELECT sigma, alpha, 30 * alpha / (2 * sigma * sigma) + ln((alpha - 1) / alpha) - (ln(0.00001) + ln(alpha)) / (alpha - 1) AS eps FROM o, s)
-SELECT sigma::DOUBLE AS sigma, round(min(eps), 6) AS epsilon FROM x GROUP BY sigma""")
+@query("""WITH e AS (SELECT range AS i FROM range(100)), o AS (SELECT 1.1 + i * 0.1 AS alpha FROM e UNION ALL SELECT 11.0 + i FROM e WHERE i < 54), s AS (SELECT label, 0.7 + 0.3 * (label % 5) AS sigma, count(DISTINCT vec_id // 25) AS rounds FROM embeddings GROUP BY label),
+x AS (SELECT label, sigma, rounds * alpha / (2 * sigma * sigma) + ln((alpha - 1) / alpha) - (ln(0.00001) + ln(alpha)) / (alpha - 1) AS eps FROM o, s)
+SELECT label, round(min(eps), 6) AS epsilon FROM x GROUP BY label""")
 def rdp_epsilon_q1(spark, sf_dir):
-    """The least epsilon over orders after 30 full-batch rounds of the Gaussian mechanism."""
-    tenths = spark.range(100).select((1.1 + F.col("id") * 0.1).alias("alpha"))
-    orders = tenths.union(spark.range(54).select((11.0 + F.col("id")).alias("alpha")))
-    rows = orders.select("alpha", F.explode(F.array(*(F.lit(s) for s in (0.7, 1.1, 2.0, 4.0)))).alias("sigma"))
+    """The least epsilon over orders after the full-batch rounds of every group, at the group's own noise."""
+    groups = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.countDistinct(F.floor(F.col("vec_id") / 25)).alias("rounds"))
+    orders = F.concat(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: 1.1 + i * 0.1), F.transform(F.sequence(F.lit(0), F.lit(53)), lambda i: 11.0 + i))
+    rows = groups.select("label", "rounds", (0.7 + 0.3 * (F.col("label") % 5)).alias("sigma"), F.explode(orders).alias("alpha"))
     a = F.col("alpha")
-    eps = 30 * a / (2 * F.col("sigma") * F.col("sigma")) + F.log((a - 1) / a) - (F.log(F.lit(1e-5)) + F.log(a)) / (a - 1)
-    return rows.groupBy("sigma").agg(F.round(F.min(eps), 6).alias("epsilon"))
+    eps = F.col("rounds") * a / (2 * F.col("sigma") * F.col("sigma")) + F.log((a - 1) / a) - (F.log(F.lit(1e-5)) + F.log(a)) / (a - 1)
+    return rows.groupBy("label").agg(F.round(F.min(eps), 6).alias("epsilon"))

@@ -38,7 +38,7 @@ def test_tokens_of_every_language(spark, tmp_path):
         for kind in "wbc":
             own = [x for x in tokens(t) if x[0] == kind]
             want |= {(i, kind, len(own), len(set(own)))} if own else set()
-    assert {tuple(r) for r in catalogue.QUERIES["token_ngrams_all"](spark, folder(spark, tmp_path)).collect()} == want
+    assert {tuple(r) for r in catalogue.QUERIES["token_ngrams"](spark, folder(spark, tmp_path)).collect()} == want
 
 
 def test_buckets_of_every_language(spark, tmp_path):
@@ -50,7 +50,7 @@ def test_buckets_of_every_language(spark, tmp_path):
             sums[h % 23] += 1 if h // 2 % 2 else -1
         size = math.sqrt(sum(v * v for v in sums.values()))
         want |= {(i, b): round(v / size, 5) + 0.0 for b, v in sums.items()}
-    found = catalogue.QUERIES["hash_buckets_all"](spark, folder(spark, tmp_path)).collect()
+    found = catalogue.QUERIES["hash_buckets"](spark, folder(spark, tmp_path)).collect()
     assert {(r.doc_id, r.bucket): round(r.value, 5) + 0.0 for r in found} == want
 
 
@@ -62,4 +62,4 @@ def test_flags_of_every_language(spark, tmp_path):
 def test_every_document_has_flags(spark):
     sf = "/root/testdata/sf0.001"
     assert catalogue.QUERIES["scam_flags_all"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
-    assert catalogue.QUERIES["token_ngrams_all"](spark, sf).select(F.col("doc_id")).distinct().count() == spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 2").select("doc_id").distinct().count()
+    assert catalogue.QUERIES["token_ngrams"](spark, sf).select(F.col("doc_id")).distinct().count() == spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 2").select("doc_id").distinct().count()
