@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalar import clip_norm
-from ledgerloom.operators import graph, ledger, robust, text
+from ledgerloom.operators import graph, ledger, masks, projection, robust, text
 from ledgerloom.session import table
 
 QUERIES: dict = {}
@@ -224,6 +224,35 @@ def scam_flags_all(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *text.flags(F.col("text")))
 
 
+@query(_T + ", v AS (SELECT doc_id, bucket, total / sqrt(sum(total * total) OVER (PARTITION BY doc_id)) AS value FROM b) SELECT d.doc_id, i AS place, round(CASE WHEN i < 9 THEN [" + ", ".join(f"regexp_matches(coalesce(d.text, ''), '(?i){p.replace(chr(39), chr(39) * 2)}')::INT" for _, p in text.FLAGS) + "][i + 1] ELSE coalesce(v.value, 0) END, 5)::DOUBLE + 0.0 AS value FROM documents d CROSS JOIN (SELECT unnest(range(0, 32)) AS i) LEFT JOIN v ON v.doc_id = d.doc_id AND v.bucket = i - 9")
+def text_feature_rows(spark, sf_dir):
+    """Nine flags and 23 buckets of every text, by place."""
+    rows = text.feature_row(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select("doc_id", F.posexplode("x").alias("place", "value")).select("doc_id", F.col("place").cast("bigint").alias("place"), (F.round("value", 5) + 0.0).alias("value"))
+
+
+@query("SELECT lang, count(*) AS n, count_if(contains(lower(coalesce(text, '')), 'than') OR contains(lower(coalesce(text, '')), 'eau')) AS relevant FROM documents GROUP BY lang")
+def relevant_texts(spark, sf_dir):
+    """Texts that hold any of two words, by language."""
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(text.relevant(F.col("text"), ["Than", "eau"])).alias("relevant"))
+
+
+@query(U + "SELECT round, dim, round(avg(value), 4) + 0.0 AS value FROM e GROUP BY round, dim")
+def secure_mean(spark, sf_dir):
+    """The mean of every round's updates out of masked ones alone."""
+    rows = masks.secure_aggregate(updates(spark, sf_dir), ROUND, "demo")
+    return rows.select("round", F.col("dim").cast("bigint").alias("dim"), (F.round("value", 4) + 0.0).alias("value"))
+
+
+@query()
+def update_projection(spark, sf_dir):
+    """Members' updates on their two main axes, scaled so that attackers do not stretch the view."""
+    rows = updates(spark, sf_dir)
+    mean, axes, _ = projection.principal_axes(rows, "v", 64)
+    placed = projection.robust_scaled(projection.projected(rows.select("member", "v"), "v", mean, axes))
+    return placed.select("member", F.round(F.col("point")[0], 6).alias("x"), F.round(F.col("point")[1], 6).alias("y"))
+
+
 #: Names that earlier callers use; both queries read all languages.
 for _old, _now in (("token_ngrams_all", "token_ngrams"), ("hash_buckets_all", "hash_buckets")):
     QUERIES[_old], ORACLE[_old] = QUERIES[_now], ORACLE[_now]

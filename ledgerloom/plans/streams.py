@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import fresh_path, table
 from ledgerloom.sinks import upsert
-from ledgerloom.streaming import cohorts
+from ledgerloom.streaming import cohorts, reducer, rounds
 from ledgerloom.streaming.rounds import run_to_end
 
 QUERIES: dict = {}
@@ -103,3 +103,42 @@ def upsert_streamed(spark, sf_dir):
     held = upsert.UpsertTable(spark, fresh_path(spark, "upserts"), stream.schema, ["user_id"], "event_id")
     found = upsert.run_to_end(stream, held, fresh_path(spark, "upserts-checkpoint"))
     return found.select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+def _dashboard_events(rows):
+    """Events by user: views replace the state, errors attack, sign-ups clear, clicks connect, purchases spread."""
+    kind = F.when(F.col("event_type") == "view", "state").when(F.col("event_type") == "error", "attack").when(F.col("event_type") == "signup", "clear").when(F.col("event_type") == "click", "connection").otherwise("spread")
+    k = F.get_json_object("props", "$.k").cast("int")
+    value = F.when(F.col("event_type") == "click", F.element_at(F.array(F.lit("live"), F.lit("lost"), F.lit("retry")), k % 3 + 1)).when(F.col("event_type") == "purchase", F.when(k % 2 == 0, "siloed").otherwise("federated")).otherwise(k.cast("string"))
+    return rows.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd").alias("epoch"), kind.alias("kind"), value.alias("value"))
+
+
+_DASHBOARD = "WITH e AS (SELECT user_id AS key, ts, event_id AS seq, strftime(ts, '%Y-%m-%d') AS epoch, event_type AS kind, json_extract(props, '$.k')::INT AS k FROM events)"
+
+
+@query(_DASHBOARD + """, s AS (SELECT key, arg_max(k::VARCHAR, (ts, seq)) FILTER (kind = 'view') AS state, arg_max(CASE WHEN kind = 'error' THEN k::VARCHAR ELSE '' END, (ts, seq)) FILTER (kind IN ('error', 'signup')) AS attacker,
+arg_max(['live', 'lost', 'retry'][k % 3 + 1], (ts, seq)) FILTER (kind = 'click') AS connection, count(*) AS events, max(seq) AS last FROM e GROUP BY key)
+SELECT key, coalesce(state, '') AS state, coalesce(attacker, '') AS attacker, coalesce(connection, '') AS connection, events, last FROM s""")
+def event_reducer(spark, sf_dir):
+    """The latest state of every user out of a stream, kept in an upsert table."""
+    stream = _dashboard_events(streamed(spark, sf_dir, "events"))
+    held = upsert.UpsertTable(spark, fresh_path(spark, "folded"), reducer.FOLDED, ["key"], "last")
+    return reducer.folded_to(stream, held, fresh_path(spark, "folded-checkpoint")).fillna("", ["state", "attacker", "connection"])
+
+
+@query(_DASHBOARD + " SELECT DISTINCT key, epoch, CASE WHEN kind = 'error' THEN 'attack_detected' ELSE 'fraud_propagated:' || CASE WHEN k % 2 = 0 THEN 'siloed' ELSE 'federated' END END AS edge FROM e WHERE kind IN ('error', 'purchase')")
+def event_edges(spark, sf_dir):
+    """Attacks and spreads announced once a day and user by a stream."""
+    return to_end(reducer.edges(_dashboard_events(streamed(spark, sf_dir, "events"))), "edges")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS client, epoch_us(ts) / 1e6 / 3600 AS tick, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+b AS (SELECT client, tick, r, 8.0::DOUBLE AS had FROM e WHERE r = 1 UNION ALL
+  SELECT e.client, e.tick, e.r, least(8.0, had - CASE WHEN had >= 1 THEN 1 ELSE 0 END + (e.tick - b.tick) * 0.1) FROM b JOIN e ON e.client = b.client AND e.r = b.r + 1)
+SELECT client, count(*) AS requests, count_if(had >= 1) AS allowed FROM b GROUP BY client""")
+def token_bucket_stream(spark, sf_dir):
+    """Requests of every user that a bucket of eight tokens, refilled by one in ten hours, lets through."""
+    hours = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 1e6 / 3600
+    requests = streamed(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("client"), hours.alias("at"))
+    done = to_end(rounds.token_bucket(requests, 8.0, 0.1), "bucket")
+    return done.groupBy("client").agg(F.count("*").alias("requests"), F.count_if("allowed").alias("allowed"))

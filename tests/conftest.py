@@ -10,9 +10,11 @@ os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), *filter(None, [os.environ
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from ledgerloom.session import build_session
 
-    session = build_session("local[4]", 4)
+    session = build_session("local[8]", 4)
+    session.conf.set("spark.sql.codegen.wholeStage", "false")  # tables are tiny here, compiling is most of the time
+    session.sparkContext.setCheckpointDir(f"file://{tmp_path_factory.mktemp('shared')}")
     session.sparkContext.setLogLevel("ERROR")
     return session
