@@ -49,7 +49,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(max_langs + 1).collect()}  # a row for each language
     if len(sizes) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    sample = bounded_sample(rows, "lang", docs_per_lang).select("id", "lang", F.substring("text", 1, 20_000).alias("text")).collect()
+    sample = bounded_sample(rows, "lang", docs_per_lang, 20_000).select("id", "lang", "text").collect()
     by: dict[str, list[str]] = {}
     for row in sorted(sample, key=lambda r: (r.lang, str(r.id), r.text)):
         by.setdefault(row.lang, []).append(row.text)

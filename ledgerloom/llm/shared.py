@@ -2,68 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-from collections.abc import Callable
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A side of at most this many 8-byte keys may be broadcast; beyond it the join shuffles.
-BROADCAST_KEYS = 1_000_000
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (local tests) a temporary folder is set for the session.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        place = held.get() if held.isDefined() else None
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        place = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
+from ledgerloom.session import drop_path, fresh_path, map_arrow, shared_dir
+from ledgerloom.session import written as stored
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _tidy() -> None:
-    for spark, path in _made:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session may be gone; the folder is the cluster's scratch space
-            return
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["BROADCAST_KEYS", "ROW_KEY", "bounded_sample", "components", "drop_ids", "drop_path", "fresh_path", "keep_ids", "keyed", "map_arrow", "shared_dir", "stored"]
 
+#: A side of at most this many 8-byte keys may be broadcast; beyond it the join shuffles.
+BROADCAST_KEYS = 1_000_000
 
 #: A column that tells rows apart whatever their ids: unique and never null.
 ROW_KEY = "_row_key"
@@ -74,22 +22,6 @@ def keyed(df: DataFrame) -> DataFrame:
     return df if ROW_KEY in df.columns else stored(df.withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed")
 
 
-_shipped: set[str] = set()
-
-
-def map_arrow(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package, wherever the driver found it."""
-    context = rows.sparkSession.sparkContext
-    package = Path(__file__).resolve().parents[1]
-    reachable = str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if not reachable and context.applicationId not in _shipped:
-        folder = tempfile.mkdtemp(prefix="ledgerloom-")  # executors fetch the file from the driver while it runs
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}-{context.applicationId}", "zip", package.parent, package.name))
-        _shipped.add(context.applicationId)
-    return rows.mapInArrow(run, schema)
-
-
 def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids``; broadcasts ``ids`` only when its counted size is bounded."""
     n = ids.count()
@@ -102,16 +34,27 @@ def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if n <= BROADCAST_KEYS else ids, key, "left_anti")
 
 
-def bounded_sample(rows: DataFrame, by: str, each: int) -> DataFrame:
-    """At most ``each`` rows of (id, text, ``by``) for every value of ``by``, chosen by a hash of the id; equal rows are one.
+def bounded_sample(rows: DataFrame, by: str, each: int, chars: int) -> DataFrame:
+    """At most ``each`` rows of (id, text, ``by``) for every value of ``by``, those with the lowest hash of their id.
 
-    Rows are chosen, not ids, so an id of many rows does not bring them all.
+    Ids are chosen first, without their texts. Where a chosen id has several rows, rows are chosen among theirs (equal
+    ones are one), so an id of many rows does not bring them all. Texts are cut to ``chars`` characters.
     """
-    rows = rows.withColumn("_row", F.xxhash64("id", "text", by))
-    order = Window.partitionBy(by).orderBy(F.xxhash64("id"), "id", "_row")
-    keys = rows.select(by, "id", "_row").distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each)
-    found = keep_ids(rows, stored(keys.select("_row"), "chosen"), "_row")
-    return found.groupBy("_row").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.first(by).alias(by)).drop("_row")
+    order = Window.partitionBy(by).orderBy(F.xxhash64("id"), "id")
+    ids = rows.groupBy(by, "id").agg(F.count("*").alias("_n")).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each)
+    ids = stored(ids.select("id", by, "_n"), "chosen")
+    # by id first, which reaches the scan of the texts, then by both
+    pairs = ids.where("id is not null")
+    known = keep_ids(rows, pairs.select("id").distinct(), "id").join(F.broadcast(pairs.select("id", by)) if pairs.count() <= BROADCAST_KEYS else pairs.select("id", by), ["id", by], "left_semi").select(*rows.columns)
+    if ids.where("id is null").limit(1).count():
+        known = known.union(rows.where("id is null"))
+    if ids.where("_n > 1").limit(1).count():
+        known = known.withColumn("_row", F.xxhash64("id", "text", by))
+        order = Window.partitionBy(by).orderBy(F.xxhash64("id"), "id", "_row")
+        keys = known.select(by, "id", "_row").distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each)
+        known = keep_ids(known, stored(keys.select("_row"), "rows"), "_row").withColumn("text", F.substring("text", 1, chars))
+        known = known.groupBy("_row").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.first(by).alias(by)).drop("_row")
+    return known.withColumn("text", F.substring("text", 1, chars))
 
 
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:

@@ -202,9 +202,7 @@ def fit(
 ) -> dict:
     """The model from rows with a label of 0 or 1."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and text is not null")
-    share = F.least(F.length("text"), F.lit(SAMPLE_CHARS)).cast("int")
-    sample = bounded_sample(rows, "label", rows_per_class)
-    sample = stored(sample.select(F.substring("text", F.lit(1), share).alias("text"), "label"), "sample")
+    sample = stored(bounded_sample(rows, "label", rows_per_class, SAMPLE_CHARS).select("text", "label"), "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [(t, y) for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]

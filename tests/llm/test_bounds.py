@@ -12,11 +12,14 @@ DOCS = "doc_id bigint, text string"
 
 def test_an_id_of_many_rows_keeps_the_bound(spark):
     rows = [(7, f"text number {i}", "en") for i in range(5000)] + [(None, f"none {i}", "en") for i in range(50)] + [(8, "same", "de")] * 300 + [(i, f"fr {i}", "fr") for i in range(90)]
+    rows += [(i, f"fr {i} in de", "de") for i in range(90)]  # ids of two languages
     frame = spark.createDataFrame(rows, "id bigint, text string, lang string")
-    found = bounded_sample(frame, "lang", 240).collect()
+    found = bounded_sample(frame, "lang", 240, 100).collect()
     count = {k: sum(r.lang == k for r in found) for k in ("en", "de", "fr")}
-    assert count == {"en": 240, "de": 1, "fr": 90} and len({(r["id"], r.text) for r in found}) == len(found)
-    assert bounded_sample(frame.where("false"), "lang", 240).count() == 0
+    assert count == {"en": 240, "de": 91, "fr": 90} and len({(r["id"], r.text) for r in found}) == len(found)
+    few = bounded_sample(frame.where("id < 90 and id not in (7, 8)"), "lang", 10, 100).collect()
+    assert sorted(r.lang for r in few) == ["de"] * 10 + ["fr"] * 10
+    assert bounded_sample(frame.where("false"), "lang", 240, 100).count() == 0
 
 
 def test_models_fit_when_all_rows_have_one_id(spark):
