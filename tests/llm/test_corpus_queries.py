@@ -3,6 +3,7 @@
 import hashlib
 
 import duckdb
+import pandas as pd
 import pytest
 
 from ledgerloom.llm import queries
@@ -24,7 +25,7 @@ def test_query_equals_oracle(spark, duck, name):
     ours, theirs = queries.QUERIES[name](spark, SF).toPandas(), duck.execute(queries.ORACLE[name]).df()
     columns = sorted(theirs.columns)
     assert sorted(ours.columns) == columns
-    one = lambda v: "" if v is None or v != v else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)  # noqa: E731  nullable counts come as floats
+    one = lambda v: "" if v is None or pd.isna(v) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)  # noqa: E731  nullable counts come as floats
     plain = lambda frame: sorted([one(v) for v in row] for row in frame[columns].astype(object).values.tolist())
     assert plain(ours) == plain(theirs)
 
