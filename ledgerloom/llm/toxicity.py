@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.shared import bounded_sample, map_arrow, stored
 
 CACHE = 300_000
+#: Words remembered in each of two generations; their gains are shared tuples, some 150 bytes a word in all.
+WORDS = 600_000
 SLICE = 256
 LONGEST = 48
 SAMPLE_CHARS = 20_000
@@ -95,10 +97,11 @@ class Gains:
         self.parts = [(_lengths(ordinary), _lengths(toxic)) for ordinary, toxic in parts]
         self.known: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
+        self.shared: dict[tuple[int, ...], tuple[int, ...]] = {}
 
     def counts(self, text: str | None) -> Counter:
         """How many windows of a text have each tuple of gains."""
-        if len(self.known) > CACHE:
+        if len(self.known) > WORDS:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
         words = windows(text)
@@ -111,6 +114,7 @@ class Gains:
                     if gain is None:
                         data = spread(word)
                         gain = tuple([ordinary(data) - toxic(data) for ordinary, toxic in self.parts])
+                        gain = self.shared.setdefault(gain, gain)
                     gains[k] = known[word] = gain
         return Counter(gains)
 
