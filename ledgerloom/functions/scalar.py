@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ def to_number(text: Column, default: float = 0.0) -> Column:
     return F.when(low.isin("true", "yes", "y"), 1.0).when(low.isin("false", "no", "n"), 0.0).otherwise(F.coalesce(finite, F.lit(float(default))))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def dot(left: Column, right: Column) -> Column:
     return F.aggregate(F.zip_with(left, right, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 

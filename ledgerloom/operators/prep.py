@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.scalar import let
+
 BUCKETS = 4096
 LARGEST = 1e9
 
@@ -20,22 +22,21 @@ def weak_label(label: Column, action: Column) -> Column:
 
 def sanitised(payload: Column, allowed: list[str]) -> Column:
     """The allowed fields of a JSON object that are finite numbers, clamped to ``LARGEST``; anything else is dropped."""
-    parsed = F.try_parse_json(payload)
 
-    def one(name: str) -> Column:
-        kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
-        number = F.try_variant_get(parsed, f"$.{name}", "double")
-        fine = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & ~F.isnan(number) & (F.abs(number) < float("inf"))
-        return F.struct(F.lit(name).alias("k"), F.when(fine, F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), number))).alias("v"))
+    def number(part: Column) -> Column:
+        kind = F.schema_of_variant(part).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+        return let(F.when(kind, F.try_variant_get(part, "$", "double")), lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), x))))
+
+    def picked(parsed: Column) -> Column:
+        return F.array(*(F.struct(F.lit(n).alias("k"), let(F.try_variant_get(parsed, f"$.{n}", "variant"), number).alias("v")) for n in allowed))
 
-    return F.map_from_entries(F.filter(F.array(*(one(n) for n in allowed)), lambda p: p["v"].isNotNull()))
+    return F.map_from_entries(F.filter(let(F.try_parse_json(payload), picked), lambda p: p["v"].isNotNull()))
 
 
 def described(fields: Column, allowed: list[str]) -> Column:
     """``name=value`` of the fields in the order of ``allowed``; no text of a caller is in it."""
-    parts = F.array(*(F.when(F.map_contains_key(fields, n), F.concat(F.lit(f"{n}="), F.try_element_at(fields, F.lit(n)).cast("string"))) for n in allowed))
-    text = F.array_join(F.filter(parts, lambda p: p.isNotNull()), ", ")
-    return F.when(text == "", "no structured features supplied").otherwise(text)
+    parts = let(fields, lambda held: F.array(*(F.concat(F.lit(f"{n}="), F.try_element_at(held, F.lit(n)).cast("string")) for n in allowed)))
+    return let(F.array_join(parts, ", "), lambda text: F.when(text == "", "no structured features supplied").otherwise(text))
 
 
 def first_of_each(rows: DataFrame, by: str, key: list[str], sizes: Column, salt: str = "split") -> DataFrame:

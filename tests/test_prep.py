@@ -52,3 +52,10 @@ def test_figures_as_they_are_shown(spark):
     assert one(prep.percent(lit(0.125))) == "13%" and [one(prep.points(lit(v))) for v in (0.04, -0.1)] == ["+4 pts", "-10 pts"]
     assert [one(prep.day(F.lit(v).cast("bigint"))) for v in (86400, 0, None)] == ["1970-01-02", "", ""]
     assert [one(prep.weak_label(F.lit(a).cast("int"), F.lit(b).cast("string"))) for a, b in ((0, "hold"), (None, "hold"), (None, "allow"), (None, None))] == [0, 1, 0, 0]
+
+
+def test_a_payload_is_parsed_once_a_row(spark):
+    body = F.concat(F.lit('{"amount":'), F.col("id"), F.lit("}"))
+    found = spark.range(3).select(prep.described(prep.sanitised(body, ["amount", "velocity"]), ["amount", "velocity"]).alias("d"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count('{"amount":') == 1
+    assert [r.d for r in found.collect()] == [f"amount={i}.0" for i in range(3)]
