@@ -59,10 +59,11 @@ def trimmed(updates: DataFrame, k: int | None = None, by: list[str] | None = Non
     return rows.withColumn("kept", (F.col("rank") > cut) & (F.col("rank") <= F.col("n") - cut))
 
 
-def trimmed_mean(updates: DataFrame, k: int | None = None, by: list[str] | None = None, ratio: float | None = None) -> DataFrame:
-    """(by..., dim, value): mean without the k lowest and highest; the median where nothing would be left."""
+def trimmed_mean(updates: DataFrame, k: int | None = None, by: list[str] | None = None, ratio: float | None = None, strict: bool = False) -> DataFrame:
+    """(by..., dim, value): mean without the k lowest and highest; the median (``strict``: null) where nothing would be left."""
     rows = trimmed(updates, k, by, ratio)
-    return rows.groupBy(*(by or []), "dim").agg(F.coalesce(F.avg(F.when(F.col("kept"), F.col("value"))), F.median("value")).alias("value"))
+    mean = F.avg(F.when(F.col("kept"), F.col("value")))
+    return rows.groupBy(*(by or []), "dim").agg((mean if strict else F.coalesce(mean, F.median("value"))).alias("value"))
 
 
 def trim_membership(updates: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
@@ -84,29 +85,34 @@ def pairwise_distance(updates: DataFrame, by: list[str] | None = None) -> DataFr
     return pairs.select(*by, "a", "b", F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d2"))
 
 
-def krum_scores(updates: DataFrame, f: int, by: list[str] | None = None) -> DataFrame:
+def krum_scores(updates: DataFrame, f: int, by: list[str] | None = None, strict: bool = False) -> DataFrame:
     """(by..., member, krum): the sum of the n - f - 2 smallest squared distances to others, at least one; 0 for a member
-    without others."""
+    without others. ``strict``: cohorts with n - f - 2 below one have no scores, so nobody of them is selected."""
     by = by or []
     w = Window.partitionBy(*by, "a")
     rows = pairwise_distance(updates, by).withColumn("rank", F.row_number().over(w.orderBy("d2", "b"))).withColumn("n", F.count("*").over(w) + 1)
-    near = F.greatest(F.lit(1), F.col("n") - f - 2)
+    near = F.col("n") - f - 2 if strict else F.greatest(F.lit(1), F.col("n") - f - 2)
     found = rows.where(F.col("rank") <= near).groupBy(*by, F.col("a").alias("member")).agg(F.sum("d2").alias("krum"))
+    if strict:
+        return found
     return updates.select(*by, "member").join(found, [*by, "member"], "left").withColumn("krum", F.coalesce("krum", F.lit(0.0)))
 
 
-def multi_krum(updates: DataFrame, f: int, by: list[str] | None = None) -> DataFrame:
-    """(by..., member, krum, selected): the n - f members of lowest score of each cohort, ties to the lower member."""
+def multi_krum(updates: DataFrame, f: int, by: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """(by..., member, krum, selected): the n - f members of lowest score of each cohort, ties to the lower member.
+
+    ``strict``: cohorts too small for a score are left out.
+    """
     by = by or []
     cohort = Window.partitionBy(*(by or [F.lit(0)]))
-    ranked = krum_scores(updates, f, by).withColumn("rank", F.row_number().over(cohort.orderBy("krum", "member"))).withColumn("n", F.count("*").over(cohort))
+    ranked = krum_scores(updates, f, by, strict).withColumn("rank", F.row_number().over(cohort.orderBy("krum", "member"))).withColumn("n", F.count("*").over(cohort))
     return ranked.select(*by, "member", "krum", (F.col("rank") <= F.greatest(F.lit(1), F.col("n") - f)).alias("selected"))
 
 
-def multi_krum_mean(updates: DataFrame, f: int, by: list[str] | None = None) -> DataFrame:
+def multi_krum_mean(updates: DataFrame, f: int, by: list[str] | None = None, strict: bool = False) -> DataFrame:
     """(by..., dim, value): the mean of the members that Multi-Krum selects."""
     by = by or []
-    return fedavg(updates.join(multi_krum(updates, f, by).where("selected").select(*by, "member"), [*by, "member"], "left_semi"), None, by)
+    return fedavg(updates.join(multi_krum(updates, f, by, strict).where("selected").select(*by, "member"), [*by, "member"], "left_semi"), None, by)
 
 
 def _bulyan(v: np.ndarray, f: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,13 +183,13 @@ def conditional_aggregate(updates: DataFrame, by: list[str], attacked: bool) ->
     return multi_krum_mean(updates, 1, by) if attacked else fedavg(updates, None, by)
 
 
-def outlier_gate(updates: DataFrame, f: int, factor: float = 10.0, by: list[str] | None = None) -> DataFrame:
+def outlier_gate(updates: DataFrame, f: int, factor: float = 10.0, by: list[str] | None = None, strict: bool = False) -> DataFrame:
     """(by..., member, krum, rejected): a member that Krum would drop is rejected if it is far above the rest's median.
 
-    Cohorts of fewer than f + 3 members accuse nobody.
+    Cohorts of fewer than f + 3 members accuse nobody; ``strict``: they are left out.
     """
     by = by or []
-    chosen = multi_krum(updates, f, by)
+    chosen = multi_krum(updates, f, by, strict)
     others = chosen.select(*by, F.col("member").alias("_other"), F.col("krum").alias("_krum"))
     rest = (chosen.join(others, by) if by else chosen.join(F.broadcast(others))).where("member <> _other")
     base = rest.groupBy(*by, "member").agg(F.median("_krum").alias("base"), (F.count("*") + 1).alias("n"))
