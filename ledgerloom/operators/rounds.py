@@ -158,7 +158,8 @@ class Replay:
     def counters(self, at_risk: float, average_loss: float, hours: float, threshold: float) -> DataFrame:
         """(round, version, victims, siloed_victims, lost, prevented, hours_to_detect): running totals after every round.
 
-        A round adds ``at_risk`` times what its members' mean recall misses, beside what their siloed mean misses.
+        A round adds ``at_risk`` times what its members' mean recall misses, beside what their siloed mean misses. A mean
+        that equals the threshold reaches it, whatever the order in which recalls were added up.
         """
         means = self.members.groupBy("round").agg(F.avg(F.coalesce("recall", F.lit(0.0))).alias("fed"), F.avg(F.coalesce("silo_recall", F.lit(0.0))).alias("silo"))
         rows = self.made.select("round", "version").join(means, "round")
@@ -168,7 +169,7 @@ class Replay:
         return rows.select(
             "round", "version", total["fed"].alias("victims"), total["silo"].alias("siloed_victims"), (total["fed"] * average_loss).alias("lost"),
             (F.greatest(F.lit(0), total["silo"] - total["fed"]) * average_loss).alias("prevented"),
-            F.when(F.col("fed") >= threshold, F.lit(float(hours)) * F.col("version")).otherwise(F.lit(101.0)).alias("hours_to_detect"),
+            F.when(F.round("fed", 12) >= threshold, F.lit(float(hours)) * F.col("version")).otherwise(F.lit(101.0)).alias("hours_to_detect"),
         )
 
     def member_views(self) -> DataFrame:

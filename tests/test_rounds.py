@@ -1,5 +1,6 @@
 """The replay of a federation's log against a plain loop over its events, on random and odd logs."""
 
+import itertools
 import random
 
 import numpy as np
@@ -116,3 +117,13 @@ def test_running_values_over_ranges(spark):
 
     found = rounds.running(rows, "at", 5, total=(F.lit(1), "sum"), last=(F.col("mark"), "last")).collect()
     assert {r["at"]: (r.total or 0, r["last"]) for r in found} == {i: (i, max((float(k) for k in range(i) if k % 7 == 3), default=None)) for i in range(100)}
+
+
+def test_a_mean_at_the_threshold_reaches_it_in_any_order(spark):
+    recalls = [0.05, 0.35, 0.95]  # 1.35 / 3, but 0.44999999999999996 in doubles
+    orders = list(itertools.permutations(recalls))
+    assert any(sum(o) / 3 < 0.45 for o in orders)
+    replay = object.__new__(Replay)
+    replay.members = spark.createDataFrame([(i, x, x) for i, o in enumerate(orders) for x in o], "round bigint, recall double, silo_recall double").coalesce(1)
+    replay.made = spark.createDataFrame([(i, i + 1) for i in range(len(orders))], "round bigint, version bigint")
+    assert [r.hours_to_detect for r in replay.counters(100, 10.0, 6, 0.45).orderBy("version").collect()] == [6.0 * (i + 1) for i in range(len(orders))]
