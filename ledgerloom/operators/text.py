@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalar import stable_halves
+from ledgerloom.session import map_arrow, written
+
+#: Tokens whose hash a worker remembers before it begins anew.
+REMEMBERED = 1_000_000
+_WORDS = re.compile("[a-z0-9']+")
 
 #: Fixed patterns of scam language: (flag, ASCII pattern).
 FLAGS = (
@@ -34,7 +45,7 @@ def tokens(text: Column) -> Column:
     words = F.regexp_extract_all(low, F.lit("[a-z0-9']+"), F.lit(0))
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit("_"), b))).otherwise(F.array().cast("array<string>"))
     dense = F.replace(low, F.lit(" "), F.lit(""))
-    triples = F.regexp_extract_all(dense, F.lit("(?s)(?=(.{3}))"), F.lit(1))  # one pass, overlapping
+    triples = F.regexp_extract_all(dense, F.lit("(?s)(?=(.{3}))."), F.lit(1))  # one pass, overlapping; a character outside the BMP is one
     return F.concat(_marked("w:", words), _marked("b:", pairs), _marked("c:", triples))
 
 
@@ -42,16 +53,83 @@ def _marked(kind: str, found: Column) -> Column:
     return F.transform(found, lambda t: F.concat(F.lit(kind), t))
 
 
-def hashed(df: DataFrame, key: str, text: str, buckets: int = 23) -> DataFrame:
-    """(key, bucket, value): the signed hashing trick, scaled to unit length by document."""
-    rows = df.select(key, F.explode(tokens(F.col(text))).alias("token"))
-    high, low = stable_halves(F.col("token"))
-    rows = rows.select(key, high.alias("high"), low.alias("low"))
-    # the hash is high * 2^32 + low; its remainder and its second bit need no number beyond 64 bits
-    bucket = ((F.col("high") * F.lit(2**32 % buckets) + F.col("low")) % buckets).cast("int")
-    sums = rows.groupBy(key, bucket.alias("bucket")).agg(F.sum(F.col("low").bitwiseAND(F.lit(2)) - 1).alias("total"))
-    size = F.sqrt(F.sum(F.col("total") * F.col("total")).over(Window.partitionBy(key)))
-    return sums.select(key, "bucket", F.when(size > 0, F.col("total") / size).otherwise(0.0).alias("value"))
+def _counted(low: str) -> dict[str, dict]:
+    """How often a lower-case text has each word, word pair (a tuple) and letter triple (three code points in one number)."""
+    words = _WORDS.findall(low)
+    points = np.frombuffer(low.replace(" ", "").encode("utf-32-le"), np.uint32).astype(np.int64)
+    triples = np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:], return_counts=True)
+    return {"w": Counter(words), "b": Counter(zip(words, words[1:], strict=False)), "c": dict(zip(*(t.tolist() for t in triples), strict=True))}
+
+
+def _spelled(key: str | tuple | int) -> str:
+    """The token of a key of ``_counted``, as ``tokens`` marks it."""
+    if isinstance(key, str):
+        return "w:" + key
+    if isinstance(key, tuple):
+        return "b:" + "_".join(key)
+    return "c:" + "".join(chr(key >> at & 0x1FFFFF) for at in (42, 21, 0))
+
+
+def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, kind, n, n_distinct): the words, pairs and triples of each key, and how many differ.
+
+    A text is counted where it is read. Keys of several rows, if there are any, are counted token by token instead.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_counted(low or "") for low in batch.column(1).to_pylist()]
+            sizes = [[[sum(c.values()), len(c)] for c in f.values()] for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.list_(pa.list_(pa.int64())))], names=[key, "sizes"])
+
+    single = map_arrow(df.select(key, F.lower(F.col(text)).alias("low")), run, f"`{key}` {kind}, sizes array<array<bigint>>")
+    held = written(single.groupBy(key).agg(F.count("*").alias("rows"), F.first("sizes").alias("sizes")), "token_sizes")
+    each = F.explode(F.arrays_zip(F.array(*(F.lit(k) for k in "wbc")).alias("kind"), F.col("sizes").alias("size"))).alias("t")
+    once = held.where("rows = 1").select(key, each).select(key, "t.kind", F.col("t.size")[0].alias("n"), F.col("t.size")[1].alias("n_distinct")).where("n > 0")
+    several = held.where("rows > 1").select(F.col(key).alias("_key"))
+    again = df.join(several, F.col(key).eqNullSafe(F.col("_key")), "left_semi").select(key, F.explode(tokens(F.col(text))).alias("token"))
+    return once.union(again.groupBy(key, F.substring("token", 1, 1).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("token").alias("n_distinct")))
+
+
+def _sums(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
+    """(key, totals, size): the signed sums of the buckets of each key, null where no token falls, and their norm.
+
+    A text is counted where it is read, and a token is hashed once for all texts in which a task meets it soon.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            out = []
+            for low in batch.column(1).to_pylist():
+                totals: list = [None] * buckets
+                for counts in _counted(low or "").values():
+                    for token, n in counts.items():
+                        place = known.get(token)
+                        if place is None:
+                            h = int.from_bytes(md5(_spelled(token).encode(), usedforsecurity=False).digest()[:8], "big")
+                            place = known[token] = (h % buckets, 1 if h & 2 else -1)
+                        totals[place[0]] = (totals[place[0]] or 0) + place[1] * n
+                out.append(totals)
+                if len(known) > REMEMBERED:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=[key, "totals"])
+
+    rows = map_arrow(df.select(key, F.lower(F.col(text)).alias("low")), run, f"`{key}` {kind}, totals array<bigint>")
+    sums = rows.groupBy(key).agg(F.array(*(F.sum(F.get("totals", F.lit(i))) for i in range(buckets))).alias("totals"))
+    return sums.withColumn("size", F.sqrt(F.aggregate("totals", F.lit(0).cast("bigint"), lambda s, t: s + F.coalesce(t * t, F.lit(0)))))
+
+
+def _unit(total: Column, cancelled: float) -> Column:
+    return F.when(F.col("size") > 0, total / F.col("size")).when(total.isNotNull(), cancelled)
+
+
+def hashed(df: DataFrame, key: str, text: str, buckets: int = 23, cancelled: float = 0.0) -> DataFrame:
+    """(key, bucket, value): the signed hashing trick, scaled to unit length by document; ``cancelled`` where all sums are 0."""
+    rows = _sums(df, key, text, buckets).select(key, "size", F.posexplode("totals").alias("bucket", "total"))
+    return rows.where("total is not null").select(key, "bucket", _unit(F.col("total"), cancelled).alias("value"))
 
 
 def flags(text: Column) -> list[Column]:
@@ -97,9 +175,9 @@ def relevant(text: Column, words: list[str]) -> Column:
     return F.exists(F.array(*(F.lit(w.lower()) for w in words)), lambda w: F.contains(low, w)) if words else F.lit(True)
 
 
-def feature_row(df: DataFrame, key: str, text: str, buckets: int = 23) -> DataFrame:
+def feature_row(df: DataFrame, key: str, text: str, buckets: int = 23, cancelled: float = 0.0) -> DataFrame:
     """(key, x): the pattern flags and the hashed buckets of each text in one array; null is an empty text."""
     base = df.select(key, F.array(*(f.cast("double") for f in flags(F.col(text)))).alias("_flags"))
-    sums = hashed(df, key, text, buckets).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("_m"))  # one entry a bucket
-    x = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0.0)))
-    return base.join(sums, key, "left").select(key, F.concat("_flags", x).alias("x"))
+    sums = _sums(df, key, text, buckets).select(key, F.transform("totals", lambda t: F.coalesce(_unit(t, cancelled), F.lit(0.0))).alias("_x"))
+    empty = F.array_repeat(F.lit(0.0), F.lit(buckets))
+    return base.join(sums, key, "left").select(key, F.concat("_flags", F.coalesce("_x", empty)).alias("x"))

@@ -63,3 +63,19 @@ def test_every_document_has_flags(spark):
     sf = "/root/testdata/sf0.001"
     assert catalogue.QUERIES["scam_flags_all"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert catalogue.QUERIES["token_ngrams"](spark, sf).select(F.col("doc_id")).distinct().count() == spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 2").select("doc_id").distinct().count()
+
+
+def test_rows_of_one_id_are_counted_together(spark, tmp_path):
+    rows = [(1, "a b a b"), (1, "a c 😀xyz"), (2, "a b"), (None, "q r"), (None, "q r s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i in (1, 2, None):
+        own = [x for d, t in rows if d == i for x in tokens(t)]
+        want |= {(i, k, len(of), len(set(of))) for k in "wbc" if (of := [x for x in own if x[0] == k])}
+    assert {tuple(r) for r in catalogue.QUERIES["token_ngrams"](spark, str(tmp_path)).collect()} == want
+
+
+def test_no_token_is_shuffled(spark):
+    for name in ("token_ngrams", "hash_buckets", "text_feature_rows"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "md5" not in plan and ("MapInArrow" in plan or "sizes#" in plan), name
