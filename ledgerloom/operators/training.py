@@ -7,6 +7,7 @@ weight vectors with a forward pass and its gradient; positives count negatives o
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -283,7 +284,7 @@ def _trainable(rows: DataFrame) -> DataFrame:
 
 
 def gradients(rows: DataFrame, model, weights: dict, positive: dict) -> dict:
-    """The gradient of each bank's rows at the bank's weights."""
+    """The gradient of each bank's rows at the bank's weights; inputs are of one length, rows not all finite are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict = {}
@@ -291,6 +292,9 @@ def gradients(rows: DataFrame, model, weights: dict, positive: dict) -> dict:
             if not batch.num_rows:
                 continue
             bank, x, y = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy().astype(float)
+            finite = np.isfinite(x).all(axis=1)  # a null is no number either
+            if not finite.all():
+                bank, x, y = bank[finite], x[finite], y[finite]
             for b in np.unique(bank).tolist():
                 own = bank == b
                 total[b] = total.get(b, 0) + model.gradient(weights[b], x[own], y[own], np.where(y[own] == 1, positive[b], 1.0))
@@ -315,12 +319,16 @@ def federated(
     Rows without a bank, a label or finite inputs train nothing; so do vectors of another length than most.
     """
     spark = rows.sparkSession
-    rows = _trainable(rows)
-    sizes = rows.groupBy(F.size("x").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if sizes is None:
+    met = _trainable(rows).groupBy(F.size("x").alias("size"), "bank").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).collect()  # lengths times banks
+    if not met:
         return model.start()
-    rows = rows.where(F.size("x") == sizes["size"])
-    counts = {r["bank"]: (r["n"], r["pos"]) for r in rows.groupBy("bank").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).collect()}
+    sizes = Counter()
+    for r in met:
+        sizes[r["size"]] += r["n"]
+    size = min(sizes, key=lambda k: (-sizes[k], k))
+    counts = {r["bank"]: (r["n"], r["pos"]) for r in met if r["size"] == size}
+    # every step reads the rows: what is left of the check is done on whole batches
+    rows = rows.where(F.col("bank").isNotNull() & F.col("y").isNotNull() & (F.size("x") == size))
     positive = {b: (n - p) / max(1, p) for b, (n, p) in counts.items()}
     w = model.start()
     for _ in range(rounds):

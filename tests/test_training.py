@@ -189,3 +189,14 @@ def test_named_vectors(spark):
     rows = [({"amount": "3.5", "velocity_1h": "2", "x": "9"},), ({"amount": "nan", "is_new_payee": "yes"},), ({"amount": "7", "campaign_signature": "2", "account_age": "4"},), ({},)]
     found = [r["v"] for r in spark.createDataFrame(rows, "m map<string, string>").select(features.named_vector(F.col("m"), to_number).alias("v")).collect()]
     assert found == [[3.5, 0, 0, 0, 0, 0, 2, 0, 0, 0], [0, 0, 0, 0, 0, 0, 0, 0, 1, 0], [-0.5, 0, 0, 0, 0, -2, -0.5, -0.5, 0, 3], [0] * 10]
+
+
+def test_steps_read_rows_without_checking_every_value(spark, monkeypatch):
+    rows = [(b, [float(i % 7), float(i % 5)], i % 2) for b in (0, 1) for i in range(40)]
+    odd = [(0, [float("nan"), 1.0], 1), (1, [1.0, None], 0), (1, [float("inf"), 1.0], 1), (0, [1.0], 1), (None, [1.0, 1.0], 1), (0, [1.0, 1.0], None), (0, None, 1), (0, [], 0)]
+    schema = "bank bigint, x array<double>, y int"
+    model, seen, own = training.Logistic(2), [], training.gradients
+    monkeypatch.setattr(training, "gradients", lambda rows, *rest: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()) or own(rows, *rest))
+    both = [training.federated(spark.createDataFrame(part, schema), model, 2, 2) for part in (rows, rows + odd)]
+    assert np.allclose(*both, atol=1e-12) and np.abs(both[0]).max() > 0
+    assert len(seen) == 8 and not any("forall" in plan for plan in seen)
