@@ -78,11 +78,15 @@ class GraphNet:
 
 @dataclass(frozen=True)
 class Views:
-    """Every bank's view: ``links`` (bank, a, b) and ``members`` (bank, id, owned, y, train_y, weight, mean)."""
+    """Every bank's view: ``links`` (bank, a, b) and ``members`` (bank, id, owned, y, train_y, weight, mean).
+
+    Without ``boundary`` both leave out other banks' accounts, whose means a network of one layer never reads.
+    """
 
     links: DataFrame
     members: DataFrame
     dim: int
+    boundary: bool = True
 
 
 def _vector(column: pa.Array) -> np.ndarray:
@@ -98,26 +102,35 @@ def neighbour_sums(links: DataFrame, rows: DataFrame, vector: str, dim: int) ->
     return sums.select("bank", "id", F.array(*names).alias(vector))
 
 
-def views(nodes: DataFrame, edges: DataFrame, columns: list[str], labelled: str = "true") -> Views:
+def views(nodes: DataFrame, edges: DataFrame, columns: list[str], labelled: str = "true", boundary: bool = True, banked: DataFrame | None = None) -> Views:
     """Views of all banks over ``nodes`` (id, bank, y, columns...) and ``edges`` (src, dst).
 
     Banks for which ``labelled`` does not hold train with all labels 0. The first layer's means are written here.
+    ``banked`` is ``with_banks(nodes, edges)`` where it is there already.
     """
     nodes = nodes.withColumn("bank", F.col("bank").cast("bigint")).where("id is not null and bank is not null")
-    links = written(graph.local_edges(nodes, edges), "links")
     own = nodes.select("id", F.col("bank").alias("home"), F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("y"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
-    known = links.select("bank", F.col("a").alias("id")).union(nodes.select("bank", "id")).distinct().join(own, "id")
+    if boundary:
+        links = written(graph.local_edges(nodes, edges), "links")
+        known = links.select("bank", F.col("a").alias("id")).union(nodes.select("bank", "id")).distinct().join(own, "id")
+        degree = links.groupBy("bank", F.col("a").alias("id")).agg(F.count("*").alias("d"))
+    else:
+        banked = (graph.with_banks(nodes, edges) if banked is None else banked).where("src_bank is not null and dst_bank is not null")
+        a, b = F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
+        near = banked.where("src_bank = dst_bank").select(F.col("src_bank").cast("bigint").alias("bank"), a, b).distinct()
+        links = written(near.union(near.where("a <> b").select("bank", F.col("b"), F.col("a"))), "links")
+        known = own.withColumn("bank", F.col("home"))
+        degree = banked.select(a, b).distinct().select(F.explode(F.array_distinct(F.array("a", "b"))).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
     owned = F.col("bank") == F.col("home")
     x = F.array(*(F.when(owned, F.col(c)).otherwise(0.0) for c in columns))
     label = F.when(F.expr(labelled), F.col("y")).otherwise(0.0)
     rows = written(known.select("bank", "id", owned.alias("owned"), "y", label.alias("train_y"), x.alias("x")), "members")
-    degree = links.groupBy("bank", F.col("a").alias("id")).agg(F.count("*").alias("d"))
     weight = (F.coalesce("d", F.lit(0)) + 1).cast("double")
     # hidden features are 0, so only a bank's own accounts send theirs
     sums = neighbour_sums(links, rows.where("owned"), "x", len(columns)).withColumnRenamed("x", "sums")
-    members = rows.join(degree, ["bank", "id"], "left").join(sums, ["bank", "id"], "left").withColumn("weight", weight)
+    members = rows.join(degree, ["bank", "id"] if boundary else "id", "left").join(sums, ["bank", "id"], "left").withColumn("weight", weight)
     mean = F.transform(F.coalesce("sums", F.array_repeat(F.lit(0.0), len(columns))), lambda v: v / F.col("weight"))
-    return Views(links, written(members.select("bank", "id", "owned", "y", "train_y", "weight", mean.alias("mean")), "views"), len(columns))
+    return Views(links, written(members.select("bank", "id", "owned", "y", "train_y", "weight", mean.alias("mean")), "views"), len(columns), boundary)
 
 
 def _mapped(rows: DataFrame, columns: list[str], schema: str, work, weights: dict) -> DataFrame:
@@ -157,6 +170,8 @@ def _gradient_sums(rows: DataFrame, columns: list[str], work, weights: dict) ->
 
 def _layers(view: Views, net: GraphNet, weights: dict) -> list[DataFrame]:
     """Members with the means that enter each layer; beyond the first they are joined and written for these weights."""
+    if net.depth > 1 and not view.boundary:
+        raise ValueError("layers beyond the first read boundary accounts")
     rows = [view.members]
     kind = f"bank bigint, id {view.members.schema['id'].dataType.simpleString()}, v array<double>"
     for layer in range(net.depth - 1):

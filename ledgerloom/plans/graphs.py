@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import graph, graph_net, metrics
 from ledgerloom.operators.graph import ACCOUNT_FEATURES
 from ledgerloom.plans.networks import G
+from ledgerloom.session import written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -48,21 +49,22 @@ fs AS (SELECT """
 )
 
 
-def _accounts(spark, sf_dir):
-    nodes, edges = graph.payment_graph(spark, sf_dir)
-    nodes = graph.account_features(nodes, edges).withColumn("y", (F.col("x") < 0).cast("int"))
-    return nodes, edges
+def _labelled(nodes):
+    return nodes.withColumn("y", (F.col("x") < 0).cast("int"))
 
 
 @query(_AF + "SELECT id, bank, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ACCOUNT_FEATURES) + " FROM fz")
 def account_features(spark, sf_dir):
-    nodes, _ = _accounts(spark, sf_dir)
+    nodes = _labelled(graph.account_features(*graph.payment_graph(spark, sf_dir)))
     return nodes.select("id", "bank", *((F.round(c, 6) + 0.0).alias(c) for c in ACCOUNT_FEATURES))
 
 
 def _views(spark, sf_dir):
-    nodes, edges = _accounts(spark, sf_dir)
-    return graph_net.views(nodes, edges, ACCOUNT_FEATURES, LABELLED)
+    """Views whose payments are joined with banks once, for the features and for the links."""
+    nodes, edges = graph.payment_graph(spark, sf_dir)
+    banked = written(graph.with_banks(nodes, edges), "payments")
+    nodes = _labelled(graph.account_features(nodes, edges, banked))
+    return graph_net.views(nodes, edges, ACCOUNT_FEATURES, LABELLED, NET.depth > 1, banked)
 
 
 #: Neighbour means of own accounts with loss weights: positives weigh negatives over positives of their bank.
