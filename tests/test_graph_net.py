@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from ledgerloom.operators import graph_net
+from ledgerloom.operators import graph, graph_net
 
 COLUMNS = ["f0", "f1", "f2"]
 NODES = "id string, bank int, y int, f0 double, f1 double, f2 double"
@@ -96,3 +96,33 @@ def test_odd_rows(spark):
     empty = graph_net.views(spark.createDataFrame([], NODES), spark.createDataFrame([], "src string, dst string"), COLUMNS)
     np.testing.assert_array_equal(graph_net.federated(empty, net, 2, 1), net.start())
     assert graph_net.scores(empty, net, {}).count() == 0
+
+
+def test_own_accounts_suffice_for_one_layer(spark):
+    """Views of own accounts hold no row of another bank and give the same weights and scores."""
+    nodes, edges, node_rows, edge_rows = small_graph(spark, 3)
+    edge_rows = edge_rows.union(spark.createDataFrame([("n0", None), ("n0", "unknown")], "src string, dst string"))
+    net = graph_net.GraphNet(3, 4, 1, 5)
+    whole, own = (graph_net.views(node_rows, edge_rows, COLUMNS, boundary=b) for b in (True, False))
+    rows = own.members.collect()
+    assert len(rows) == len(nodes) and all(r.owned for r in rows)
+    np.testing.assert_allclose(graph_net.federated(own, net, 2, 2), graph_net.federated(whole, net, 2, 2))
+    scores = [{r.id: r.score for r in graph_net.scores(v, net, dict.fromkeys(range(3), net.start())).collect()} for v in (whole, own)]
+    assert scores[0] == pytest.approx(scores[1])
+    with pytest.raises(ValueError):
+        graph_net.scores(own, graph_net.GraphNet(3, 4, 2), dict.fromkeys(range(3), graph_net.GraphNet(3, 4, 2).start()))
+
+
+def test_views_of_odd_payments(spark):
+    """A null balance is left out of means but not of weights; no view's links are grouped for members or means."""
+    nodes = spark.createDataFrame([("a", 0, 4.0), ("b", 0, None), ("c", 1, 6.0), ("lone", 1, 1.0), ("nobank", None, 8.0)], "id string, bank int, x double")
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "c"), ("a", None), ("a", "unknown"), ("nobank", "c")], "src string, dst string")
+    means = graph.neighbour_mean(nodes, edges)
+    assert {(r.bank, r.id): (r.mean_x, r.weight) for r in means.collect()} == {
+        (0, "a"): (2.0, 3), (0, "b"): (4.0, 2), (0, "c"): (2.0, 2), (1, "a"): (3.0, 2), (1, "c"): (3.0, 4), (1, "lone"): (1.0, 1), (1, "nobank"): (3.0, 2),
+    }
+    members = graph.local_subgraph(nodes, edges)
+    assert {(r.bank, r.id, r.owned, r.x) for r in members.where("bank is not null").collect()} == {
+        (0, "a", True, 4.0), (0, "b", True, None), (0, "c", False, 0.0), (1, "a", False, 0.0), (1, "c", True, 6.0), (1, "lone", True, 1.0), (1, "nobank", None, 0.0),
+    }
+    assert members._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
