@@ -8,7 +8,6 @@ against them are taken off the sum.
 from __future__ import annotations
 
 import hashlib
-import hmac
 import struct
 from collections.abc import Iterator
 
@@ -23,11 +22,19 @@ from ledgerloom.session import map_arrow
 #: Half the masks' range, bytes of a seed.
 SCALE = 1e6
 SEED_BYTES = 32
+_INNER, _OUTER = (bytes(x ^ pad for x in range(256)) for pad in (0x36, 0x5C))
 
 
 def uniforms(seed: bytes, n: int) -> np.ndarray:
     """``n`` numbers in [0, 1): HMAC-SHA256 of a counter, eight little-endian bytes for each."""
-    blocks = [hmac.digest(seed, struct.pack(">Q", k), "sha256") for k in range(-(-n // 4))]
+    key = (seed if len(seed) <= 64 else hashlib.sha256(seed).digest()).ljust(64, b"\0")
+    inner, outer = hashlib.sha256(key.translate(_INNER)), hashlib.sha256(key.translate(_OUTER))  # the key's blocks are hashed once
+    blocks = []
+    for k in range(-(-n // 4)):
+        first, last = inner.copy(), outer.copy()
+        first.update(struct.pack(">Q", k))
+        last.update(first.digest())
+        blocks.append(last.digest())
     return np.frombuffer(b"".join(blocks), "<u8")[:n].astype(np.float64) / 2.0**64
 
 
@@ -75,10 +82,14 @@ def _peers(found: DataFrame, by: list[str], own: str, other: str) -> DataFrame:
     return found.groupBy(*by, F.col(own).alias("member")).agg(held.alias("peers"))
 
 
-def masked_updates(updates: DataFrame, by: list[str], master: str) -> DataFrame:
-    """(by..., member, v): what every member of a cohort sends, masked against all its peers."""
-    peers = _peers(pairs(updates, by, master), by, "a", "b")
-    return masked(updates.select(*by, "member", "v").join(peers, [*by, "member"], "left"), by)
+def masked_updates(updates: DataFrame, by: list[str], master: str, arrived: str = "true") -> DataFrame:
+    """(by..., member, v): what every member of a cohort sends, masked against all its peers.
+
+    Only members for which ``arrived`` holds are masked and returned; their peers are all members.
+    """
+    came = updates.where(arrived).select(*by, "member", "v")
+    met = pairs(updates, by, master).join(came.select(*by, F.col("member").alias("a")), [*by, "a"], "left_semi")
+    return masked(came.join(_peers(met, by, "a", "b"), [*by, "member"], "left"), by)
 
 
 def secure_sum(sent: DataFrame, by: list[str]) -> DataFrame:
