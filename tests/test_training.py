@@ -1,6 +1,7 @@
 """Models, trees, privacy, masks and ledgers against brute force, published figures and golden values."""
 
 import hashlib
+import hmac
 import json
 import math
 
@@ -200,3 +201,15 @@ def test_steps_read_rows_without_checking_every_value(spark, monkeypatch):
     both = [training.federated(spark.createDataFrame(part, schema), model, 2, 2) for part in (rows, rows + odd)]
     assert np.allclose(*both, atol=1e-12) and np.abs(both[0]).max() > 0
     assert len(seen) == 8 and not any("forall" in plan for plan in seen)
+
+
+def test_only_arrived_members_are_masked(spark):
+    """Masks are those of plain HMAC for keys of any length, and a message is the same whoever else is sent for."""
+    for size in (0, 32, 64, 65, 200):
+        seed = bytes(range(size))
+        want = b"".join(hmac.digest(seed, k.to_bytes(8, "big"), "sha256") for k in range(3))
+        np.testing.assert_array_equal(masks.uniforms(seed, 11), np.frombuffer(want, "<u8")[:11] / 2.0**64)
+    rows = spark.createDataFrame([(i // 4, i, [float(i), 1.0]) for i in range(8)], "round int, member int, v array<double>")
+    whole = {r.member: r.v for r in masks.masked_updates(rows, ["round"], "s").collect()}
+    some = {r.member: r.v for r in masks.masked_updates(rows, ["round"], "s", "member % 4 <> 1").collect()}
+    assert some == {m: v for m, v in whole.items() if m % 4 != 1}
