@@ -71,6 +71,38 @@ def test_trees_learn_what_no_line_separates(spark):
     assert set(flat[flat["parent"].notna()]["parent"]) <= set(flat["node"]) and len(flat) == sum(map(len, model["trees"]))
 
 
+def test_packed_bins_and_their_sums_are_those_of_single_features(spark):
+    rng = np.random.default_rng(8)
+    columns = tuple(f"c{i}" for i in range(17))  # more than a word holds, and an odd number for groups of two
+    values = rng.normal(size=(300, 17))
+    values[:, 3], values[::7, 4], values[:, 16] = 2.0, np.nan, rng.integers(0, 3, 300)
+    data = [(*(None if i == 5 and k % 5 == 0 or i == 6 else float(x) for i, x in enumerate(v)), int(k % 3 == 0), int(k % 2)) for k, v in enumerate(values)]
+    rows = spark.createDataFrame(data, ", ".join(f"{c} double" for c in columns) + ", y int, node int")
+    counted = {tuple(r) for r in trees.column_histogram(rows, columns).where("f not in (4, 6)").select("f", "cell", "lo", "span", "n").collect()}
+    assert counted == {tuple(r) for r in trees.grid_histogram(trees.long_form(rows, columns, [])).where("f not in (4, 6)").select("f", "cell", "lo", "span", "n").collect()}
+    for bins in (16, 40, 2):
+        edges = trees.edge_lists(rows, columns, bins)
+        assert edges[6] == [] and all(len(e) < bins for e in edges)
+        one = rows.select("y", "node", trees.bin_vector(columns, edges).alias("bins"))
+        many = trees.packed(rows, columns, edges, ["y", "node"])
+        bin_of = trees.in_words(edges)
+        unpacked = many.select("y", "node", *(bin_of(f).alias(columns[f]) for f in range(17)))
+        assert sorted(map(tuple, unpacked.collect())) == sorted((r["y"], r["node"], *r["bins"]) for r in one.collect())
+        p = F.lit(0.35)
+        long = one.select("node", "y", p.alias("p"), F.posexplode("bins").alias("f", "bin"))
+        plain = {(r["node"], r["f"], r["bin"]): (r["g"], r["h"]) for r in trees.gradient_histogram(long, ["node"]).collect()}
+        sums = {(r["node"], r["f"], r["bin"]): (r["g"], r["h"]) for r in trees.level_histogram(many.withColumns({"g": p - F.col("y"), "h": p * (1 - p)}), edges).collect()}
+        assert plain.keys() == sums.keys() and all(np.allclose(plain[k], sums[k]) for k in plain)
+
+
+def test_boosted_scores_bins_its_rows_once(spark, monkeypatch):
+    from ledgerloom.plans import federation
+
+    called, bin_vector = [], trees.bin_vector
+    monkeypatch.setattr(trees, "bin_vector", lambda *a: called.append(a) or bin_vector(*a))
+    assert federation.boosted_scores(spark, "/root/testdata/sf0.001").count() == 5 and len(called) == 1
+
+
 def test_privacy_budget_of_published_settings(spark):
     spent = {0.7: 12.4581, 0.8: 7.928, 1.0: 4.9646, 1.1: 4.1953, 1.3: 2.9905, 1.5: 2.3292, 2.0: 1.4694, 3.0: 0.8677, 4.0: 0.6001}
     table = privacy.budget_table(spark.createDataFrame([(s, 0.1, 30) for s in spent], "sigma double, q double, rounds int"), 1e-5)
