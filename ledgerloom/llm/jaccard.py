@@ -8,8 +8,9 @@ points that survive meet the same bound on all ``FINE`` groups, sets of more tha
 groups, and are then verified on the whole texts.
 
 One tree over everything would be one task, so there is a tree for each shard, and shards follow from a rule
-that loses no pair: under any fixed order of tokens, two sets with J >= t share a token among the first
-``n - ceil(t n) + 1`` of each, and their sizes are of one class or of two that follow each other. Each such token with
+that loses no pair: under any fixed order of tokens, two sets with J >= t share ``k`` tokens among the first
+``n - ceil(t n) + k`` of each, and their sizes are of one class or of two that follow each other. ``k`` is 1 and one more for
+each ``SHARED`` tokens; a set that has fewer tokens in shards of several components goes to no tree. Each such token with
 two such classes is a shard; shards of the same sets are one. The order puts frequent tokens last and is by hash otherwise. Frequencies are estimated over all documents, by a count
 sketch of fixed size that tasks fill and that is added up; they steer cost only, never the result.
 
@@ -51,10 +52,11 @@ EARLIER = 4
 #: Box pairs, and pairs of points, looked at in one step: some 8 MB of coordinates.
 BOXES = 16
 STEP = 4096
-#: The count sketch: rows of 2**16 signed counters. A token is frequent in this share of distinct sets.
+#: The count sketch: rows of 2**16 signed counters. A token is frequent in this many distinct sets at least.
 SKETCH = 3
-FREQUENT_SHARE = 6 / 16_000
 FREQUENT_LEAST = 6
+#: Prefixes are longer by a token for each so many, and sets that link share as many more.
+SHARED = 64
 ROUNDS = 6
 CLASSES = 512
 #: Another round of leaders where shards of several components hold this many pairs for each of their rows.
@@ -67,7 +69,12 @@ _DECOMPRESS = zstandard.ZstdDecompressor()
 
 def _prefix(n: np.ndarray, threshold: int) -> np.ndarray:
     """How many of a set's first tokens must be looked at; exact in integers, threshold in hundredths."""
-    return n - (threshold * n + 99) // 100 + 1
+    return n - (threshold * n + 99) // 100 + 1 + n // SHARED
+
+
+def least_shared(n: Column, threshold: int) -> Column:
+    """How many of its first tokens a set shares with any set that it links to: the smaller one's own number."""
+    return F.floor(F.floor((threshold * n + 99) / 100) / SHARED) + 1
 
 
 def _set_ids(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +92,15 @@ def _slots(tokens: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
     return ((tokens >> np.uint64(16 * row)) & np.uint64(0xFFFF)).astype(np.int64), ((tokens >> np.uint64(63 - row)) & np.uint64(1)).astype(np.float64) * 2 - 1
 
 
+def frequent_from(sketch: np.ndarray) -> float:
+    """The count from which a token is frequent: as low as the sketch can tell it from chance.
+
+    That is the middle counter, which grows as the root of the tokens. A share of the sets would let ever more sets meet in
+    one token that still counts as rare, and what is shuffled would grow faster than the input.
+    """
+    return max(FREQUENT_LEAST, float(np.median(np.abs(sketch))))
+
+
 def token_sketch(df: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """The count sketch of the tokens of all distinct sets (as each task sees them), and their number."""
 
@@ -134,8 +150,8 @@ def profiles(df: DataFrame, size: int, threshold: int, held) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, sets = held.value
-        least = max(FREQUENT_LEAST, FREQUENT_SHARE * sets)
+        sketch = held.value
+        least = frequent_from(sketch)
         seen: set = set()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -450,7 +466,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     spark = df.sparkSession
     key = F.col(ROW_KEY).alias(ROW_KEY)
     docs = keyed(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([key] if ROW_KEY in df.columns else [])))
-    held = spark.sparkContext.broadcast(token_sketch(docs, size))  # of fixed size
+    held = spark.sparkContext.broadcast(token_sketch(docs, size)[0])  # of fixed size
     every = stored(profiles(docs.select("doc_id", "text", ROW_KEY), size, threshold, held), "profiles")
     # one row for each set: tasks emit a set's tokens once, different tasks may repeat it
     one = F.any_value(F.when(F.col("fine").isNotNull(), F.struct("n", "fine", "wide", "tokens", "common")), F.lit(True)).alias("one")
@@ -479,17 +495,17 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
         # what is left for trees: the shards with several components
         kept = _components(shards, roots)
         several = kept.groupBy("x1", "x2").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("sets")).where("low < high")
-        kept = stored(kept.join(several.select("x1", "x2", "sets"), ["x1", "x2"]).drop("weight"), "several")
+        kept = stored(kept.join(several.select("x1", "x2", "sets"), ["x1", "x2"]), "several")
         rows, pairs = kept.agg(F.count("*"), F.sum((F.col("sets") - 1) / 2)).first()
         if (pairs or 0) <= CROWDED * rows or new.count() * 8 <= tried:
             break
 
     blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
-    first = kept.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("x1")), 1, EARLIER).alias("earlier"))  # a set has no more shards than tokens
+    first = kept.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("x1")), 1, EARLIER).alias("earlier"), F.sum("weight").alias("shared"))  # a set has no more shards than tokens
     kept = kept.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     kept = kept.select("x1", "x2", "key", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    kept = kept.join(sets.select("key", "n", "fine").join(first, "key"), "key")
-    kept = kept.select("x1", "x2", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "comp", "n", "fine", "earlier")
+    kept = kept.join(sets.select("key", "n", "fine").join(first, "key").where(F.col("shared") >= least_shared(F.col("n"), threshold)), "key")
+    kept = kept.select("x1", "x2", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "comp", "n", "fine", F.filter("earlier", lambda x: x < F.col("x1")).alias("earlier"))
     shard = ["x1", "x2", "lo", "hi"]
     pairs = stored(tree_pairs(kept.repartition(*shard).sortWithinPartitions(*shard), threshold), "pairs")
     roots = components(links.union(linked(pairs)[0]))
