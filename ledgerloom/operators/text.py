@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import md5
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +54,23 @@ def _marked(kind: str, found: Column) -> Column:
     return F.transform(found, lambda t: F.concat(F.lit(kind), t))
 
 
+def _triples(low: str) -> np.ndarray:
+    """The letter triples of a lower-case text without its spaces, three code points in one number."""
+    points = np.frombuffer(low.replace(" ", "").encode("utf-32-le"), np.uint32).astype(np.int64)
+    return (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
+
+
 def _counted(low: str) -> dict[str, dict]:
-    """How often a lower-case text has each word, word pair (a tuple) and letter triple (three code points in one number)."""
+    """How often a lower-case text has each word, word pair (a tuple) and letter triple (a number)."""
     words = _WORDS.findall(low)
-    points = np.frombuffer(low.replace(" ", "").encode("utf-32-le"), np.uint32).astype(np.int64)
-    triples = np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:], return_counts=True)
-    return {"w": Counter(words), "b": Counter(zip(words, words[1:], strict=False)), "c": dict(zip(*(t.tolist() for t in triples), strict=True))}
+    triples = np.unique(_triples(low), return_counts=True)
+    return {"w": Counter(words), "b": Counter(pairwise(words)), "c": dict(zip(*(t.tolist() for t in triples), strict=True))}
+
+
+def _sizes(low: str) -> list[list[int]]:
+    """How many words, pairs and triples a lower-case text has, and how many of each differ."""
+    words, triples = _WORDS.findall(low), _triples(low)
+    return [[len(words), len(set(words))], [max(0, len(words) - 1), len(set(pairwise(words)))], [len(triples), len(np.unique(triples))]]
 
 
 def _spelled(key: str | tuple | int) -> str:
@@ -73,14 +85,14 @@ def _spelled(key: str | tuple | int) -> str:
 def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind, n, n_distinct): the words, pairs and triples of each key, and how many differ.
 
-    A text is counted where it is read. Keys of several rows, if there are any, are counted token by token instead.
+    A text is counted where it is read, one at a time: a task holds the tokens of one text. Keys of several rows, if
+    there are any, are counted token by token instead; only then is ``df`` read again.
     """
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_counted(low or "") for low in batch.column(1).to_pylist()]
-            sizes = [[[sum(c.values()), len(c)] for c in f.values()] for f in found]
+            sizes = [_sizes(low.as_py() or "") for low in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.list_(pa.list_(pa.int64())))], names=[key, "sizes"])
 
     single = map_arrow(df.select(key, F.lower(F.col(text)).alias("low")), run, f"`{key}` {kind}, sizes array<array<bigint>>")
@@ -88,6 +100,8 @@ def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     each = F.explode(F.arrays_zip(F.array(*(F.lit(k) for k in "wbc")).alias("kind"), F.col("sizes").alias("size"))).alias("t")
     once = held.where("rows = 1").select(key, each).select(key, "t.kind", F.col("t.size")[0].alias("n"), F.col("t.size")[1].alias("n_distinct")).where("n > 0")
     several = held.where("rows > 1").select(F.col(key).alias("_key"))
+    if not several.limit(1).count():
+        return once
     again = df.join(several, F.col(key).eqNullSafe(F.col("_key")), "left_semi").select(key, F.explode(tokens(F.col(text))).alias("token"))
     return once.union(again.groupBy(key, F.substring("token", 1, 1).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("token").alias("n_distinct")))
 
